@@ -75,7 +75,7 @@ def scalars(df: DataFrame, wanted: list[tuple[str, str, str | None]]) -> DataFra
 
 def _present(df: DataFrame, keys: list[str]) -> DataFrame:
     names.require(df, keys)
-    return df.na.drop("any", keys)
+    return df.na.drop(how="any", subset=keys)
 
 
 def group(df: DataFrame, function: str, column: str, group_by: list[str], output: str | None = None) -> DataFrame:

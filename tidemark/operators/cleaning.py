@@ -292,7 +292,7 @@ def drop_nulls(df: DataFrame, columns: list[str] | None = None, how: str = "any"
     if not targets:
         return df
     blanks = [c for c in targets if names.is_text(df.schema[c].dataType)]
-    return _map_columns(df, blanks, text.blank_to_null).na.drop(how, targets)
+    return _map_columns(df, blanks, text.blank_to_null).na.drop(how=how, subset=targets)
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
