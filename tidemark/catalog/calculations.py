@@ -15,7 +15,7 @@ query = catalog.query
 SCALARS = {
     "agg1_sum": ("sum", "l_extendedprice", "round_even(sum(l_extendedprice), 2)"),
     "agg2_mean": ("mean", "l_quantity", "avg(l_quantity)"),
-    "agg3_median": ("median", "l_extendedprice", "median(l_extendedprice)"),
+    "agg3_median": ("median", "l_extendedprice", "round_even(median(l_extendedprice), 2)"),
     "agg4_min": ("min", "l_extendedprice", "min(l_extendedprice)"),
     "agg5_max": ("max", "l_extendedprice", "max(l_extendedprice)"),
     "agg6_count": ("count", "l_shipdate", "count(l_shipdate)"),

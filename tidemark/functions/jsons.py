@@ -99,28 +99,36 @@ def reconcile_status(code: Column, payload_status: Column, errors: Column, error
     )
 
 
-def payload_rows(payload: Column) -> Column:
-    """The array of row objects (as maps) a result payload holds, by precedence: ``cleaned_data``,
-    ``cleaned_preview`` unless it is shorter than ``record_count``, ``records``, ``rows``, ``data``.
-
-    A list only counts when it is not empty and all of its items are objects; keys starting with an
-    underscore are removed, and rows left empty with them.
+def with_payload_rows(df: DataFrame, payload: str, name: str = "rows") -> DataFrame:
+    """Add the array of row objects (as maps) a result payload holds, by precedence:
+    ``cleaned_data``, ``cleaned_preview`` unless it is shorter than ``record_count``, ``records``,
+    ``rows``, ``data``.
+
+    A list only counts when it is not empty and all of its items are objects. Keys starting with an
+    underscore are removed, and rows left empty with them. The payload is parsed once, its items
+    stay text, and only the chosen list is parsed into rows; the steps are separate projections so
+    that no parse is repeated.
     """
-    kind = "array<map<string,string>>"
-    empty = F.array().cast(kind)
-
-    def listed(name: str) -> Column:
-        raw = F.get_json_object(payload, f"$.{name}")
-        parsed = F.from_json(raw, kind)
-        usable = (F.size(parsed) > 0) & ~F.exists(parsed, lambda r: r.isNull())
-        return F.when(F.startswith(F.ltrim(raw), F.lit("[")) & usable, parsed)
-
-    preview = listed("cleaned_preview")
-    expected = F.coalesce(F.get_json_object(payload, "$.record_count").try_cast("int"), F.lit(0))
-    cut = (expected != 0) & (expected > F.size(preview))
-    rows = F.coalesce(listed("cleaned_data"), F.when(preview.isNotNull() & cut, empty), preview, *[listed(k) for k in ROW_KEYS], empty)
-    visible = F.transform(rows, lambda r: F.map_filter(r, lambda k, _v: ~F.startswith(k, F.lit("_"))))
-    return F.filter(visible, lambda r: F.size(r) > 0)
+    lists = ("cleaned_data", "cleaned_preview", *ROW_KEYS)
+    fields = ", ".join([f"{k} array<string>" for k in lists] + ["record_count string"])
+    parsed = df.withColumn("__p", F.from_json(F.col(payload), fields))
+
+    def usable(key: str) -> Column:
+        items = F.col(f"__p.{key}")
+        objects = F.forall(items, lambda i: F.coalesce(F.startswith(i, F.lit("{")), F.lit(False)))
+        return F.when((F.size(items) > 0) & objects, items)
+
+    preview = usable("cleaned_preview")
+    expected = F.coalesce(F.col("__p.record_count").try_cast("int"), F.lit(0))
+    cut = (expected != 0) & (expected > F.size("__p.cleaned_preview"))
+    none = F.array().cast("array<string>")
+    chosen = F.coalesce(
+        usable("cleaned_data"), F.when(preview.isNotNull() & cut, none), preview, *[usable(k) for k in ROW_KEYS], none
+    )
+    texts = parsed.withColumn("__t", F.concat(F.lit("["), F.array_join(chosen, ","), F.lit("]"))).drop("__p")
+    rows = texts.withColumn(name, F.from_json("__t", "array<map<string,string>>")).drop("__t")
+    visible = F.transform(name, lambda r: F.map_filter(r, lambda k, _v: ~F.startswith(k, F.lit("_"))))
+    return rows.withColumn(name, F.filter(visible, lambda r: F.size(r) > 0))
 
 
 def typed_rows(df: DataFrame, payload: str, schema: T.StructType | str, order_by: list[str]) -> DataFrame:

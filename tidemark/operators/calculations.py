@@ -233,7 +233,7 @@ def partition_hints(df: DataFrame, column: str, sort_by: list[str]) -> DataFrame
         return df.sparkSession.createDataFrame([], "column string, distinct_share double")
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.approx_count_distinct(_c(c), 0.01).alias(f"d{i}") for i, c in enumerate(targets)],
+        *[F.approx_count_distinct(_c(c)).alias(f"d{i}") for i, c in enumerate(targets)],
     )
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n")) for i, c in enumerate(targets)])

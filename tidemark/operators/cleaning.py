@@ -105,7 +105,7 @@ def _with_few_values(df: DataFrame, targets: list[str], most: int) -> list[str]:
     are counted exactly, by grouping.
     """
     rough = df.agg(
-        *[F.approx_count_distinct(text.strip(_c(c)), 0.02).alias(str(i)) for i, c in enumerate(targets)]
+        *[F.approx_count_distinct(text.strip(_c(c))).alias(str(i)) for i, c in enumerate(targets)]
     ).first()
     few = [c for i, c in enumerate(targets) if 0 < rough[i] <= most * 2]
     if not few:

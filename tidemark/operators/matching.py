@@ -159,7 +159,9 @@ def candidates(refs: DataFrame, columns: DataFrame, weights: dict[str, float] |
         F.col("token_score") * w["token"] + F.col("value_score") * w["value"]
         + F.col("type_score") * w["type"] + F.col("name_score") * w["name"]
     ) / total
-    best = Window.partitionBy("dataset", "reference_text", "kind").orderBy(F.desc("total_score"), "column_name")
+    best = Window.partitionBy("dataset", "reference_text", "kind").orderBy(
+        F.round("total_score", 9).desc(), "column_name"
+    )
     return (
         scored.withColumn("total_score", F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
         .withColumn("rank", F.row_number().over(best))

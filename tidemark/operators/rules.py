@@ -133,7 +133,7 @@ def _flag(df: DataFrame, column: str, rule: str, k: dict, now) -> Column | None:
         low, high = _bound(k.get("min_length"), int), _bound(k.get("max_length"), int)
         if low is None and high is None:
             return None
-        return _outside(F.length(shown), low, high)
+        return c.isNotNull() & _outside(F.length(shown), low, high)
     return _cross_field(df, column, k)
 
 

@@ -36,21 +36,33 @@ def header(spark: SparkSession, path, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).csv(path).columns
 
 
-def json_rows(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
+def json_rows(
+    spark: SparkSession, path, schema: T.StructType | str | None = None, lines: bool = False
+) -> DataFrame:
     """Rows of JSON documents: a list of objects, one flat object, or an object whose first list of
-    objects holds the rows. JSON lines are read as a list of objects. One document is one task's
-    work, so write large data as many documents or as JSON lines."""
-    reader = spark.read.option("multiLine", True)
+    objects holds the rows.
+
+    One file is one document, read by one task; with ``lines`` every line is one, and files are
+    split. Large data should come as lines.
+    """
+    reader = spark.read.option("multiLine", not lines)
     df = reader.schema(schema).json(path) if schema else reader.json(path)
-    nested = [f for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))]
-    if not nested:
-        return df
-    for f in df.schema.fields:
+    for f in _in_document_order(df, spark, path, schema):
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             return df.select(F.inline(F.col(f"`{f.name}`")))
     return df
 
 
+def _in_document_order(df: DataFrame, spark: SparkSession, path, schema) -> list[T.StructField]:
+    """The fields in the order the documents have them. Inference sorts the names, so the first list
+    is looked up in the text of one document when there is a choice."""
+    lists = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    if schema or len(lists) < 2:
+        return df.schema.fields
+    start = spark.read.text(path, wholetext=True).first()[0]
+    return sorted(df.schema.fields, key=lambda f: start.find(f'"{f.name}"'))
+
+
 def json_lines(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
     """One JSON object per line; splittable."""
     return spark.read.schema(schema).json(path) if schema else spark.read.json(path)

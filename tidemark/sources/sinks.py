@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, names
 from tidemark.operators import ordered
-from tidemark.session import materialize
+from tidemark.session import materialize, path_exists
 from tidemark.sources.files import safe_output
 
 # Columns of empty bundle parts.
@@ -160,8 +160,11 @@ def payload_table(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     )
 
 
-def replace_keys(df: DataFrame, path: str, key: str, order_by: list[str], buckets: int = 256) -> None:
-    """Replace all stored rows of the keys in ``df``.
+def replace_keys(
+    df: DataFrame, path: str, key: str, order_by: list[str], buckets: int = 256, of_keys: DataFrame | None = None
+) -> None:
+    """Replace all stored rows of the keys in ``df``, or of the keys in ``of_keys``, some of which may
+    have no rows any more.
 
     Keys are spread over a fixed number of buckets, one folder each, and only the folders with new
     keys are rewritten: many small keys do not become many small files, and untouched buckets stay.
@@ -170,18 +173,12 @@ def replace_keys(df: DataFrame, path: str, key: str, order_by: list[str], bucket
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int").alias("bucket")
     new = payload_table(df, key, order_by).select("*", bucket)
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001 - the store does not exist before its first write
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = None
+    stored = spark.read.parquet(path) if path_exists(spark, path) else None
     out = new
     if stored is not None:
-        touched = new.select("bucket").distinct()
-        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(
-            new.select(F.col(f"`{key}`")).distinct(), key, "left_anti"
-        )
+        gone = (df if of_keys is None else of_keys).select(F.col(f"`{key}`")).distinct()
+        touched = gone.select(bucket).distinct()
+        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(gone, key, "left_anti")
         out = materialize(new.unionByName(kept.select(*new.columns)), "row-store")
     (
         out.repartition("bucket", F.floor(F.col("record_index") / 1_000_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -92,8 +92,9 @@ def route(batch: DataFrame, batch_id: int, review: str, dead: str, key: str, sta
 
 # --- session timeout ----------------------------------------------------------------------------
 
-SESSION_SCHEMA = "session_id string, opened_at timestamp, ended_at timestamp, outcome string, reason string"
+SESSION_SCHEMA = "session_id string, opened_us bigint, ended_us bigint, resolved boolean"
 SESSION_STATE = "opened_us bigint, answered_us bigint"
+NO_ANSWER = -1
 EXPIRED = "Clarification session timed out"
 
 
@@ -107,36 +108,42 @@ def session_timeouts(events: DataFrame, minutes: int = 30, lateness: str = "10 m
     span = minutes * 60_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, answered = state.get if state.exists else (None, None)
+        opened, answered = state.get if state.exists else (None, NO_ANSWER)
         for frame in frames:
-            at = frame["at"].astype("int64") // 1_000
-            opened = int(at.min()) if opened is None else min(opened, int(at.min()))
-            answers = at[frame["answer"].astype(bool)]
+            first = int(frame["at_us"].min())
+            opened = first if opened is None else min(opened, first)
+            answers = frame.loc[frame["answer"].astype(bool), "at_us"]
             if len(answers):
-                answered = int(answers.min()) if answered is None else min(answered, int(answers.min()))
+                earliest = int(answers.min())
+                answered = earliest if answered == NO_ANSWER else min(answered, earliest)
         deadline = opened + span
         if state.hasTimedOut or state.getCurrentWatermarkMs() * 1_000 >= deadline:
-            resolved = answered is not None and answered <= deadline
+            resolved = answered != NO_ANSWER and answered <= deadline
             state.remove()
             yield pd.DataFrame(
                 {
-                    "session_id": [key[0]],
-                    "opened_at": pd.to_datetime([opened], unit="us"),
-                    "ended_at": pd.to_datetime([answered if resolved else deadline], unit="us"),
-                    "outcome": ["resolved" if resolved else "quarantined"],
-                    "reason": [None if resolved else EXPIRED],
+                    "session_id": [key[0]], "opened_us": [opened],
+                    "ended_us": [answered if resolved else deadline], "resolved": [resolved],
                 }
             )
             return
         state.update((opened, answered))
         state.setTimeoutTimestamp(deadline // 1_000 + 1)
 
-    return (
-        events.select("session_id", F.col("at").cast("timestamp").alias("at"), "answer")
+    at = F.col("at").cast("timestamp")
+    ended = (
+        events.select("session_id", at.alias("at"), F.unix_micros(at).alias("at_us"), "answer")
         .withWatermark("at", lateness)
         .groupBy("session_id")
         .applyInPandasWithState(step, SESSION_SCHEMA, SESSION_STATE, "append", "EventTimeTimeout")
     )
+    return ended.select(
+        "session_id",
+        F.timestamp_micros("opened_us").alias("opened_at"),
+        F.timestamp_micros("ended_us").alias("ended_at"),
+        F.when(F.col("resolved"), "resolved").otherwise("quarantined").alias("outcome"),
+        F.when(~F.col("resolved"), EXPIRED).alias("reason"),
+    )
 
 
 def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
