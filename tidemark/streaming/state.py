@@ -110,6 +110,8 @@ def session_timeouts(events: DataFrame, minutes: int = 30, lateness: str = "10 m
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         opened, answered = state.get if state.exists else (None, NO_ANSWER)
         for frame in frames:
+            if frame.empty:  # a timeout comes with an empty frame
+                continue
             first = int(frame["at_us"].min())
             opened = first if opened is None else min(opened, first)
             answers = frame.loc[frame["answer"].astype(bool), "at_us"]
