@@ -47,9 +47,7 @@ def _payloads(t: Tables):
   FROM lineitem WHERE l_linenumber % 7 IN (0, 1, 2, 4, 5)""",
 )
 def _(t: Tables):
-    df = ops.with_payload_rows(_payloads(t), "payload").select(
-        "l_orderkey", "l_linenumber", F.posexplode("rows").alias("pos", "row")
-    )
+    df = ops.explode_payload_rows(_payloads(t), "payload")
     return df.select("l_orderkey", "l_linenumber", "pos", F.col("row")["id"].alias("id"), F.col("row")["part"].alias("part"))
 
 

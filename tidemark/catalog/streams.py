@@ -106,11 +106,12 @@ def _(t: Tables):
 
 @query(
     "str4_session_timeouts",
-    f"WITH {SESSIONS} WHERE deadline <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE - INTERVAL 2 MILLISECOND FROM events)",
+    f"WITH {SESSIONS} WHERE deadline <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
 )
 def _(t: Tables):
-    out = ingest.to_table(state.session_timeouts(_session_events(_stream(t, "events"))), "sessions")
-    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("opened_at", "ended_at")})
+    path = scratch_path(t.spark, "sessions")
+    state.log_sessions(_session_events(_stream(t, "events")), path, scratch_path(t.spark, "sessions-checkpoint"))
+    return state.ended_sessions(t.spark, path)
 
 
 @query("str5_live_daily", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Date expressions: parsing by an ordered list of formats, quarters, display."""
+"""Date expressions: parsing by shape or format, quarters, display."""
 
 from __future__ import annotations
 
@@ -6,18 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ISO_FORMATS = (
-    "yyyy-M-d",
-    "yyyy-M-d HH:mm:ss",
-    "yyyy-M-d'T'HH:mm:ss",
-    "yyyy-M-d HH:mm:ss.SSSSSS",
-    "yyyy-M-d'T'HH:mm:ss.SSSSSS",
-    "yyyy/M/d",
+# Shapes of the dates that are read without a stated format. The year-first shapes and the numeric
+# ones are brought into ISO order and cast; only written months need a pattern.
+YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})((?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)$"
+SHORTEST = len("1/1/2000")
+_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+NAMED_MONTHS = (
+    (rf"^{_MONTH} \d{{1,2}}, \d{{4}}$", "MMM d, yyyy"),
+    (rf"^\d{{1,2}} {_MONTH} \d{{4}}$", "d MMM yyyy"),
+    (rf"^{_MONTH}[a-z]+ \d{{1,2}}, \d{{4}}$", "MMMM d, yyyy"),
+    (rf"^\d{{1,2}} {_MONTH}[a-z]+ \d{{4}}$", "d MMMM yyyy"),
 )
-# One reading of ambiguous dates per call: mixing both would turn 1/2 and 13/2 of one column around.
-MONTH_FIRST_FORMATS = ("M/d/yyyy", "M-d-yyyy")
-DAY_FIRST_FORMATS = ("d/M/yyyy", "d-M-yyyy")
-NAMED_MONTH_FORMATS = ("MMM d, yyyy", "d MMM yyyy", "MMMM d, yyyy", "d MMMM yyyy")
 
 # strftime code -> Spark pattern letters, for output formats given in strftime notation.
 STRFTIME = {
@@ -26,18 +26,24 @@ STRFTIME = {
 }
 
 
-def date_formats(dayfirst: bool = False) -> tuple[str, ...]:
-    """The formats tried, in order, for a text without a stated format."""
-    return ISO_FORMATS + (DAY_FIRST_FORMATS if dayfirst else MONTH_FIRST_FORMATS) + NAMED_MONTH_FORMATS
-
-
 def parse_date(c: Column, formats: tuple[str, ...] | None = None, dayfirst: bool = False) -> Column:
-    """Text as a zone-free timestamp by the first format that fits; null when none does."""
+    """Text as a zone-free timestamp; null when it is no date.
+
+    ``formats`` are Spark patterns tried in order. Without them the shape of the text decides, so a
+    text that is no date costs a few failed matches and no parser exception. Numeric dates with the
+    year last have one reading per call: mixing both would turn 1/2 and 13/2 of a column around.
+    """
     text = F.trim(c.cast("string"))
-    tried = [F.try_to_timestamp(text, F.lit(f)) for f in (formats or date_formats(dayfirst))]
-    # A shape test first: most texts are no dates and need none of the parsers.
-    looks_dated = text.rlike(r"^(\d{1,4}[-/]\d|\d{1,2} [A-Za-z]{3}|[A-Za-z]{3,9} \d)")
-    return F.when(looks_dated, F.coalesce(*tried)).cast("timestamp_ntz")
+    if formats:
+        return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    iso = "$3-$2-$1$4" if dayfirst else "$3-$1-$2$4"
+    out = (
+        F.when(text.rlike(YEAR_FIRST), F.translate(text, "/", "-").try_cast("timestamp_ntz"))
+        .when(text.rlike(YEAR_LAST), F.regexp_replace(text, YEAR_LAST, iso).try_cast("timestamp_ntz"))
+    )
+    for shape, pattern in NAMED_MONTHS:
+        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
+    return F.when(F.length(text) >= SHORTEST, out)
 
 
 def as_timestamp(c: Column, data_type: T.DataType, dayfirst: bool = False) -> Column:

@@ -105,30 +105,37 @@ def with_payload_rows(df: DataFrame, payload: str, name: str = "rows") -> DataFr
     ``rows``, ``data``.
 
     A list only counts when it is not empty and all of its items are objects. Keys starting with an
-    underscore are removed, and rows left empty with them. The payload is parsed once, its items
-    stay text, and only the chosen list is parsed into rows; the steps are separate projections so
-    that no parse is repeated.
+    underscore are removed, and rows left empty with them. The payload is parsed once, in a
+    projection of its own.
     """
+    kind = "array<map<string,string>>"
     lists = ("cleaned_data", "cleaned_preview", *ROW_KEYS)
-    fields = ", ".join([f"{k} array<string>" for k in lists] + ["record_count string"])
+    fields = ", ".join([f"{k} {kind}" for k in lists] + ["record_count string"])
     parsed = df.withColumn("__p", F.from_json(F.col(payload), fields))
 
     def usable(key: str) -> Column:
         items = F.col(f"__p.{key}")
-        objects = F.forall(items, lambda i: F.coalesce(F.startswith(i, F.lit("{")), F.lit(False)))
-        return F.when((F.size(items) > 0) & objects, items)
+        return F.when((F.size(items) > 0) & F.forall(items, lambda i: i.isNotNull()), items)
 
-    preview = usable("cleaned_preview")
+    preview, none = usable("cleaned_preview"), F.array().cast(kind)
     expected = F.coalesce(F.col("__p.record_count").try_cast("int"), F.lit(0))
     cut = (expected != 0) & (expected > F.size("__p.cleaned_preview"))
-    none = F.array().cast("array<string>")
     chosen = F.coalesce(
         usable("cleaned_data"), F.when(preview.isNotNull() & cut, none), preview, *[usable(k) for k in ROW_KEYS], none
     )
-    texts = parsed.withColumn("__t", F.concat(F.lit("["), F.array_join(chosen, ","), F.lit("]"))).drop("__p")
-    rows = texts.withColumn(name, F.from_json("__t", "array<map<string,string>>")).drop("__t")
-    visible = F.transform(name, lambda r: F.map_filter(r, lambda k, _v: ~F.startswith(k, F.lit("_"))))
-    return rows.withColumn(name, F.filter(visible, lambda r: F.size(r) > 0))
+    visible = F.transform(chosen, lambda r: F.map_filter(r, lambda k, _v: ~F.startswith(k, F.lit("_"))))
+    return parsed.withColumn(name, F.filter(visible, lambda r: F.size(r) > 0)).drop("__p")
+
+
+def explode_payload_rows(df: DataFrame, payload: str, position: str = "pos", row: str = "row") -> DataFrame:
+    """One output row per row object of the payload.
+
+    The outer form is exploded and its empty results are filtered afterwards: for the inner form
+    Spark adds a test of the array below the explode, which would parse every payload again.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    rows = with_payload_rows(df, payload, "__rows").select(*kept, F.posexplode_outer("__rows").alias(position, row))
+    return rows.filter(F.col(position).isNotNull())
 
 
 def typed_rows(df: DataFrame, payload: str, schema: T.StructType | str, order_by: list[str]) -> DataFrame:

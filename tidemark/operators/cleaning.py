@@ -324,23 +324,23 @@ def currency_number(c: Column) -> Column:
     return numbers.to_number(F.translate(F.regexp_replace(c, numbers.CURRENCY_NOISE, ""), ",", ""))
 
 
-def parse_rates(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
+def parse_rates(df: DataFrame, columns: list[str], kinds: tuple[str, ...] = RATE_KINDS) -> dict[str, dict[str, float]]:
     """Share of non-null texts that read as number, currency and date: one aggregate for all."""
     if not columns:
         return {}
+    tests = {
+        "num": numbers.to_number,
+        "cur": lambda v: F.when(v.rlike(numbers.CURRENCY_PATTERN), 1),
+        "date": dates.parse_date,
+        "dayfirst": lambda v: dates.parse_date(v, dayfirst=True),
+    }
     shown = []
     for i, c in enumerate(columns):
-        value = _c(c)
-        shown += [
-            F.count(value).alias(f"n{i}"),
-            F.count(numbers.to_number(value)).alias(f"num{i}"),
-            F.count_if(value.rlike(numbers.CURRENCY_PATTERN)).alias(f"cur{i}"),
-            F.count(dates.parse_date(value)).alias(f"date{i}"),
-            F.count(dates.parse_date(value, dayfirst=True)).alias(f"dayfirst{i}"),
-        ]
+        shown.append(F.count(_c(c)).alias(f"n{i}"))
+        shown += [F.count(tests[k](_c(c))).alias(f"{k}{i}") for k in kinds]
     row = df.agg(*shown).first()
     return {
-        c: {k: (row[f"{k}{i}"] / row[f"n{i}"] if row[f"n{i}"] else 0.0) for k in RATE_KINDS}
+        c: {k: (row[f"{k}{i}"] / row[f"n{i}"] if row[f"n{i}"] else 0.0) for k in kinds}
         for i, c in enumerate(columns)
     }
 
@@ -348,14 +348,14 @@ def parse_rates(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]
 def numeric_when_confident(df: DataFrame, columns=None, rates=None) -> DataFrame:
     """Text columns of which at least 80 % read as numbers become numbers."""
     targets = names.expand_text(df, columns)
-    rates = rates or parse_rates(df, targets)
+    rates = rates or parse_rates(df, targets, ("num",))
     return _map_columns(df, [c for c in targets if rates[c]["num"] >= PARSE_RATE], numbers.to_number)
 
 
 def currency_when_confident(df: DataFrame, columns=None, rates=None) -> DataFrame:
     """Text columns of which at least 80 % look like money become numbers."""
     targets = names.expand_text(df, columns)
-    rates = rates or parse_rates(df, targets)
+    rates = rates or parse_rates(df, targets, ("cur",))
     return _map_columns(df, [c for c in targets if rates[c]["cur"] >= PARSE_RATE], currency_number)
 
 
@@ -363,7 +363,7 @@ def dates_when_confident(df: DataFrame, columns=None, rates=None) -> DataFrame:
     """Text columns of which at least 80 % read as dates, month first or else day first, become
     timestamps."""
     targets = names.expand_text(df, columns)
-    rates = rates or parse_rates(df, targets)
+    rates = rates or parse_rates(df, targets, ("date", "dayfirst"))
     for dayfirst, kind in ((False, "date"), (True, "dayfirst")):
         hit = [c for c in targets if rates[c][kind] >= PARSE_RATE]
         df = _map_columns(df, hit, lambda c, d=dayfirst: dates.parse_date(c, dayfirst=d))

@@ -7,9 +7,6 @@ is the newest change per key; ``compact`` rewrites the log when it has grown.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,67 +89,19 @@ def route(batch: DataFrame, batch_id: int, review: str, dead: str, key: str, sta
 
 # --- session timeout ----------------------------------------------------------------------------
 
-SESSION_SCHEMA = "session_id string, opened_us bigint, ended_us bigint, resolved boolean"
-SESSION_STATE = "opened_us bigint, answered_us bigint"
-NO_ANSWER = -1
 EXPIRED = "Clarification session timed out"
 
 
-def session_timeouts(events: DataFrame, minutes: int = 30, lateness: str = "10 minutes") -> DataFrame:
-    """Sessions that end a fixed time after they start.
-
-    ``events``: ``session_id, at, answer`` (boolean). A session starts with its earliest event. An
-    answer within the time resolves it; otherwise it expires. Either is reported once the watermark
-    has passed the deadline, so late events are still counted.
-    """
-    span = minutes * 60_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        opened, answered = state.get if state.exists else (None, NO_ANSWER)
-        for frame in frames:
-            if frame.empty:  # a timeout comes with an empty frame
-                continue
-            first = int(frame["at_us"].min())
-            opened = first if opened is None else min(opened, first)
-            answers = frame.loc[frame["answer"].astype(bool), "at_us"]
-            if len(answers):
-                earliest = int(answers.min())
-                answered = earliest if answered == NO_ANSWER else min(answered, earliest)
-        deadline = opened + span
-        if state.hasTimedOut or state.getCurrentWatermarkMs() * 1_000 >= deadline:
-            resolved = answered != NO_ANSWER and answered <= deadline
-            state.remove()
-            yield pd.DataFrame(
-                {
-                    "session_id": [key[0]], "opened_us": [opened],
-                    "ended_us": [answered if resolved else deadline], "resolved": [resolved],
-                }
-            )
-            return
-        state.update((opened, answered))
-        state.setTimeoutTimestamp(deadline // 1_000 + 1)
-
-    at = F.col("at").cast("timestamp")
-    ended = (
-        events.select("session_id", at.alias("at"), F.unix_micros(at).alias("at_us"), "answer")
-        .withWatermark("at", lateness)
-        .groupBy("session_id")
-        .applyInPandasWithState(step, SESSION_SCHEMA, SESSION_STATE, "append", "EventTimeTimeout")
-    )
-    return ended.select(
-        "session_id",
-        F.timestamp_micros("opened_us").alias("opened_at"),
-        F.timestamp_micros("ended_us").alias("ended_at"),
-        F.when(F.col("resolved"), "resolved").otherwise("quarantined").alias("outcome"),
-        F.when(~F.col("resolved"), EXPIRED).alias("reason"),
+def _first_seen(events: DataFrame) -> DataFrame:
+    """Start and earliest answer of every session, and its newest event time."""
+    return events.groupBy("session_id").agg(
+        F.min("at").alias("opened_at"),
+        F.min(F.when(F.col("answer"), F.col("at"))).alias("answered_at"),
+        F.max("at").alias("seen_at"),
     )
 
 
-def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """The same for stored events: an aggregate per session."""
-    first = events.groupBy("session_id").agg(
-        F.min("at").alias("opened_at"), F.min(F.when(F.col("answer"), F.col("at"))).alias("answered_at")
-    )
+def _outcomes(first: DataFrame, minutes: int) -> DataFrame:
     deadline = F.col("opened_at") + F.make_dt_interval(mins=F.lit(minutes))
     resolved = F.coalesce(F.col("answered_at") <= deadline, F.lit(False))
     return first.select(
@@ -160,4 +109,35 @@ def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
         F.when(resolved, F.col("answered_at")).otherwise(deadline).alias("ended_at"),
         F.when(resolved, "resolved").otherwise("quarantined").alias("outcome"),
         F.when(~resolved, EXPIRED).alias("reason"),
+        deadline.alias("deadline"),
+    )
+
+
+def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """Sessions that end a fixed time after their first event.
+
+    ``events``: ``session_id, at, answer`` (boolean). An answer within the time resolves a session;
+    without one it expires and is quarantined.
+    """
+    return _outcomes(_first_seen(events), minutes).drop("deadline")
+
+
+def log_sessions(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Reduce a stream of session events into a log: per micro-batch, one row per session seen."""
+    run(
+        stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+            lambda batch, batch_id: write_batch(_first_seen(batch), batch_id, path)
+        )
+    )
+
+
+def ended_sessions(spark: SparkSession, path: str, minutes: int = 30, lateness_minutes: int = 10) -> DataFrame:
+    """Sessions of a log whose deadline has passed, by event time: the newest event seen less the
+    time that events may be late. Everything is a minimum or maximum, so the batches combine in any
+    order and a late event that still counts changes the outcome."""
+    log = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+    merged = log.groupBy("session_id").agg(
+        F.min("opened_at").alias("opened_at"), F.min("answered_at").alias("answered_at")
     )
+    clock = log.agg(F.max("seen_at") - F.make_dt_interval(mins=F.lit(lateness_minutes))).scalar()
+    return _outcomes(merged, minutes).filter(F.col("deadline") <= clock).drop("deadline")
