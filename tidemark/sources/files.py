@@ -31,7 +31,7 @@ SNIFFED_LINES = 10
 
 
 def read(spark: SparkSession, path, glob: str | None = None) -> DataFrame:
-    """Files with their content."""
+    """Files with their content. Spark's file scan leaves out files of zero length."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
