@@ -119,12 +119,12 @@ def _(t: Tables):
     return ops.failure_reasons(jobs(t), comments(t))
 
 
-_LIST = f"""WITH {JOBS} SELECT id, status, uploaded_at, greatest(coalesce(n, 0), CASE WHEN id % 3 = 0 THEN id % 12 ELSE 0 END, id % 9) AS total_rows
-  FROM jobs LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = id"""
+_LIST = f"""WITH {JOBS} SELECT id, status, uploaded_at, greatest(coalesce(n, 0), CASE WHEN o_orderpriority LIKE '%I%' THEN user_id % 12 ELSE 0 END, id % 9) AS total_rows
+  FROM jobs JOIN orders ON o_orderkey = id LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = id"""
 
 
 def _profiles(t: Tables):
-    return t.orders.filter("o_orderkey % 3 = 0").selectExpr("o_orderkey as submission_id", "o_orderkey % 12 as row_count")
+    return t.orders.filter("o_orderpriority like '%I%'").selectExpr("o_orderkey as submission_id", "o_custkey % 12 as row_count")
 
 
 @query("kpi10_job_rows", _LIST)
@@ -272,7 +272,7 @@ def _calls(t: Tables):
         F.col("event_id").alias("physical_attempt_id"), F.lit("started").alias("event"), F.col("event_type").alias("operation"),
         "ts", F.lit(None).cast("bigint").alias("total_tokens"), F.lit(None).cast("string").alias("error_type"),
     )
-    ended = t.events.filter("user_id % 10 <> 3").select(
+    ended = t.events.filter("value > 5").select(
         F.col("event_id").alias("physical_attempt_id"), kind.alias("event"), F.lit(None).cast("string").alias("operation"),
         F.expr("ts + make_dt_interval(0, 0, 0, cast(event_id % 60 as int))").alias("ts"),
         F.when(kind == "completed", F.col("user_id") * 10).alias("total_tokens"),
@@ -283,9 +283,9 @@ def _calls(t: Tables):
 
 @query(
     "kpi21_calls",
-    """SELECT event_id AS physical_attempt_id, event_type AS operation, CASE WHEN user_id % 10 = 3 THEN NULL WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS outcome,
-  CASE WHEN user_id % 10 <> 3 AND event_type <> 'error' THEN user_id * 10 END AS total_tokens, CASE WHEN user_id % 10 <> 3 AND event_type = 'error' THEN 'timeout' END AS error_type,
-  CASE WHEN user_id % 10 <> 3 THEN (event_id % 60) * 1000.0::DOUBLE END AS duration_ms FROM events""",
+    """SELECT event_id AS physical_attempt_id, event_type AS operation, CASE WHEN value <= 5 THEN NULL WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS outcome,
+  CASE WHEN value > 5 AND event_type <> 'error' THEN user_id * 10 END AS total_tokens, CASE WHEN value > 5 AND event_type = 'error' THEN 'timeout' END AS error_type,
+  CASE WHEN value > 5 THEN (event_id % 60) * 1000.0::DOUBLE END AS duration_ms FROM events""",
 )
 def _(t: Tables):
     return ops.calls(_calls(t)).drop("started_at", "ended_at")
@@ -293,10 +293,10 @@ def _(t: Tables):
 
 @query(
     "kpi21_call_stats",
-    """SELECT event_type AS operation, count(*) AS attempts, count(*) FILTER (user_id % 10 <> 3 AND event_type <> 'error') AS completed,
-  count(*) FILTER (user_id % 10 <> 3 AND event_type = 'error') AS failed, count(*) FILTER (user_id % 10 = 3) AS open,
-  CAST(coalesce(sum(user_id * 10) FILTER (user_id % 10 <> 3 AND event_type <> 'error'), 0) AS BIGINT) AS total_tokens,
-  round(avg((event_id % 60) * 1000.0) FILTER (user_id % 10 <> 3), 4) AS mean_ms FROM events GROUP BY 1""",
+    """SELECT event_type AS operation, count(*) AS attempts, count(*) FILTER (value > 5 AND event_type <> 'error') AS completed,
+  count(*) FILTER (value > 5 AND event_type = 'error') AS failed, count(*) FILTER (value <= 5) AS open,
+  CAST(coalesce(sum(user_id * 10) FILTER (value > 5 AND event_type <> 'error'), 0) AS BIGINT) AS total_tokens,
+  round(avg((event_id % 60) * 1000.0) FILTER (value > 5), 4) AS mean_ms FROM events GROUP BY 1""",
 )
 def _(t: Tables):
     return ops.call_stats(_calls(t)).drop("p50_p95_ms").withColumn("mean_ms", F.round("mean_ms", 4))

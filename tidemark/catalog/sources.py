@@ -334,15 +334,15 @@ def _(t: Tables):
     "snk6_replace_keys",
     """SELECT o_custkey, count(*) AS n, max(record_index) AS last_index FROM (
   SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS record_index FROM orders
-  WHERE o_custkey % 3 <> 0 OR o_orderstatus = 'F') GROUP BY 1""",
+  LEFT JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING' OR o_orderstatus = 'F') GROUP BY 1""",
 )
 def _(t: Tables):
     path = _out(t, "row-store")
     df = t.orders.select("o_custkey", "o_orderkey", "o_orderstatus")
     sinks.replace_keys(df, path, "o_custkey", ["o_orderkey"], 16)
-    fewer = df.filter("o_custkey % 3 = 0 and o_orderstatus = 'F'")
-    gone = df.filter("o_custkey % 3 = 0")
-    sinks.replace_keys(fewer, path, "o_custkey", ["o_orderkey"], 16, of_keys=gone.select("o_custkey"))
+    building = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    fewer = df.filter("o_orderstatus = 'F'").join(building, "o_custkey", "left_semi")
+    sinks.replace_keys(fewer, path, "o_custkey", ["o_orderkey"], 16, of_keys=building)
     return t.spark.read.parquet(path).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("record_index").alias("last_index"))
 
 

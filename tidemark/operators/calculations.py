@@ -198,7 +198,7 @@ def running_total(
 ) -> DataFrame:
     """Cumulative sum in order; a null value gives null and does not break the sum.
 
-    ``sort_by`` should end in a unique column; without one, the order among equals is free.
+    Rows equal in ``sort_by`` are taken in an order of their own that does not change between runs.
     """
     name = output or f"running_total_{column}"
     _number(df, column)

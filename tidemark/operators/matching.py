@@ -233,14 +233,14 @@ PRESENCE_OPERATORS = ("eq", "in", "contains", "starts_with", "ends_with")
 def value_presence(df: DataFrame, column: str, operator: str, value, case_sensitive: bool = False) -> DataFrame:
     """Does a literal occur in a text column: one row with match kind, distinct matches, 5 samples.
 
-    Distinct values are found by grouping; the five smallest are kept as samples.
+    Only matching rows are grouped into distinct values; the five smallest are kept as samples.
     """
     names.require(df, column)
     if operator not in PRESENCE_OPERATORS:
         raise PlanError(f"{operator} needs no look at the values")
     wanted = [str(v).strip() for v in (value if operator == "in" else [value]) if str(v).strip()]
     shown = text.strip(F.col(f"`{column}`"))
-    distinct = df.select(shown.alias("v")).filter("v is not null and v <> ''").distinct()
+    values = df.select(shown.alias("v")).filter("v is not null and v <> ''")
     v = F.col("v")
     word = v if case_sensitive else text.word_key(v)
     compact = text.compact_key(v, case_sensitive)
@@ -250,7 +250,7 @@ def value_presence(df: DataFrame, column: str, operator: str, value, case_sensit
         as_compact = text.compact_key(F.lit(w), case_sensitive)
         test = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}.get(operator)
         hit = hit | (test(word, as_word) | test(compact, as_compact) if test else (word == as_word) | (compact == as_compact))
-    matches = distinct.filter(hit)
+    matches = values.filter(hit).distinct()
     facts = matches.agg(
         F.count(F.lit(1)).alias("match_count"), F.count_if(v.isin(wanted)).alias("exact")
     )

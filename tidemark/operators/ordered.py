@@ -34,12 +34,15 @@ def running(
     slices: int | None = None,
 ) -> DataFrame:
     """Add running values per group in ascending order; ``slices`` defaults to the session's
-    shuffle partitions."""
+    shuffle partitions. Rows that are equal in ``order_by`` are ordered by a hash of the whole row,
+    so the result does not depend on the run and many equal rows still spread over slices."""
     names.require(df, partition_by + order_by)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("__tie", F.xxhash64(*[_c(c) for c in df.columns]))
+    order_by = [*order_by, "__tie"]
     sort = [_c(c) for c in partition_by + order_by]
     sliced = materialize(
-        df.repartitionByRange(n, *sort).withColumn("__slice", F.spark_partition_id()), "slices"
+        tied.repartitionByRange(n, *sort).withColumn("__slice", F.spark_partition_id()), "slices"
     )
     key = F.struct(F.lit(0).alias("z"), *[_c(c).alias(f"k{i}") for i, c in enumerate(partition_by)])
     carry = _carry(sliced.withColumn("__key", key), order_by, values)

@@ -16,6 +16,7 @@ from tidemark.operators import ordered
 
 VALUES_SHOWN = 5
 SAMPLE_CHARS = 64
+DIGEST_CHARS = 64
 
 
 def _c(name: str) -> Column:
@@ -32,6 +33,13 @@ def _shown(df: DataFrame, column: str) -> Column:
     return _c(column).cast("string")
 
 
+def _counted(df: DataFrame, column: str) -> Column:
+    shown = _shown(df, column)
+    if not names.is_text(df.schema[column].dataType):
+        return shown
+    return F.when(F.length(shown) > DIGEST_CHARS, F.concat(F.lit("\u0000"), F.sha2(shown, 256))).otherwise(shown)
+
+
 def value_counts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """``column, value, n, first_at`` for every distinct non-null value of every column.
 
@@ -49,8 +57,11 @@ def value_counts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """``column, distinct_count`` of every column, exact."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _shown(df, c).alias("value")) for c in df.columns])
+    """``column, distinct_count`` of every column. Texts longer than a SHA-256 stand for themselves by
+    it, so that long documents are not sent through the shuffle to be counted."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), _counted(df, c).alias("value")) for c in df.columns]
+    )
     return (
         df.select(F.explode(pairs).alias("p"))
         .select("p.column", "p.value")

@@ -43,8 +43,10 @@ def with_first_child(
 
 
 def having(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str) -> DataFrame:
-    """Parents for which at least one child exists."""
-    return parents.join(children.select(_c(child_key).alias("__k")), _c(parent_key) == F.col("__k"), "left_semi")
+    """Parents for which at least one child exists. The child keys are made distinct before the join,
+    so a parent with a third of all children is one join row."""
+    keys = children.select(_c(child_key).alias("__k")).distinct()
+    return parents.join(keys, _c(parent_key) == F.col("__k"), "left_semi")
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, columns: dict[str, str]) -> DataFrame:

@@ -47,19 +47,19 @@ def json_rows(
     """
     reader = spark.read.option("multiLine", not lines)
     df = reader.schema(schema).json(path) if schema else reader.json(path)
-    for f in _in_document_order(df, spark, path, schema):
+    for f in _in_document_order(df, spark, path, schema, lines):
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             return df.select(F.inline(F.col(f"`{f.name}`")))
     return df
 
 
-def _in_document_order(df: DataFrame, spark: SparkSession, path, schema) -> list[T.StructField]:
+def _in_document_order(df: DataFrame, spark: SparkSession, path, schema, lines: bool) -> list[T.StructField]:
     """The fields in the order the documents have them. Inference sorts the names, so the first list
     is looked up in the text of one document when there is a choice."""
     lists = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if schema or len(lists) < 2:
         return df.schema.fields
-    start = spark.read.text(path, wholetext=True).first()[0]
+    start = spark.read.text(path, wholetext=not lines).first()[0]
     return sorted(df.schema.fields, key=lambda f: start.find(f'"{f.name}"'))
 
 
