@@ -92,3 +92,15 @@ def test_scopes(spark, df):
     assert filters.owner_scope(df, "id", "admin", 0).count() == 6
     with pytest.raises(PlanError):
         filters.owner_scope(df, "id", "visitor", 0)
+
+
+def test_texts_as_numbers_and_dates(df, tables):
+    assert ids(df, c("amount", "eq", "20")) == [2]
+    assert ids(df, c("amount", "eq", "twenty")) == []
+    assert ids(df, c("amount", "neq", "twenty")) == [1, 2, 3, 4, 5, 6]
+    assert ids(df, c("id", "in", ["1", 4, "x"])) == [1, 4]
+    assert ids(df, c("amount", "gt", "45")) == [5, 6]
+    with pytest.raises(PlanError, match="needs numbers"):
+        ids(df, c("amount", "gt", "many"))
+    with pytest.raises(PlanError, match="Not a date"):
+        filters.apply_filter(tables.orders, [c("o_orderdate", "gt", "soon")])

@@ -139,11 +139,12 @@ AGGREGATES = {
 for _fn, _sql in AGGREGATES.items():
 
     @query(
-        f"flt19_above_{_fn}",
-        f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= (SELECT {_sql.format(x='o_totalprice')} FROM orders)",
+        f"flt19_against_{_fn}",
+        f"SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice {'<' if _fn == 'sum' else '>='} (SELECT {_sql.format(x='o_totalprice')} FROM orders)",
     )
     def _(t: Tables, fn=_fn):
-        return ops.apply_filter(t.orders, [c("o_totalprice", "gte", {"function": fn})], select=["o_orderkey", "o_totalprice"])
+        operator = "lt" if fn == "sum" else "gte"
+        return ops.apply_filter(t.orders, [c("o_totalprice", operator, {"function": fn})], select=["o_orderkey", "o_totalprice"])
 
 
 @query(

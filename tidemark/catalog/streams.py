@@ -153,7 +153,11 @@ def _(t: Tables):
     return ingest.to_table(shown, "clean")
 
 
-@query("str8_late_events")
+@query(
+    "str8_late_events",
+    """SELECT count(*) FILTER (ts >= newest - INTERVAL 7 DAY) AS kept, count(*) FILTER (ts < newest - INTERVAL 7 DAY) AS dropped
+  FROM events, (SELECT max(ts) AS newest FROM events)""",
+)
 def _(t: Tables):
     """Events in a second wave that is older than the watermark are dropped and counted."""
     path = scratch_path(t.spark, "late")

@@ -6,6 +6,7 @@ its complement, so it keeps nulls. Everything is a Column, so filters reach the
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,6 @@ ALIASES = {
 
 NEGATIONS = {"neq": "eq", "not_contains": "contains", "not_in": "in"}
 ORDERED = ("gt", "gte", "lt", "lte", "between")
-INLINE_VALUES = 1_000
 
 
 def operator_name(name: str) -> str:
@@ -62,6 +62,8 @@ def check(df: DataFrame, condition: dict) -> None:
     if value is None:
         raise PlanError(f"{op} needs a value")
     aggregated = isinstance(value, dict)
+    if op in ORDERED and names.is_numeric(kind) and None in (_number(value), _number(upper) if upper is not None else 0):
+        raise PlanError(f"{op} on {condition['column']} needs numbers")
     if op in ORDERED and not aggregated and not (names.is_numeric(kind) or names.is_dated(kind)):
         raise PlanError(f"{op} needs a number or date column, {condition['column']} is {kind.simpleString()}")
 
@@ -103,7 +105,8 @@ def _compare(c: Column, kind: T.DataType, op: str, value, upper, cased: bool) ->
     if op == "in":
         if names.is_text(kind):
             return text.compact_key(c, cased).isin(_wanted_keys(value, cased))
-        return c.isin([v for v in value if v is not None])
+        wanted = [_number(v) if names.is_numeric(kind) else v for v in value]
+        return c.isin([v for v in wanted if v is not None])
     shown, wanted = c.cast("string"), str(value)
     if not cased:
         shown, wanted = F.lower(shown), wanted.lower()
@@ -112,7 +115,25 @@ def _compare(c: Column, kind: T.DataType, op: str, value, upper, cased: bool) ->
 
 
 def _literal(value, kind: T.DataType) -> Column:
-    return F.lit(value).cast(kind) if names.is_dated(kind) and isinstance(value, str) else F.lit(value)
+    """A value in the type of its column. Texts are read as ISO dates or numbers; a text that is no
+    number equals nothing, and one that is no date is an error."""
+    if isinstance(value, str) and names.is_dated(kind):
+        try:
+            return F.lit(datetime.datetime.fromisoformat(value).isoformat()).cast("timestamp_ntz").cast(kind)
+        except ValueError as error:
+            raise PlanError(f"Not a date: {value!r}") from error
+    if isinstance(value, str) and names.is_numeric(kind):
+        return F.lit(_number(value))
+    return F.lit(value)
+
+
+def _number(value) -> float | int | None:
+    if not isinstance(value, str):
+        return value
+    try:
+        return float(value)
+    except ValueError:
+        return None
 
 
 def _wanted_keys(values, cased: bool) -> list[str]:

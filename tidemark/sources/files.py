@@ -9,14 +9,19 @@ from __future__ import annotations
 import csv
 import io
 import json
+import sys
 import zipfile
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.errors import PlanError
 
+# The sniffers run in Python workers; sent by value, they work where the package is not installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Accepted extensions, magic bytes, and the size guard of the loader.
 EXTENSIONS = (".xlsx", ".xls", ".csv", ".tsv", ".pdf", ".png", ".jpg", ".jpeg", ".webp", ".json", ".txt")
 MAGIC = {
