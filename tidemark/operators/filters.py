@@ -91,6 +91,8 @@ def _compare(c: Column, kind: T.DataType, op: str, value, upper, cased: bool) ->
     if op == "eq":
         if names.is_text(kind) and isinstance(value, str):
             return text.fold(c, cased) == F.lit(value if cased else value.lower().strip())
+        if names.is_numeric(kind) and _number(value) is None:
+            return F.lit(False)
         return c == _literal(value, kind)
     if op == "gt":
         return c > _literal(value, kind)
