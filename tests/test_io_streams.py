@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError, UnknownOperatorError
 from tidemark.plans import registry
 from tidemark.plans.run import apply_ops, filter_prepared, params_hash, with_auto_prep
-from tidemark.session import scratch_path
+from tidemark.session import path_exists, scratch_path
 from tidemark.sources import files, readers, sinks
 from tidemark.streaming import ingest, live, state
 
@@ -182,7 +182,6 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
 
 
 def test_sessions_end_by_answer_or_time(spark, tmp_path):
-    schema = "session_id string, at timestamp_ntz, answer boolean"
     make = lambda *data: spark.sql("select " + " union all select ".join(f"'{s}' as session_id, timestamp_ntz'2024-01-01 {t}' as at, {a} as answer" for s, t, a in data))
     one = make(("a", "10:00:00", "false"), ("b", "10:00:00", "false"), ("c", "10:05:00", "false"))
     two = make(("a", "10:20:00", "true"), ("c", "10:50:00", "true"), ("d", "10:58:00", "false"))
@@ -190,7 +189,7 @@ def test_sessions_end_by_answer_or_time(spark, tmp_path):
     for stream in waves(spark, tmp_path, one, two):
         state.log_sessions(stream, path, checkpoint)
         seen.append(rows(state.ended_sessions(spark, path).select("session_id", "outcome")))
-    assert schema and seen[0] == []
+    assert seen[0] == []
     assert seen[1] == [("a", "resolved"), ("b", "quarantined"), ("c", "quarantined")]
     both = one.unionAll(two)
     assert rows(state.sessions(both).select("session_id", "outcome"))[:3] == seen[1]
@@ -215,4 +214,8 @@ def test_streams_refuse_ops_that_need_the_whole_table(spark):
 
 
 def test_scratch_paths_are_new(spark):
-    assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    first, second = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert first != second and spark.sparkContext.applicationId in first
+    assert not path_exists(spark, first)
+    spark.range(3).write.parquet(first)
+    assert path_exists(spark, first)

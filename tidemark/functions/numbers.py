@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # An output whose name contains one of these is rounded to cents.
 MONEY_WORDS = (
@@ -35,6 +36,11 @@ def to_number(c: Column) -> Column:
     return no_nan(F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double")))
 
 
+def as_number(c: Column, data_type: T.DataType) -> Column:
+    """A column as double: numbers by cast, everything else read from its text."""
+    return no_nan(c) if isinstance(data_type, T.NumericType) else to_number(c)
+
+
 def is_money_name(name: str) -> bool:
     """Whether an output name asks for rounding to cents."""
     lowered = name.lower()

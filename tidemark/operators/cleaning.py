@@ -191,9 +191,9 @@ def coerce_type(df: DataFrame, column: str, target_type: str, errors: str = "coe
             truth = c.isNotNull()
         return df.withColumn(column, F.coalesce(truth, F.lit(True)))
     if target_type in ("float", "decimal"):
-        out = numbers.to_number(c)
+        out = numbers.as_number(c, kind)
     elif target_type == "integer":
-        number = numbers.to_number(c)
+        number = numbers.as_number(c, kind)
         whole = number.try_cast("bigint")
         fraction = F.raise_error(F.concat(F.lit(f"{column}: not a whole number: "), c.cast("string")))
         out = F.when(number.isNotNull() & (number != F.floor(number)), fraction).otherwise(whole)
@@ -205,7 +205,7 @@ def coerce_type(df: DataFrame, column: str, target_type: str, errors: str = "coe
         failed = F.raise_error(F.concat(F.lit(f"{column}: not a {target_type}: "), c.cast("string")))
         out = F.when(c.isNotNull() & out.isNull(), failed).otherwise(out)
     elif errors == "ignore":
-        readable = numbers.to_number(c) if target_type != "date" else out
+        readable = numbers.as_number(c, kind) if target_type != "date" else out
         bad = df.agg(F.count_if(c.isNotNull() & readable.isNull())).first()[0]
         if bad:
             return df

@@ -89,19 +89,20 @@ def _flag(df: DataFrame, column: str, rule: str, k: dict, now) -> Column | None:
     """True for an invalid value; null where the rule does not apply to the value."""
     c, shown = _c(column), _c(column).cast("string")
     value = str(k.get("value", "")).strip()
+    number = numbers.as_number(c, df.schema[column].dataType)
     if rule == "unique":
         return None
     if rule == "required":
         return c.isNull() | (text.strip(shown) == "")
     if rule == "non_negative":
-        return numbers.to_number(c) < 0
+        return number < 0
     if rule == "percentage_range":
-        return ~numbers.to_number(c).between(0, 100)
+        return ~number.between(0, 100)
     if rule == "numeric_range":
         low, high = _bound(k.get("min_value"), float), _bound(k.get("max_value"), float)
         if low is None and high is None:
             return None
-        return c.isNotNull() & _outside(numbers.to_number(c), low, high)
+        return c.isNotNull() & _outside(number, low, high)
     if rule == "date_not_future":
         moment = F.lit(now).cast("timestamp_ntz") if now is not None else F.localtimestamp()
         return dates.as_timestamp(c, df.schema[column].dataType) > moment
@@ -141,7 +142,7 @@ def _cross_field(df: DataFrame, column: str, k: dict) -> Column | None:
     other, operator = str(k.get("compare_column", "")).strip(), str(k.get("operator", "")).strip()
     if other not in df.columns:
         return None
-    a, b = numbers.to_number(_c(column)), numbers.to_number(_c(other))
+    a, b = (numbers.as_number(_c(name), df.schema[name].dataType) for name in (column, other))
     valid = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "==": a == b, "!=": a != b}
     return ~valid[operator] if operator in valid else None
 

@@ -61,3 +61,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on the file system it names."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored below the shared folder. Tables returned by operators that
+    store intermediates read from there, so call it when their results have been written."""
+    folder = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if path_exists(spark, folder):
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
