@@ -137,3 +137,12 @@ def test_replace_values_keeps_unlisted_and_maps_to_null(spark):
 def test_mask_by_name(spark):
     df = df_of(spark, "email string, colour string", ("ann@x.org", "red"))
     assert rows(cleaning.mask_sensitive(df)) == [("a***@x.org", "red")]
+
+
+def test_names_with_dots(spark):
+    df = df_of(spark, "`a.b` string, `c d` double", (" x ", None), (None, None), ("", 1.0))
+    assert rows(columns.project(df, ["c d", "a.b"])) == rows(df.select("`c d`", "`a.b`"))
+    assert rows(cleaning.drop_nulls(cleaning.trim_whitespace(df), ["a.b"])) == [("x", None)]
+    assert sorted(column(cleaning.drop_empty_rows(df), "a.b")) == ["", " x "]
+    assert columns.reorder(df, ["c d"]).columns == ["c d", "a.b"]
+    assert cleaning.drop_duplicates(df, ["a.b"]).count() == 3

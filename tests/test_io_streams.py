@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError, UnknownOperatorError
 from tidemark.plans import registry
 from tidemark.plans.run import apply_ops, filter_prepared, params_hash, with_auto_prep
-from tidemark.session import path_exists, scratch_path
+from tidemark.session import drop_scratch, path_exists, scratch_path
 from tidemark.sources import files, readers, sinks
 from tidemark.streaming import ingest, live, state
 
@@ -219,3 +219,19 @@ def test_scratch_paths_are_new(spark):
     assert not path_exists(spark, first)
     spark.range(3).write.parquet(first)
     assert path_exists(spark, first)
+
+
+def test_scratch_can_be_dropped(spark):
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    drop_scratch(spark)
+    assert not path_exists(spark, path)
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b\n1,"say ""hi"", twice"\n2,"two\nlines"\n')
+    assert rows(readers.csv(spark, str(tmp_path / "q.csv"), multiline=True)) == [(1, 'say "hi", twice'), (2, "two\nlines")]
+    path = sinks.write_csv(spark.createDataFrame([(1, 'x "y", z')], "a int, b string"), str(tmp_path), "out")
+    part = next((tmp_path / "out").glob("*.csv"))
+    assert part.read_text() == 'a,b\n1,"x ""y"", z"\n'
+    assert rows(readers.csv(spark, path)) == [(1, 'x "y", z')]

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import PlanError, UnknownOperatorError
 from tidemark.functions import dates, names, numbers, text
-from tidemark.operators import cleaning, ordered
+from tidemark.operators import cleaning, columns, ordered
 from tidemark.operators.quantiles import exact_quantile
 
 
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
-
+_c = columns.col
 
 def _number(df: DataFrame, column: str) -> Column:
     names.require(df, column)
@@ -75,7 +73,7 @@ def scalars(df: DataFrame, wanted: list[tuple[str, str, str | None]]) -> DataFra
 
 def _present(df: DataFrame, keys: list[str]) -> DataFrame:
     names.require(df, keys)
-    return df.na.drop(how="any", subset=keys)
+    return df.filter(columns.has_value(df, keys))
 
 
 def group(df: DataFrame, function: str, column: str, group_by: list[str], output: str | None = None) -> DataFrame:

@@ -38,8 +38,7 @@ PREP_STEPS = (
 )
 
 
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+_c = cols.col
 
 
 def _map_columns(df: DataFrame, targets: list[str], fn) -> DataFrame:
@@ -292,11 +291,12 @@ def drop_nulls(df: DataFrame, columns: list[str] | None = None, how: str = "any"
     if not targets:
         return df
     blanks = [c for c in targets if names.is_text(df.schema[c].dataType)]
-    return _map_columns(df, blanks, text.blank_to_null).na.drop(how=how, subset=targets)
+    out = _map_columns(df, blanks, text.blank_to_null)
+    return out.filter(cols.has_value(out, targets, how))
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
-    return df.na.drop("all")
+    return df.filter(cols.has_value(df, df.columns, "all"))
 
 
 def json_safe(df: DataFrame) -> DataFrame:

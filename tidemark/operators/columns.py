@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.errors import PlanError
 from tidemark.functions import names
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def has_value(df: DataFrame, columns: list[str], how: str = "any") -> Column:
+    """The rows ``na.drop`` keeps, for names of any kind: with ``any`` every column must have a value,
+    with ``all`` at least one. NaN is no value."""
+    if how not in ("any", "all"):
+        raise PlanError(f"Unknown mode {how!r}")
+    present = []
+    for name in columns:
+        found = col(name).isNotNull()
+        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            found = found & ~F.isnan(col(name))
+        present.append(found)
+    return reduce((lambda a, b: a & b) if how == "any" else (lambda a, b: a | b), present)
+
+
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """Keep the listed columns in the listed order; unknown names are an error."""
     names.require(df, columns)
-    return df.select(*columns)
+    return df.select(*[col(c) for c in columns])
 
 
 def drop(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,7 +51,7 @@ def rename(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 def reorder(df: DataFrame, columns: list[str]) -> DataFrame:
     """Listed columns first, the others behind in their old order."""
     first = [c for c in columns if c in df.columns]
-    return df.select(*first, *[c for c in df.columns if c not in first])
+    return df.select(*[col(c) for c in first], *[col(c) for c in df.columns if c not in first])
 
 
 def normalize_names(df: DataFrame, style: str = "snake_case") -> DataFrame:
@@ -50,18 +73,19 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 def drop_empty(df: DataFrame) -> DataFrame:
     """Remove columns in which every value is null: one aggregate over all columns."""
-    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
-    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if counts[i] > 0])
+    counts = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    return df.select(*[col(c) for i, c in enumerate(df.columns) if counts[i] > 0])
 
 
 def family(df: DataFrame, reference: str) -> DataFrame:
     """The columns that belong to a reference such as ``loans``."""
-    return df.select(*names.family(df.columns, reference))
+    return df.select(*[col(c) for c in names.family(df.columns, reference)])
 
 
 def hide_internal(df: DataFrame) -> DataFrame:
     """Drop columns whose name starts with an underscore and rows that are left empty."""
-    return df.select(*[c for c in df.columns if not c.startswith("_")]).na.drop("all")
+    shown = [c for c in df.columns if not c.startswith("_")]
+    return df.select(*[col(c) for c in shown]).filter(has_value(df, shown, "all"))
 
 
 def hide_internal_keys(df: DataFrame, column: str) -> DataFrame:

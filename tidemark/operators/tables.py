@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError
 from tidemark.functions import dates, names, numbers
 from tidemark.operators import ordered
+from tidemark.operators.columns import has_value
 
 
 def _c(name: str) -> Column:
@@ -73,7 +74,7 @@ def concat(tables: list[DataFrame]) -> DataFrame:
     for t in tables:
         named = t.select(*[_c(c) for c in t.columns if c.strip()])
         out = named if out is None else out.unionByName(named, allowMissingColumns=True)
-    return out.na.drop("all")
+    return out.filter(has_value(out, out.columns, "all"))
 
 
 def value_union(columns: list[DataFrame], name: str) -> DataFrame:

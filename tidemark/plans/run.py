@@ -101,6 +101,6 @@ def filter_prepared(df: DataFrame, conditions: list[dict], logic: str = "and") -
     return registry.ACTIONS["filter"](prepared, {"conditions": fixed, "logic": logic}).select("keptrow.*")
 
 
-def pipeline(ops: list[dict]):
+def transform_of(ops: list[dict]):
     """A function for ``DataFrame.transform``."""
     return lambda df: apply_ops(df, ops, audit=False).df

@@ -11,16 +11,19 @@ from tidemark.operators import columns, ordered
 
 
 def delimited(
-    spark: SparkSession, path, sep: str = ",", schema: T.StructType | str | None = None, headers: str | None = None
+    spark: SparkSession, path, sep: str = ",", schema: T.StructType | str | None = None, headers: str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV or other delimited files with a header row. Give a schema for large inputs: inferring the
     types reads the files once more. ``headers`` is None, ``source`` or ``ledger`` normalization;
-    with it, rows without any value are dropped too."""
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
+    with it, rows without any value are dropped too. Quotes inside a value are doubled. Values with
+    line breaks need ``multiline``, which makes every file one task's work."""
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     if headers is None:
         return df
-    return columns.normalize_headers(df, ledger=headers == "ledger").na.drop("all")
+    named = columns.normalize_headers(df, ledger=headers == "ledger")
+    return named.filter(columns.has_value(named, named.columns, "all"))
 
 
 def csv(spark: SparkSession, path, **options) -> DataFrame:
@@ -33,7 +36,7 @@ def tsv(spark: SparkSession, path, **options) -> DataFrame:
 
 def header(spark: SparkSession, path, sep: str = ",") -> list[str]:
     """Column names without reading data beyond the first line."""
-    return spark.read.option("header", True).option("sep", sep).csv(path).columns
+    return spark.read.option("header", True).option("sep", sep).option("escape", '"').csv(path).columns
 
 
 def json_rows(

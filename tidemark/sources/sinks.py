@@ -33,7 +33,7 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, base: str, name: str) -> str:
     path = safe_output(base, name)
-    _texts(df).write.option("header", True).option("encoding", "UTF-8").csv(path)
+    _texts(df).write.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
     return path
 
 
@@ -144,7 +144,7 @@ def write_bundle(
     parts["column_mapping"] = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in MAPPING_COLUMNS))
     for part, df in parts.items():
         out = _texts(df) if fmt == "csv" else df
-        out.write.format(fmt).option("header", True).save(f"{path}/{part}")
+        out.write.format(fmt).option("header", True).option("escape", '"').save(f"{path}/{part}")
     return {part: f"{path}/{part}" for part in parts}
 
 

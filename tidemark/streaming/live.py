@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError
 from tidemark.operators import cleaning, rules
 from tidemark.plans import registry
-from tidemark.plans.run import pipeline
+from tidemark.plans.run import transform_of
 from tidemark.streaming import state
 
 
@@ -46,7 +46,7 @@ def clean(stream: DataFrame, ops: list[dict]) -> DataFrame:
         constant = op["type"] == "fill_nulls" and op.get("strategy") in ("zero", "empty_string", "constant")
         if op["type"] in registry.DATA_DEPENDENT and not constant:
             raise PlanError(f"{op['type']} needs the whole table and cannot run on a stream")
-    return pipeline(ops)(stream)
+    return transform_of(ops)(stream)
 
 
 def flag(stream: DataFrame, constraints: list[dict], now=None) -> DataFrame:
