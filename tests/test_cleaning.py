@@ -146,3 +146,12 @@ def test_names_with_dots(spark):
     assert sorted(column(cleaning.drop_empty_rows(df), "a.b")) == ["", " x "]
     assert columns.reorder(df, ["c d"]).columns == ["c d", "a.b"]
     assert cleaning.drop_duplicates(df, ["a.b"]).count() == 3
+
+
+def test_mode_of_several_columns(spark):
+    schema = "n int, x double, s string, d date, e string"
+    df = df_of(spark, schema, *[(9, 1.5, "10", None, None), (10, None, "9", None, None), (None, 1.5, None, None, None)])
+    df = df.withColumn("d", df["n"].cast("string").try_cast("date"))
+    out = cleaning.fill_nulls(df, df.columns, "mode")
+    assert out.dtypes == df.dtypes
+    assert rows(out) == rows(df_of(spark, schema, (9, 1.5, "10", None, None), (10, 1.5, "9", None, None), (9, 1.5, "10", None, None)))

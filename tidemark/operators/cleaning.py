@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.errors import PlanError
 from tidemark.functions import dates, names, numbers, text
 from tidemark.operators import columns as cols
+from tidemark.operators import ordered
 from tidemark.operators.quantiles import exact_quantile
 
 PARSE_RATE = 0.8
@@ -258,7 +259,8 @@ def fill_nulls(df: DataFrame, columns, strategy: str, value=None) -> DataFrame:
     elif strategy == "median":
         fills = {c: F.lit(exact_quantile(df, c, 0.5)) for c in numeric}
     elif strategy == "mode":
-        fills = {c: F.lit(_mode(df, c)) for c in targets}
+        modes = _modes(df, targets) if targets else {}
+        fills = {c: F.lit(modes.get(c)) for c in targets}
     else:
         raise PlanError(f"Unknown fill strategy {strategy!r}")
     return df.withColumns({c: _filled(df, c, fill, strategy) for c, fill in fills.items()}) if fills else df
@@ -272,17 +274,22 @@ def _filled(df: DataFrame, column: str, fill: Column, strategy: str) -> Column:
     return F.coalesce(_c(column), fill)
 
 
-def _mode(df: DataFrame, column: str):
-    """Smallest of the most frequent values: a grouped count and a top-1, never one big map."""
-    top = (
-        df.filter(_c(column).isNotNull())
-        .groupBy(_c(column).alias("v"))
-        .count()
-        .orderBy(F.desc("count"), F.asc("v"))
-        .limit(1)
-        .collect()
+def _modes(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Smallest of the most frequent values of every column, as text: one grouped count for all
+    columns, of which one row per column comes back."""
+
+    def pair(i: int, name: str) -> Column:
+        numeric = names.is_numeric(df.schema[name].dataType)
+        number = _c(name).cast("double") if numeric else F.lit(None).cast("double")
+        return F.struct(F.lit(i).alias("i"), _c(name).cast("string").alias("v"), number.alias("number"))
+
+    pairs = F.explode(F.array(*[pair(i, c) for i, c in enumerate(columns)]))
+    counted = (
+        df.select(pairs.alias("p")).select("p.*").filter("v is not null")
+        .groupBy("i", "v").agg(F.first("number").alias("number"), F.count(F.lit(1)).alias("n"))
     )
-    return top[0]["v"] if top else None
+    top = ordered.first_per_key(counted, ["i"], [F.desc("n"), F.col("number"), F.col("v")])
+    return {columns[r["i"]]: r["v"] for r in top.collect()}
 
 
 def drop_nulls(df: DataFrame, columns: list[str] | None = None, how: str = "any") -> DataFrame:
