@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, words
+from tidemark.llm.common import materialize, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -25,33 +25,40 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
+def normal_text(text: Column) -> Column:
+    """Lower case, every digit 0, one space between words; lines stay lines."""
+    digits = F.regexp_replace(F.lower(text), "[0-9]", "0")
+    return F.regexp_replace(F.regexp_replace(digits, r"[\x09\x0B-\x0D]", " "), "  +", " ")
+
+
 def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[\s\p{Z}]+", " "), r"\p{Nd}", "0"))
+    return F.trim(normal_text(line))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
 
-    Windows of eight words are compared by hashes, which are built in three doublings. Texts without an
-    equal pair, nearly all, need one hash set; in others the hashes are sorted with their places, and
-    the words under the windows found twice or more are summed in one pass.
+    Windows are compared by hashes. Two equal windows of eight words begin with two equal windows of
+    four, so texts without such a pair, nearly all, need one pass and one hash set. For the others the
+    hashes of eight are sorted with their places, and the words under those found twice or more are
+    summed in one pass.
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
-    def doubled(name: str, by: int) -> Column:
-        h = F.col(name)
-        return F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    def repeats(name: str) -> Column:
+        return F.size(F.array_distinct(name)) < F.size(name)
 
     df = docs.withColumn("__w", words(F.col(text))).withColumn("n_words", F.size("__w").cast("long"))
-    df = df.withColumn("__h1", F.when(F.col("n_words") > WINDOW, F.transform("__w", lambda w: F.xxhash64(w))))
-    df = df.withColumn("__h2", doubled("__h1", 1)).withColumn("__h4", doubled("__h2", 2)).withColumn("__h8", doubled("__h4", 4))
-    df = df.withColumn("__win", F.slice("__h8", F.lit(1), (F.col("n_words") - WINDOW + 1).cast("int")))
+    four = F.transform("__w", lambda w, i: F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2), F.get("__w", i + 3)))
+    windows = (F.col("n_words") - WINDOW + 1).cast("int")
+    df = df.withColumn("__h4", F.when(F.col("n_words") > WINDOW, F.slice(four, F.lit(1), windows + 4)))
+    df = df.withColumn(
+        "__h8",
+        F.when(repeats("__h4"), F.slice(F.zip_with("__h4", F.slice("__h4", F.lit(5), windows), lambda a, b: F.xxhash64(a, b)), F.lit(1), windows)),
+    )
     df = df.withColumn(
         "__sorted",
-        F.when(
-            F.size(F.array_distinct("__win")) < F.size("__win"),
-            F.sort_array(F.transform("__win", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-        ),
+        F.when(repeats("__h8"), F.sort_array(F.transform("__h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     )
     s = F.col("__sorted")
     twice = F.filter(
@@ -68,8 +75,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.select(
         *docs.columns,
         "n_words",
-        F.length(F.translate(body, WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -93,15 +100,22 @@ def shared_lines(
     Copies of a text count once. Counts are summed before each shuffle; a line that a third of all
     documents share is split by adaptive joins.
     """
+    line = F.transform(
+        F.filter(F.split(normal_text(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.trim(x) != ""),
+        lambda x: F.trim(x),
+    )
     lines = docs.select(
         F.xxhash64(F.coalesce(F.col(host), F.lit("")), F.col(host).isNull()).alias("host"),
-        text_key(host, text).alias("text_key"), F.col(id).alias("id"),
-        F.posexplode(F.transform(text_lines(F.col(text)), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("words")))).alias("pos", "at"),
+        text_key(host, text).alias("text_key"), F.col(id).alias("id"), line.alias("lines"),
+    ).select("host", "text_key", "id", F.posexplode("lines").alias("pos", "line")).select(
+        "host", "text_key", "id", "pos", F.xxhash64("line").alias("line"),
+        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"),
     )
-    once = lines.groupBy("host", "text_key", F.col("at.line").alias("line"), "pos").agg(
-        F.first("at.words").alias("words"), F.min("id").alias("id")
+    once = lines.groupBy("host", "text_key", "line", "pos").agg(
+        F.first("words").alias("words"), F.min("id").alias("id")
     )
     found = once.groupBy("host", "line", "text_key").agg(F.sum("words").alias("words"), F.min("id").alias("id"))
+    found = materialize(found, "lines")
     counted = found.groupBy("host", "line").agg(
         F.count("*").alias("docs"), F.min(F.struct("id", "text_key"))["text_key"].alias("first")
     ).where(F.col("docs") > line_docs)
