@@ -35,7 +35,7 @@ def test_repeats(spark, text):
 
 def corpus(spark):
     own = lambda i: "\n".join(f"line {chr(97 + k)} of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} with {chr(97 + k)} more words" for k in range(4))
-    rows = [(i, "h", own(i) + "\nAll  rights RESERVED 2024.") for i in range(30)]
+    rows = [(i, "h", own(i) + "\nAll rights RESERVED 2024. ") for i in range(30)]
     rows += [(100 + i, "h", rows[0][2]) for i in range(20)]  # copies count once
     rows += [(200, "h", "\n".join(["all rights reserved 2025."] * 9)), (300, None, rows[1][2])]
     return spark.createDataFrame(rows, "doc_id long, source string, text string")
@@ -44,10 +44,10 @@ def corpus(spark):
 def test_shared_lines_go_and_depleted_documents_too(spark):
     df = corpus(spark)
     got = {r["doc_id"]: r for r in line_rules.judge(df).collect()}
-    assert got[1]["n_removed_words"] == 4 and got[1]["kept"]
-    assert got[0]["n_removed_words"] == 0 == got[105]["n_removed_words"]  # the first document that has it, and its copies
-    assert got[200]["n_removed_words"] == 36 and not got[200]["kept"]
-    assert got[300]["n_removed_words"] == 0  # another host
+    assert got[1]["n_removed_chars"] == 25 and got[1]["kept"]
+    assert got[0]["n_removed_chars"] == 0 == got[105]["n_removed_chars"]  # the first document that has it, and its copies
+    assert got[200]["n_removed_chars"] == 9 * 25 and not got[200]["kept"]
+    assert got[300]["n_removed_chars"] == 0  # another host
     out = {r["doc_id"]: r["text"] for r in line_rules.cleaned(df).collect()}
     assert "RESERVED" not in out[1] and "RESERVED" in out[0] and "RESERVED" in out[300] and 200 not in out
     assert out[1].count("\n") == 3

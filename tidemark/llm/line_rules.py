@@ -1,8 +1,8 @@
 """Quality rules: counts over whole texts, and lines that many documents of a host share.
 
-DataFrame functions alone. A line is normalised (white space, case, digits), hashed together with its
+DataFrame functions alone. A line is normalised (case, digits, white space around it), hashed together with its
 host, and counted over distinct texts of the host. Lines over the limit are removed from every document
-but the first that has them, so one copy of a passage stays; documents that lose most words go.
+but the first that has them, so one copy of a passage stays; documents that lose most of their text go.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, words
+from tidemark.llm.common import WHITE, materialize, words
 
 WINDOW = 8
 MIN_WORDS = 20
 #: A line is removed if it is in more distinct documents of its host than this, and than this share of them.
 LINE_DOCS, LINE_SHARE = 10, 0.001
-#: A document is depleted if over this share of its words is in removed lines.
+#: A document is depleted if over this share of its characters is in removed lines.
 DEPLETED = 0.5
 
 
@@ -25,14 +25,9 @@ def text_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def normal_text(text: Column) -> Column:
-    """Lower case, every digit 0, one space between words; lines stay lines."""
-    digits = F.regexp_replace(F.lower(text), "[0-9]", "0")
-    return F.regexp_replace(F.regexp_replace(digits, r"[\x09\x0B-\x0D]", " "), "  +", " ")
-
-
-def normal_line(line: Column) -> Column:
-    return F.trim(normal_text(line))
+def normal(text: Column) -> Column:
+    """Lower case, every digit 0, no white space around; for a line, or before a text is split into lines."""
+    return F.btrim(F.regexp_replace(F.lower(text), "[0-9]", "0"), F.lit(WHITE))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -95,59 +90,55 @@ def shared_lines(
     docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text",
     line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
 ) -> DataFrame:
-    """(text_key, line, words): lines over the limits, for each text that loses them, with their words there.
+    """(text_key, line, chars): lines over the limits, for each text that loses them, with their length there.
 
     Copies of a text count once. Counts are summed before each shuffle; a line that a third of all
     documents share is split by adaptive joins.
     """
-    line = F.transform(
-        F.filter(F.split(normal_text(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.trim(x) != ""),
-        lambda x: F.trim(x),
-    )
+    line = F.transform(F.split(normal(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.btrim(x, F.lit(WHITE)))
     lines = docs.select(
         F.xxhash64(F.coalesce(F.col(host), F.lit("")), F.col(host).isNull()).alias("host"),
-        text_key(host, text).alias("text_key"), F.col(id).alias("id"), line.alias("lines"),
+        text_key(host, text).alias("text_key"), F.col(id).alias("id"), F.filter(line, lambda x: x != "").alias("lines"),
     ).select("host", "text_key", "id", F.posexplode("lines").alias("pos", "line")).select(
-        "host", "text_key", "id", "pos", F.xxhash64("line").alias("line"),
-        (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).alias("words"),
+        "host", "text_key", "id", "pos", F.xxhash64("line").alias("line"), F.length("line").alias("chars"),
     )
     once = lines.groupBy("host", "text_key", "line", "pos").agg(
-        F.first("words").alias("words"), F.min("id").alias("id")
+        F.first("chars").alias("chars"), F.min("id").alias("id")
     )
-    found = once.groupBy("host", "line", "text_key").agg(F.sum("words").alias("words"), F.min("id").alias("id"))
+    found = once.groupBy("host", "line", "text_key").agg(F.sum("chars").alias("chars"), F.min("id").alias("id"))
     found = materialize(found, "lines")
     counted = found.groupBy("host", "line").agg(
         F.count("*").alias("docs"), F.min(F.struct("id", "text_key"))["text_key"].alias("first")
     ).where(F.col("docs") > line_docs)
     hosts = found.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
     above = counted.join(hosts, "host").where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line", "first")
-    return found.join(above, ["host", "line"]).where("text_key <> first").select("text_key", "line", "words")
+    return found.join(above, ["host", "line"]).where("text_key <> first").select("text_key", "line", "chars")
 
 
 def judge(docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", depleted: float = DEPLETED) -> DataFrame:
-    """Counts, ``base_failed``, ``n_removed_words`` and ``kept`` for every row.
+    """Counts, ``base_failed``, ``n_removed_chars`` and ``kept`` for every row.
 
     A null text counts as empty and fails; null hosts are one host; an empty table gives no rows;
     repeated rows are judged alike.
     """
-    lost = shared_lines(docs, id, host, text).groupBy("text_key").agg(F.sum("words").alias("n_removed_words"))
-    rows = measured(docs.select(F.col(id), F.col(text), text_key(host, text).alias("text_key")), text)
+    lost = shared_lines(docs, id, host, text).groupBy("text_key").agg(F.sum("chars").alias("n_removed_chars"))
+    rows = measured(docs.select(F.col(id), F.col(text), text_key(host, text).alias("text_key")), text).withColumn("__size", F.length(text))
     failed = base_failed()
-    removed = F.coalesce("n_removed_words", F.lit(0)).cast("long")
+    removed = F.coalesce("n_removed_chars", F.lit(0)).cast("long")
     return rows.drop(text).join(lost, "text_key", "left").select(
         id, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (removed <= depleted * F.col("n_words"))).alias("kept"), removed.alias("n_removed_words"),
+        (~failed & (removed <= depleted * F.col("__size"))).alias("kept"), removed.alias("n_removed_chars"),
     )
 
 
 def cleaned(docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", depleted: float = DEPLETED) -> DataFrame:
     """The documents that pass, without the removed lines; the columns of ``docs`` stay as they are."""
     lost = shared_lines(docs, id, host, text).groupBy("text_key").agg(
-        F.sum("words").alias("__lost"), F.collect_set("line").alias("__lines")
+        F.sum("chars").alias("__lost"), F.collect_set("line").alias("__lines")
     ).withColumnRenamed("text_key", "__key")
     rows = docs.withColumn("__key", text_key(host, text)).join(lost, "__key", "left")
-    kept = measured(rows, text).where(~base_failed() & (F.coalesce("__lost", F.lit(0)) <= depleted * F.col("n_words")))
+    kept = measured(rows, text).where(~base_failed() & (F.coalesce("__lost", F.lit(0)) <= depleted * F.length(text)))
     without = F.array_join(
-        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normal_line(x)))), "\n"
+        F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normal(x)))), "\n"
     )
     return kept.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(without)).select(*docs.columns)
