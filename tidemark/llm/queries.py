@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import line_rules, mixing, simhash, url_rules
+from tidemark.llm import ctw, langid, line_rules, mixing, simhash, url_rules
 
 catalog = Catalog()
 
@@ -28,3 +28,13 @@ def op8_line_rules(t):
 @catalog.query("op10_url_rules")
 def op10_url_rules(t):
     return url_rules.judge(t.pages)
+
+
+@catalog.query("op9_language")
+def op9_language(t):
+    return langid.identify(t.documents)
+
+
+@catalog.query("op7_context_tree_scores")
+def op7_context_tree_scores(t):
+    return ctw.score(t.documents)
