@@ -28,7 +28,7 @@ LONG = 48
 #: Word scores that a task keeps.
 HELD = 400_000
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
@@ -38,6 +38,12 @@ class Pieces:
         self.number = {t[:k]: -2 for t in texts for k in range(1, len(t))} | {t: i for i, t in enumerate(texts)}
         self.size = len(texts)
         self.reach = max(map(len, texts), default=1)
+        # The same as a trie in arrays: an edge is (node, character), packed and sorted, node 0 the root.
+        node = {"": 0} | {t: k for k, t in enumerate(sorted(self.number), 1)}
+        edges = sorted((node[t[:-1]] << 21 | ord(t[-1]), k) for t, k in node.items() if t)
+        self.edges = np.array([e for e, _ in edges] or [-1], np.int64)
+        self.into = np.array([k for _, k in edges] or [0], np.int64)
+        self.piece = np.array([self.number.get(t, -2) for t in node], np.int64)
 
     @staticmethod
     def load(path: str = PIECES) -> Pieces:
@@ -67,26 +73,33 @@ class Pieces:
 
 
 def spans_of(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
-    """(word, start, end, piece) of all matches, sorted by end and start. Each is packed into one number
-    first: 8 bits for end and start each, 24 for the word and 24 for the piece and one."""
-    codes, number = [], pieces.number.get
-    add = codes.append
-    for w, word in enumerate(words):
-        n, low = len(word), w << 24
-        for i in range(n):
-            j = i + 1
-            piece = number(word[i:j])
-            if piece is None or piece < 0:
-                add((j << 56) | (i << 48) | low)
-            while piece is not None:
-                if piece >= 0:
-                    add((j << 56) | (i << 48) | low | (piece + 1))
-                j += 1
-                if j > n:
-                    break
-                piece = number(word[i:j])
-    c = np.sort(np.array(codes, np.int64))
-    return (c >> 24) & 0xFFFFFF, (c >> 48) & 0xFF, c >> 56, (c & 0xFFFFFF) - 1
+    """(word, start, end, piece) of all matches, sorted by end and start: all places of all words walk
+    down the trie together, one character a step."""
+    size = np.array([len(w) for w in words], np.int64)
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), size)
+    last = np.repeat(np.cumsum(size), size)
+    begin = last - np.repeat(size, size)
+    at, node, found = np.arange(len(chars)), np.zeros(len(chars), np.int64), []
+    for k in range(pieces.reach):
+        inside = at + k < last[at]
+        at, node = at[inside], node[inside]
+        key = node << 21 | chars[at + k]
+        edge = np.minimum(np.searchsorted(pieces.edges, key), len(pieces.edges) - 1)
+        on = pieces.edges[edge] == key
+        if k == 0:  # no piece of one character: uncovered
+            bare = at[~on | (pieces.piece[pieces.into[edge]] < 0)]
+            found.append((bare, np.ones(len(bare), np.int64), np.full(len(bare), -1)))
+        at, node = at[on], pieces.into[edge[on]]
+        piece = pieces.piece[node]
+        whole = piece >= 0
+        found.append((at[whole], np.full(whole.sum(), k + 1), piece[whole]))
+        if not len(at):
+            break
+    at, length, piece = (np.concatenate(x) for x in zip(*found))
+    start = at - begin[at]
+    order = np.argsort((start + length) << 32 | start, kind="stable")
+    return tuple(x[order] for x in (word[at], start, start + length, piece))
 
 
 def _edges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -140,7 +153,8 @@ def log_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarra
 
 
 def text_words(text: str | None) -> list[str]:
-    return [START + w for w in (text or "").split()]
+    """Runs of letters in lower case, as the vocabulary writes words."""
+    return [START + w for w in LETTERS.findall((text or "").lower())]
 
 
 # --- fitting ----------------------------------------------------------------------------------------
@@ -236,7 +250,7 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
         known = np.empty((0, len(model.languages)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            lists = [text_words(t) if t and LETTER.search(t) else [] for t in texts]
+            lists = [text_words(t) for t in texts]
             if len(place) > HELD:
                 place, known = {}, known[:0]
             new = {w for x in lists for w in x if w not in place}
@@ -246,7 +260,7 @@ def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text
                 known = np.concatenate([known, log_scores(new, model.pieces, model.table)])
             names, scores = [], []
             for x in lists:
-                if not x or not model.languages:
+                if not model.languages or not any(c.isalpha() for w in x for c in w[1:]):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
