@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import ctw, langid, line_rules, mixing, simhash, url_rules
+from tidemark.llm import ctw, langid, line_rules, merge_dropout, mixing, simhash, url_rules
 
 catalog = Catalog()
 
@@ -38,3 +38,8 @@ def op9_language(t):
 @catalog.query("op7_context_tree_scores")
 def op7_context_tree_scores(t):
     return ctw.score(t.documents)
+
+
+@catalog.query("op3_merge_dropout")
+def op3_merge_dropout(t):
+    return merge_dropout.encoded(t.documents.select("doc_id", "text")).drop("text")
