@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+
 
 from tidemark.catalog import Catalog
-from tidemark.llm import ctw, langid, line_rules, merge_dropout, mixing, simhash, url_rules
+from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, simhash, spotsigs, url_rules
 
 catalog = Catalog()
 
@@ -43,3 +43,31 @@ def op7_context_tree_scores(t):
 @catalog.query("op3_merge_dropout")
 def op3_merge_dropout(t):
     return merge_dropout.encoded(t.documents.select("doc_id", "text")).drop("text")
+
+
+@catalog.query("op4_spot_signatures")
+def op4_spot_signatures(t):
+    return spotsigs.compared(t.documents)
+
+
+@catalog.query(
+    "op5_chat_format",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+        CAST(sum(14 + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g'))
+            + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id
+    """,
+)
+def op5_chat_format(t):
+    extra = r"\### Assistant: </turn> ok"
+    table = t.conversations.select("conv_id", "turn", "role", "text")
+    added = t.spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], table.schema)
+    return chat.read_back(chat.formatted(table.unionByName(added)))
