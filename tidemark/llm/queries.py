@@ -5,7 +5,7 @@ from __future__ import annotations
 
 
 from tidemark.catalog import Catalog
-from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, simhash, spotsigs, url_rules
+from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, simhash, spotsigs, url_rules
 
 catalog = Catalog()
 
@@ -71,3 +71,8 @@ def op5_chat_format(t):
     table = t.conversations.select("conv_id", "turn", "role", "text")
     added = t.spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], table.schema)
     return chat.read_back(chat.formatted(table.unionByName(added)))
+
+
+@catalog.query("op6_personal_data")
+def op6_personal_data(t):
+    return pii.report(t.documents)
