@@ -14,9 +14,14 @@ from tidemark.llm import line_rules, merge_dropout, mixing, pii, simhash
 from tidemark.session import materialize
 
 
+def sized(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the rules, without the lines that many documents of their source share."""
-    return line_rules.cleaned(docs)
+    return sized(line_rules.cleaned(docs))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -26,7 +31,7 @@ def dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def privacy(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, with the name of its kind in place of each piece of personal data."""
-    return pii.masked(docs)
+    return sized(pii.masked(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -135,10 +135,17 @@ def cleaned(docs: DataFrame, id: str = "doc_id", host: str = "source", text: str
     """The documents that pass, without the removed lines; the columns of ``docs`` stay as they are."""
     lost = shared_lines(docs, id, host, text).groupBy("text_key").agg(
         F.sum("chars").alias("__lost"), F.collect_set("line").alias("__lines")
-    ).withColumnRenamed("text_key", "__key")
-    rows = docs.withColumn("__key", text_key(host, text)).join(lost, "__key", "left")
-    kept = measured(rows, text).where(~base_failed() & (F.coalesce("__lost", F.lit(0)) <= depleted * F.length(text)))
+    )
+    # Stored, as a filter on the counts would otherwise be pushed below them and count anew for every word.
+    counts = materialize(
+        measured(docs.select(F.col(text), text_key(host, text).alias("text_key")), text)
+        .select("text_key", "n_words", "n_repeat_words", F.length(text).alias("__size")), "counts",
+    )
+    passed = counts.where(~base_failed()).dropDuplicates(["text_key"]).join(lost, "text_key", "left").where(
+        F.coalesce("__lost", F.lit(0)) <= depleted * F.col("__size")
+    ).select(F.col("text_key").alias("__key"), "__lines")
+    rows = docs.withColumn("__key", text_key(host, text)).join(passed, "__key")
     without = F.array_join(
         F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__lines", F.xxhash64(normal(x)))), "\n"
     )
-    return kept.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(without)).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(without)).select(*docs.columns)
