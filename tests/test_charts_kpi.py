@@ -109,3 +109,11 @@ def test_reconcile(spark):
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(data)], "i int, code string, p string, e array<string>, err string")
     out = df.orderBy("i").select(jsons.reconcile_status(F.col("code"), F.col("p"), F.col("e"), F.col("err")).alias("s"))
     assert column(out, "s") == ["succeeded", "failed", "quarantined", "succeeded", None, "failed", "failed"]
+
+
+def test_stable_hash_tells_objects_apart(spark):
+    from tidemark.functions import jsons
+
+    df = spark.sql(r"select map('a', '1\nb=2') v, map('a', '1', 'b', '2') w, map('a', cast(null as string)) x, map('a', 'null') y, map('a=1', '') z")
+    row = df.select(*(jsons.stable_hash(df[c]) for c in "vwxyz")).first()
+    assert len(set(row)) == 5

@@ -138,3 +138,17 @@ def test_value_concepts():
     assert matching.value_concepts("2024-01-05") == {"numeric", "date"}
     assert matching.value_concepts("a@b.org") >= {"identifier"}
     assert matching.value_concepts(5) == {"numeric"}
+
+
+def test_references_without_candidate_are_ambiguous(spark):
+    refs = spark.createDataFrame([("d", "turnover", "measure")], "dataset string, reference_text string, kind string")
+    columns = spark.createDataFrame([("d", "order_id", "identifier", ["1"])], "dataset string, column_name string, role string, sample_values array<string>")
+    row = matching.decide(matching.candidates(refs, columns), 0.6, refs=refs).first()
+    assert (row["reference_text"], row["best_column"], row["decision"]) == ("turnover", None, "ambiguous")
+
+
+def test_more_spellings_of_comparisons():
+    from tidemark.operators.filters import operator_name
+
+    spelled = {"equal_to": "eq", "is_equal": "eq", "not_equal_to": "neq", "more_than": "gt", "greater_than_or_equal_to": "gte", "below": "lt", "less_than_or_equal_to": "lte", "contains_any": "in", "not_in_list": "not_in"}
+    assert {k: operator_name(k) for k in spelled} == spelled

@@ -64,7 +64,7 @@ def _(t: Tables):
 
 @query(
     "jsn4_stable_hash",
-    "SELECT o_orderkey, sha256('a=' || o_orderstatus || chr(10) || 'b=null' || chr(10) || 'c=' || o_custkey) AS digest FROM orders",
+    """SELECT o_orderkey, sha256('[{"key":"a","value":"' || o_orderstatus || '"},{"key":"b"},{"key":"c","value":"' || o_custkey || '"}]') AS digest FROM orders""",
 )
 def _(t: Tables):
     m = F.create_map(

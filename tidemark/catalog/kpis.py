@@ -64,7 +64,7 @@ def _(t: Tables):
 
 @query("kpi4_trend_report", _pivot_sql("LIMIT 90"))
 def _(t: Tables):
-    return ops.daily_pivot(ops.daily(jobs(t), job_rows(t)))
+    return ops.daily_pivot(ops.daily(jobs(t), job_rows(t)), 90)
 
 
 @query(
@@ -116,7 +116,7 @@ def _(t: Tables):
   WHERE status IN ('failed', 'callback_failed', 'declined') ORDER BY uploaded_at DESC, id DESC LIMIT 5""",
 )
 def _(t: Tables):
-    return ops.failure_reasons(jobs(t), comments(t))
+    return ops.failure_reasons(jobs(t), comments(t), 5)
 
 
 _LIST = f"""WITH {JOBS} SELECT id, status, uploaded_at, greatest(coalesce(n, 0), CASE WHEN o_orderpriority LIKE '%I%' THEN user_id % 12 ELSE 0 END, id % 9) AS total_rows
@@ -134,7 +134,7 @@ def _(t: Tables):
 
 @query("kpi10_job_list", _LIST + " ORDER BY uploaded_at DESC, id DESC LIMIT 100")
 def _(t: Tables):
-    return ops.job_list(jobs(t), job_rows(t), _profiles(t))
+    return ops.job_list(jobs(t), job_rows(t), _profiles(t), 100)
 
 
 @query(
@@ -201,7 +201,7 @@ def _(t: Tables):
 
 @query("kpi15_busiest_owners", _WORK + " ORDER BY jobs DESC, name LIMIT 6")
 def _(t: Tables):
-    return ops.workload(_owned(t))
+    return ops.workload(_owned(t), n=6)
 
 
 @query(

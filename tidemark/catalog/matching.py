@@ -145,7 +145,7 @@ def _(t: Tables):
 
 @query(
     "mat7_low_confidence_policy",
-    f"SELECT CASE WHEN {similarity_sql('p_name', 'p_type')} >= 0.85 THEN 'allow' ELSE 'quarantine' END AS decision, count(*) AS n FROM part GROUP BY 1",
+    f"SELECT CASE WHEN {similarity_sql('p_name', 'p_type')} >= 0.75 THEN 'allow' ELSE 'quarantine' END AS decision, count(*) AS n FROM part GROUP BY 1",
 )
 def _(t: Tables):
     decision = ops.low_confidence(ops.name_similarity(F.col("p_name"), F.col("p_type")), "quarantine")

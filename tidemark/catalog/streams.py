@@ -28,7 +28,7 @@ def _(t: Tables):
 
 @query(
     "str1_event_id",
-    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'given-' || event_id ELSE 'callback:' || user_id || ':' || sha256('event=' || event_type || chr(10) || 'props=' || props) END AS id FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'given-' || event_id ELSE 'callback:' || user_id || ':' || sha256('[{"key":"event","value":"' || event_type || '"},{"key":"props","value":"' || replace(replace(props, '\\', '\\\\'), '"', '\\"') || '"}]') END AS id FROM events""",
 )
 def _(t: Tables):
     given = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("given-"), "event_id")).otherwise(F.lit(" "))

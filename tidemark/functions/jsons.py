@@ -45,8 +45,10 @@ def stable_text(m: Column, volatile: tuple[str, ...] = ()) -> Column:
 
 
 def stable_hash(m: Column, volatile: tuple[str, ...] = ()) -> Column:
-    """SHA-256 that does not depend on the order of the fields."""
-    return F.sha2(stable_text(m, volatile), 256)
+    """SHA-256 that does not depend on the order of the fields, and differs for different objects: keys and
+    values are quoted as JSON, and a null value is left out of its entry."""
+    kept = F.map_filter(m, lambda k, _v: ~k.isin(*volatile)) if volatile else m
+    return F.sha2(F.to_json(F.array_sort(F.map_entries(kept))), 256)
 
 
 def first_with(items: Column, key: str, value: str) -> Column:

@@ -310,7 +310,7 @@ CALCULATIONS: dict[str, Callable[[DataFrame, dict], Calculated]] = {
 
 def calculate(df: DataFrame, op: dict) -> Calculated:
     """Run one calculation op by its ``type``."""
-    fn = CALCULATIONS.get(op.get("type"))
+    fn = CALCULATIONS.get({"abs": "absolute_value", "absolute": "absolute_value"}.get(op.get("type"), op.get("type")))
     if fn is None:
         raise UnknownOperatorError(f"Unknown calculation {op.get('type')!r}; known: {sorted(CALCULATIONS)}")
     return fn(df, op)

@@ -24,13 +24,13 @@ OPERATORS = (
 
 # Other spellings of the comparison names.
 ALIASES = {
-    "==": "eq", "=": "eq", "equals": "eq", "equal": "eq",
-    "!=": "neq", "<>": "neq", "ne": "neq", "not_equal": "neq", "not_equals": "neq",
-    ">": "gt", "greater": "gt", "greater_than": "gt",
-    ">=": "gte", "ge": "gte", "greater_equal": "gte", "greater_than_or_equal": "gte",
-    "<": "lt", "less": "lt", "less_than": "lt",
-    "<=": "lte", "le": "lte", "less_equal": "lte", "less_than_or_equal": "lte",
-    "one_of": "in", "not in": "not_in", "nin": "not_in",
+    "==": "eq", "=": "eq", "equals": "eq", "equal": "eq", "equal_to": "eq", "is_equal": "eq",
+    "!=": "neq", "<>": "neq", "ne": "neq", "not_equal": "neq", "not_equals": "neq", "not_equal_to": "neq",
+    ">": "gt", "greater": "gt", "greater_than": "gt", "more_than": "gt",
+    ">=": "gte", "ge": "gte", "greater_equal": "gte", "greater_than_or_equal": "gte", "greater_than_or_equal_to": "gte",
+    "<": "lt", "less": "lt", "less_than": "lt", "below": "lt",
+    "<=": "lte", "le": "lte", "less_equal": "lte", "less_than_or_equal": "lte", "less_than_or_equal_to": "lte",
+    "one_of": "in", "contains_any": "in", "not_in_list": "not_in", "not in": "not_in", "nin": "not_in",
     "isnull": "is_null", "null": "is_null", "notnull": "is_not_null",
 }
 

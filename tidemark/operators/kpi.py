@@ -79,10 +79,10 @@ def daily(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("uploads"), F.sum("__rows").alias("records"))
 
 
-def daily_pivot(by_status: DataFrame, max_days: int | None = 90) -> DataFrame:
+def daily_pivot(by_status: DataFrame, max_days: int | None = None) -> DataFrame:
     """One row per day with a column per status; ``by_status`` is the result of ``daily``.
 
-    The report shows the first ``max_days`` days.
+    A report that shows the first days only asks for ``max_days``.
     """
     count = lambda name: F.coalesce(F.sum(F.when(F.col("status") == name, F.col("uploads"))), F.lit(0))
     out = by_status.groupBy("day").agg(
@@ -131,26 +131,27 @@ def planner_facts(jobs: DataFrame, agent: str = "orchestrator") -> DataFrame:
     )
 
 
-def recent_planner_runs(jobs: DataFrame, n: int = 5) -> DataFrame:
+def recent_planner_runs(jobs: DataFrame, n: int | None = None) -> DataFrame:
     order = [F.col("completed_at").desc_nulls_first(), F.desc("uploaded_at"), F.desc("id")]
     return planner_runs(jobs).orderBy(*order).limit(n).select(
         F.col("id").alias("upload_id"), F.col("file_name").alias("filename"), "plan_summary", "planned_at"
     )
 
 
-def failure_reasons(jobs: DataFrame, comments: DataFrame, n: int = 5) -> DataFrame:
+def failure_reasons(jobs: DataFrame, comments: DataFrame, n: int | None = None) -> DataFrame:
     """Newest failed jobs that have a comment, each with its newest comment."""
     failed = jobs.filter(F.col("status").isin(*NOT_DELIVERED))
     with_comment = tables.with_first_child(
         failed, comments, "id", "submission_id", [F.desc("created_at"), F.desc("message")], ["message", "created_at"]
     )
-    return with_comment.orderBy(F.desc("uploaded_at"), F.desc("id")).limit(n).select(
+    ordered = with_comment.orderBy(F.desc("uploaded_at"), F.desc("id"))
+    return (ordered.limit(n) if n else ordered).select(
         F.col("id").alias("upload_id"), F.col("file_name").alias("filename"), "status",
         F.col("message").alias("reason"), "created_at",
     )
 
 
-def job_list(jobs: DataFrame, rows: DataFrame, profiles: DataFrame, n: int | None = 100) -> DataFrame:
+def job_list(jobs: DataFrame, rows: DataFrame, profiles: DataFrame, n: int | None = None) -> DataFrame:
     """Newest jobs with the largest of stored, profiled (``submission_id, row_count``) and reported
     row counts."""
     out = tables.with_child_count(jobs, rows, "id", "submission_id", "stored")
@@ -229,7 +230,7 @@ def completion_trend(jobs: DataFrame, today: str, days: int = 7) -> DataFrame:
     return calendar.join(F.broadcast(by_day), "day", "left").select("day", F.coalesce("minutes", F.lit(0)).alias("minutes"))
 
 
-def workload(jobs: DataFrame, owner: str = "owner", n: int | None = 6) -> DataFrame:
+def workload(jobs: DataFrame, owner: str = "owner", n: int | None = None) -> DataFrame:
     """Jobs, completed jobs, newest submission and success percentage per owner; the busiest ``n``."""
     name = F.coalesce(F.col(owner), F.lit("Unknown owner"))
     out = with_status(jobs).groupBy(name.alias("name")).agg(

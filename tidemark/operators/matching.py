@@ -15,7 +15,7 @@ from tidemark.operators import semantics
 
 RESOLVE_AT = 0.75
 LEAD = 0.10
-TIER_THRESHOLD = 0.85
+TIER_THRESHOLD = 0.75
 
 # How well a kind of reference fits a column role; the rest under "_default".
 ALIGNMENT = {
@@ -170,9 +170,13 @@ def candidates(refs: DataFrame, columns: DataFrame, weights: dict[str, float] |
 
 
 def decide(
-    scored: DataFrame, threshold: float = RESOLVE_AT, lead: float = LEAD, weights: dict[str, float] | None = None
+    scored: DataFrame, threshold: float = RESOLVE_AT, lead: float = LEAD, weights: dict[str, float] | None = None,
+    refs: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per reference: resolved when the best is good enough and far enough ahead."""
+    """One row per reference: resolved when the best is good enough and far enough ahead.
+
+    Give ``refs``, the table that ``candidates`` got, to have references without any candidate, too: they
+    are ambiguous."""
     w, total = _weights(weights)
     left_out = (w["type"] * 0.8 + w["name"]) / total
     if threshold < left_out + lead:
@@ -184,6 +188,10 @@ def decide(
     )
     margin = F.col("b.total_score") - F.coalesce("second", F.lit(0.0))
     clear = (F.col("b.total_score") >= threshold) & (F.round(margin, 9) >= lead)
+    if refs is not None:
+        every = refs.select(*keys).distinct().alias("r")
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+        top = every.join(top.alias("t"), same, "left").select("r.*", "t.b", "t.second")
     return top.select(
         *keys,
         F.col("b.column_name").alias("best_column"),

@@ -51,6 +51,14 @@ ACTIONS: dict[str, Op] = {
     "limit": lambda df, o: df.limit(o["n"]),
 }
 
+# Other spellings of op names.
+OP_ALIASES = {
+    "remove_duplicates": "drop_duplicates", "deduplicate": "drop_duplicates",
+    "trim_spaces": "trim_whitespace", "strip_whitespace": "trim_whitespace",
+    "drop_blank_rows": "remove_empty_rows", "drop_blank_columns": "remove_empty_columns",
+    "abs": "absolute_value", "absolute": "absolute_value",
+}
+
 _user_ops: dict[str, Op] = {}
 
 
@@ -76,6 +84,8 @@ def find(name: str) -> Op:
     for table in (_user_ops, CLEANING, ACTIONS):
         if name in table:
             return table[name]
+    if name in OP_ALIASES:
+        return find(OP_ALIASES[name])
     if name == "calculate":
         return _calculation
     raise UnknownOperatorError(f"Unknown op {name!r}; known: {known_ops()}")

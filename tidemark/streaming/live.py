@@ -44,7 +44,7 @@ def clean(stream: DataFrame, ops: list[dict]) -> DataFrame:
     them their values beforehand, for example ``fill_nulls`` with a constant from a saved profile."""
     for op in ops:
         constant = op["type"] == "fill_nulls" and op.get("strategy") in ("zero", "empty_string", "constant")
-        if op["type"] in registry.DATA_DEPENDENT and not constant:
+        if registry.OP_ALIASES.get(op["type"], op["type"]) in registry.DATA_DEPENDENT and not constant:
             raise PlanError(f"{op['type']} needs the whole table and cannot run on a stream")
     return transform_of(ops)(stream)
 
