@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import duckdb
-from conftest import SMALL
+from text_helpers import SMALL, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import chat, queries
 

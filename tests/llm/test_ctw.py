@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import SMALL, crc, found, lower
+from text_helpers import SMALL, crc, found, lower, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import ctw, queries
 

@@ -2,7 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
-from conftest import SMALL, crc
+from text_helpers import SMALL, crc, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import langid, queries
 

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import pytest
-from conftest import SMALL, found
+from text_helpers import SMALL, found, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import line_rules, queries
 

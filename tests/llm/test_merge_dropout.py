@@ -4,7 +4,7 @@ import heapq
 import numpy as np
 import pytest
 import sentencepiece
-from conftest import SMALL
+from text_helpers import SMALL, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import merge_dropout as md
 from tidemark.llm import queries

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import numpy as np
-from conftest import SMALL, found, lower
+from text_helpers import SMALL, found, lower, docs, none, odd, texts  # noqa: F401 (fixtures)
 from test_pii import brute as personal
 from test_simhash import union
 

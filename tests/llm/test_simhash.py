@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import xxhash
-from conftest import SMALL, found, lower
+from text_helpers import SMALL, found, lower, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import bktree, components, queries, simhash
 

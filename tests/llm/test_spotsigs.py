@@ -2,7 +2,7 @@ import hashlib
 import itertools
 
 import pytest
-from conftest import SMALL
+from text_helpers import SMALL, docs, none, odd, texts  # noqa: F401 (fixtures)
 from pyspark.sql import functions as F
 
 from tidemark.llm import queries, spotsigs

@@ -1,4 +1,4 @@
-from conftest import SMALL
+from text_helpers import SMALL, docs, none, odd, texts  # noqa: F401 (fixtures)
 
 from tidemark.llm import queries, url_rules
 
