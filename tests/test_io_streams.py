@@ -99,8 +99,13 @@ def test_row_store_replaces_only_given_keys(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "key string, v int")
     sinks.replace_keys(df, path, "key", ["v"], 4)
     sinks.replace_keys(spark.createDataFrame([("a", 9)], "key string, v int"), path, "key", ["v"], 4)
-    stored = spark.read.parquet(path).select("key", "record_index", "payload")
-    assert rows(stored) == [("a", 1, '{"v":9}'), ("b", 1, '{"v":1}')]
+    stored = lambda: sinks.stored_rows(spark, path).select("key", "record_index", "payload")
+    assert rows(stored()) == [("a", 1, '{"v":9}'), ("b", 1, '{"v":1}')]
+    empty = spark.createDataFrame([], "key string, v int")
+    sinks.replace_keys(empty, path, "key", ["v"], 4, of_keys=spark.createDataFrame([("a",), (None,)], "key string"))
+    assert rows(stored()) == [("b", 1, '{"v":1}')]
+    sinks.replace_keys(empty, path, "key", ["v"], 4, of_keys=spark.createDataFrame([("b",)], "key string"))
+    assert rows(stored()) == []
 
 
 # --- plans --------------------------------------------------------------------------------------

@@ -1,6 +1,8 @@
+import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
+from tidemark.errors import PlanError
 from tidemark.functions import dates, names, numbers, text
 
 
@@ -57,6 +59,24 @@ def test_parse_date_by_shape(spark):
         "2024-01-05T00:00:00", "2024-01-05T10:20:30.500000", "2024-01-05T00:00:00", "2024-01-02T00:00:00", None,
         "2024-01-05T00:00:00", "2024-01-05T00:00:00", None, None,
     ]
+    read = {
+        "2024-01-05T10:00:00Z": "2024-01-05T10:00:00", "2024-01-05T10:00:00+02:00": "2024-01-05T08:00:00",
+        "2024-01-05 10:00-0530": "2024-01-05T15:30:00", "2024-01-05T10:00:00.250Z": "2024-01-05T10:00:00.250000",
+        "20240105": "2024-01-05T00:00:00", "01/02/24": "2024-01-02T00:00:00", "1/2/70": "1970-01-02T00:00:00",
+        "05.01.2024": "2024-05-01T00:00:00", "5-Jan-2024": "2024-01-05T00:00:00", "jan 5, 2024": "2024-01-05T00:00:00",
+        "5 September 24": "2024-09-05T00:00:00", "Sept. 5, 2024": "2024-09-05T00:00:00", "2024.1.5": "2024-01-05T00:00:00",
+        "1/2/2024 3:04 PM": "2024-01-02T15:04:00", "1/2/2024 12:04 am": "2024-01-02T00:04:00",
+        "Jan 5, 2024, 11:59:58 PM": "2024-01-05T23:59:58", "13:00 pm": None, "1/2/2024 13:04 PM": None,
+        "20241305": None, "5-Foo-2024": None, "12345678901": None, "2024-02-30": None, "31-Apr-2024": None,
+    }
+    assert one(spark, lambda c: dates.iso_text(dates.parse_date(c)), *read) == list(read.values())
+    stamp = lambda f: one(spark, lambda c: dates.strftime(dates.parse_date(c), f), "2024-01-05 15:04:09", None)
+    assert stamp("%Y-%m-%dT%H:%M:%S") == ["2024-01-05T15:04:09", None]
+    assert stamp("%d of %B %Y") == ["05 of January 2024", None]
+    assert stamp("%-d/%-m/%Y") == ["5/1/2024", None] and stamp("%Y Q%m") == ["2024 Q01", None]
+    assert stamp("%I:%M %p, 100%% 'it''s'") == ["03:04 PM, 100% 'it''s'", None]
+    with pytest.raises(PlanError):
+        dates.strftime(F.lit(None), "%Q")
     day_first = one(spark, lambda c: dates.parse_date(c, dayfirst=True), "1/2/2024", "13/2/2024", "2/13/2024")
     assert [None if v is None else v.date().isoformat() for v in day_first] == ["2024-02-01", "2024-02-13", None]
 

@@ -159,6 +159,23 @@ def _(t: Tables):
     return ops.normalize_date(dirty(t), "signup", "%m/%Y", dayfirst=True, errors="ignore")
 
 
+_FORMS = (
+    "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyyMMdd", "MM/dd/yy", "MM.dd.yyyy", "dd-MMM-yyyy",
+    "MMMM dd, yyyy", "MM/dd/yyyy hh:mm a", "'no date'",
+)
+
+
+@query(
+    "cln5_normalize_date_forms",
+    f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(_FORMS)} < {len(_FORMS) - 1} THEN strftime(o_orderdate, '%d of %B, %Y') END AS written FROM orders",
+)
+def _(t: Tables):
+    written = F.coalesce(*[
+        F.when(F.col("o_orderkey") % len(_FORMS) == i, F.date_format("o_orderdate", form)) for i, form in enumerate(_FORMS)
+    ])
+    return ops.normalize_date(t.orders.select("o_orderkey", written.alias("written")), "written", "%d of %B, %Y")
+
+
 @query("cln6_normalize_currency", over_dirty(money="TRY_CAST(regexp_replace(money, '[^0-9.-]', '', 'g') AS DOUBLE)"))
 def _(t: Tables):
     return ops.normalize_currency(dirty(t), "money")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog, Tables
 from tidemark.catalog.derived import COMMENTS, JOBS, USERS, comments, jobs, users
-from tidemark.operators import kpi
+from tidemark.operators import kpi, ordered
 from tidemark.operators import tables as ops
 
 catalog = Catalog()
@@ -154,11 +154,11 @@ def _(t: Tables):
 @query(
     "srt5_listed_order",
     """SELECT event_id, event_type FROM events ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END,
-  event_id LIMIT 3000""",
+  event_id""",
 )
 def _(t: Tables):
     order = [ops.listed_first(F.col("event_type"), ["error", "purchase"]), F.col("event_id")]
-    return ops.newest(t.events.select("event_id", "event_type"), order, 3000)
+    return t.events.select("event_id", "event_type").orderBy(*order)
 
 
 MIXED = "case when o_orderkey % 9 = 0 then null when o_orderkey % 4 = 0 then cast(o_custkey as {s}) when o_orderkey % 4 = 1 then {d} else o_orderpriority end"
@@ -168,17 +168,14 @@ MIXED = "case when o_orderkey % 9 = 0 then null when o_orderkey % 4 = 0 then cas
     "srt6_mixed_sort",
     f"""SELECT row_number() OVER (ORDER BY CASE WHEN v IS NULL THEN 0 WHEN TRY_CAST(v AS DOUBLE) IS NOT NULL THEN 1
   WHEN try_strptime(v, '%Y-%m-%d') IS NOT NULL THEN 2 ELSE 3 END, TRY_CAST(v AS DOUBLE), try_strptime(v, '%Y-%m-%d'), lower(v), o_orderkey) AS place,
-  o_orderkey, v FROM (SELECT o_orderkey, {MIXED.format(s='VARCHAR', d="strftime(o_orderdate, '%Y-%m-%d')")} AS v FROM orders)
-  ORDER BY place LIMIT 4000""",
+  o_orderkey, v FROM (SELECT o_orderkey, {MIXED.format(s='VARCHAR', d="strftime(o_orderdate, '%Y-%m-%d')")} AS v FROM orders)""",
 )
 def _(t: Tables):
     v = F.expr(MIXED.format(s="string", d="date_format(o_orderdate, 'yyyy-MM-dd')"))
     df = t.orders.select("o_orderkey", v.alias("v"))
-    top = ops.newest(df, [*ops.mixed_key(F.col("v")), F.col("o_orderkey")], 4000)
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(*ops.mixed_key(F.col("v")), "o_orderkey")).cast("bigint")
-    return top.withColumn("place", place)
+    keyed = df.withColumns({f"k{i}": k for i, k in enumerate(ops.mixed_key(F.col("v")))})
+    keys = [c for c in keyed.columns if c.startswith("k")]
+    return ordered.row_index(keyed, [], [*keys, "o_orderkey"], "place").select("place", "o_orderkey", "v")
 
 
 # --- latest, first, versions, pages -------------------------------------------------------------

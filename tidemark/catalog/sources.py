@@ -343,7 +343,17 @@ def _(t: Tables):
     building = t.customer.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     fewer = df.filter("o_orderstatus = 'F'").join(building, "o_custkey", "left_semi")
     sinks.replace_keys(fewer, path, "o_custkey", ["o_orderkey"], 16, of_keys=building)
-    return t.spark.read.parquet(path).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("record_index").alias("last_index"))
+    return sinks.stored_rows(t.spark, path).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("record_index").alias("last_index"))
+
+
+@query("snk6_emptied_buckets", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority >= '3' GROUP BY 1")
+def _(t: Tables):
+    """Few keys in many buckets, so that the buckets of the removed keys go empty."""
+    path, df = _out(t, "row-store"), t.orders.select("o_orderpriority", "o_orderkey")
+    sinks.replace_keys(df, path, "o_orderpriority", ["o_orderkey"], 64)
+    gone = df.filter("o_orderpriority < '3'").select("o_orderpriority")
+    sinks.replace_keys(df.filter("o_orderkey is null"), path, "o_orderpriority", ["o_orderkey"], 64, of_keys=gone)
+    return sinks.stored_rows(t.spark, path).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk7_rebuild", "SELECT o_orderkey, o_orderstatus FROM orders")

@@ -2,50 +2,91 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Shapes of the dates that are read without a stated format. The year-first shapes and the numeric
-# ones are brought into ISO order and cast; only written months need a pattern.
-YEAR_FIRST = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
-YEAR_LAST = r"^(\d{1,2})[-/](\d{1,2})[-/](\d{4})((?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?)$"
-SHORTEST = len("1/1/2000")
-_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
-NAMED_MONTHS = (
-    (rf"^{_MONTH} \d{{1,2}}, \d{{4}}$", "MMM d, yyyy"),
-    (rf"^\d{{1,2}} {_MONTH} \d{{4}}$", "d MMM yyyy"),
-    (rf"^{_MONTH}[a-z]+ \d{{1,2}}, \d{{4}}$", "MMMM d, yyyy"),
-    (rf"^\d{{1,2}} {_MONTH}[a-z]+ \d{{4}}$", "d MMMM yyyy"),
+from tidemark.errors import PlanError
+
+# Shapes of the dates that are read without a stated format. The two usual ones, in ISO order and
+# numeric with the year last, become ISO text and are cast.
+_CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
+YEAR_FIRST = rf"^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}([ T]{_CLOCK}Z?)?$"
+YEAR_LAST = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}})((?:[ T]{_CLOCK})?)$"
+SHORTEST = len("1/1/00")
+
+# The others are brought into the form year;month;day;clock;half of the day;zone.
+_NAMES = (
+    "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+    "|nov(?:ember)?|dec(?:ember)?"
+)
+_SEP = r"(?:,? |[-/.])"
+_TAIL = rf"(?:(?:[ T]|, ?)({_CLOCK}) ?([ap]m)?)? ?(z|utc|gmt|[+-]\d{{2}}:?\d{{2}})?$"
+WITH_CLOCK = (
+    (rf"(?i)^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}", "$1;$2;$3;$4;$5;$6"),
+    (rf"(?i)^(\d{{4}})(\d{{2}})(\d{{2}}){_TAIL}", "$1;$2;$3;$4;$5;$6"),
+    (rf"(?i)^({_NAMES})\.?[ -](\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$1;$2;$4;$5;$6"),
+    (rf"(?i)^(\d{{1,2}})[ .-]({_NAMES})\.?{_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$2;$1;$4;$5;$6"),
 )
+NUMERIC_YEAR_LAST = rf"(?i)^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TAIL}"
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+FIRST_YEAR = 69
 
-# strftime code -> Spark pattern letters, for output formats given in strftime notation.
+# Strftime code -> Spark pattern letters, for output formats given in strftime notation.
 STRFTIME = {
-    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH",
-    "%M": "mm", "%S": "ss", "%b": "MMM", "%B": "MMMM", "%j": "DDD",
+    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%H": "HH", "%I": "hh", "%M": "mm", "%S": "ss",
+    "%f": "SSSSSS", "%p": "a", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD",
+    "%-m": "M", "%-d": "d", "%-H": "H", "%-I": "h", "%-M": "m", "%-S": "s", "%-j": "D",
+    "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%D": "MM/dd/yy", "%R": "HH:mm",
 }
 
 
 def parse_date(c: Column, formats: tuple[str, ...] | None = None, dayfirst: bool = False) -> Column:
-    """Text as a zone-free timestamp; null when it is no date.
+    """Text as a zone-free timestamp; null when it is no date. A time with a zone becomes UTC.
 
     ``formats`` are Spark patterns tried in order. Without them the shape of the text decides, so a
     text that is no date costs a few failed matches and no parser exception. Numeric dates with the
     year last have one reading per call: mixing both would turn 1/2 and 13/2 of a column around.
+    Years of two digits lie between 1969 and 2068.
     """
     text = F.trim(c.cast("string"))
     if formats:
         return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
     iso = "$3-$2-$1$4" if dayfirst else "$3-$1-$2$4"
+    numeric = "$3;$2;$1;$4;$5;$6" if dayfirst else "$3;$1;$2;$4;$5;$6"
     out = (
-        F.when(text.rlike(YEAR_FIRST), F.translate(text, "/", "-").try_cast("timestamp_ntz"))
+        F.when(text.rlike(YEAR_FIRST), F.translate(text, "/Z", "-").try_cast("timestamp_ntz"))
         .when(text.rlike(YEAR_LAST), F.regexp_replace(text, YEAR_LAST, iso).try_cast("timestamp_ntz"))
     )
-    for shape, pattern in NAMED_MONTHS:
-        out = out.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz"))
+    for shape, parts in (*WITH_CLOCK, (NUMERIC_YEAR_LAST, numeric)):
+        out = out.when(text.rlike(shape), _from_parts(F.regexp_replace(text, shape, parts)))
     return F.when(F.length(text) >= SHORTEST, out)
 
 
+def _from_parts(parts: Column) -> Column:
+    """The time in UTC of ``year;month;day;clock;half;zone``, of which the last three may be empty."""
+
+    def read(text: Column) -> Column:
+        year, month, day, clock, half, zone = (F.split_part(text, F.lit(";"), F.lit(i)) for i in range(1, 7))
+        century = F.when(year.cast("int") >= FIRST_YEAR, "19").otherwise("20")
+        named = F.position(F.left(F.lower(month), F.lit(3)), F.lit(MONTHS))
+        offset = F.when(zone.rlike(r"\d"), F.regexp_replace(zone, r"^(.\d\d):?", "$1:")).otherwise("+00:00")
+        seconds = F.when(clock == "", "00:00:00").when(clock.rlike(r"^\d+:\d+$"), F.concat(clock, F.lit(":00"))).otherwise(clock)
+        stamp = F.concat(
+            F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year), F.lit("-"),
+            F.when(month.rlike(r"\d"), month).otherwise(((named + 2) / 3).cast("int").cast("string")), F.lit("-"), day,
+            F.lit(" "), seconds, offset,
+        ).try_cast("timestamp")
+        utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz"))
+        hour = F.split_part(clock, F.lit(":"), F.lit(1)).try_cast("int")
+        shift = F.when(half.ilike("pm") & (hour < 12), 12).when(half.ilike("am") & (hour == 12), -12).otherwise(0)
+        return F.when((half == "") | hour.between(1, 12), utc + F.make_dt_interval(hours=shift))
+
+    return F.transform(F.array(parts), read)[0]
+
+
 def as_timestamp(c: Column, data_type: T.DataType, dayfirst: bool = False) -> Column:
     """Dates and timestamps as they are, text parsed."""
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -54,10 +95,16 @@ def as_timestamp(c: Column, data_type: T.DataType, dayfirst: bool = False) -> Co
 
 
 def strftime(c: Column, pattern: str) -> Column:
-    """Format a timestamp by a strftime pattern."""
-    for code, letters in STRFTIME.items():
-        pattern = pattern.replace(code, letters)
-    return F.date_format(c, pattern)
+    """Format a timestamp by a strftime pattern; other characters stand for themselves."""
+    out = []
+    for piece in re.findall(r"%-?.|%$|[^%]+", pattern, re.DOTALL):
+        if piece in STRFTIME:
+            out.append(F.date_format(c, STRFTIME[piece]))
+        elif piece == "%%" or not piece.startswith("%"):
+            out.append(F.lit("%" if piece == "%%" else piece))
+        else:
+            raise PlanError(f"Unknown code {piece!r} in the date format {pattern!r}")
+    return F.concat(*out) if out else F.lit("")
 
 
 def quarter_label(c: Column) -> Column:

@@ -47,6 +47,13 @@ def word_key(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
+def match_key(c: Column, case_sensitive: bool = False) -> Column:
+    """``compact_key``; a text without ASCII letter or digit is its own key, folded, so that it
+    matches itself and not every other such text."""
+    key = compact_key(c, case_sensitive)
+    return F.when(key == "", strip(c) if case_sensitive else fold(c)).otherwise(key)
+
+
 def compact_key(c: Column, case_sensitive: bool = False) -> Column:
     """Only the letters and digits, lower-cased unless ``case_sensitive``."""
     if case_sensitive:

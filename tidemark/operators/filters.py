@@ -38,6 +38,10 @@ NEGATIONS = {"neq": "eq", "not_contains": "contains", "not_in": "in"}
 ORDERED = ("gt", "gte", "lt", "lte", "between")
 
 
+def _c(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def operator_name(name: str) -> str:
     """The comparison meant by a name or alias."""
     lowered = str(name).strip().lower()
@@ -73,7 +77,7 @@ def predicate(df: DataFrame, condition: dict) -> Column:
     a filter treats as false; no wrapper hides the comparison, so it can be pushed to the scan."""
     check(df, condition)
     op = operator_name(condition["operator"])
-    c = F.col(f"`{condition['column']}`")
+    c = _c(condition["column"])
     if op in NEGATIONS:
         return ~predicate(df, {**condition, "operator": NEGATIONS[op]}) | c.isNull()
     if op == "is_null":
@@ -106,7 +110,7 @@ def _compare(c: Column, kind: T.DataType, op: str, value, upper, cased: bool) ->
         return c.between(_literal(value, kind), _literal(upper, kind))
     if op == "in":
         if names.is_text(kind):
-            return text.compact_key(c, cased).isin(_wanted_keys(value, cased))
+            return text.match_key(c, cased).isin(_wanted_keys(value, cased))
         wanted = [_number(v) if names.is_numeric(kind) else v for v in value]
         return c.isin([v for v in wanted if v is not None])
     shown, wanted = c.cast("string"), str(value)
@@ -145,7 +149,8 @@ def _wanted_keys(values, cased: bool) -> list[str]:
     for v in values:
         raw = str(v or "").strip()
         if raw:
-            keys.add(re.sub("[^A-Za-z0-9]+", "", raw) if cased else re.sub("[^a-z0-9]+", "", raw.lower()))
+            shown = raw if cased else raw.lower()
+            keys.add(re.sub("[^A-Za-z0-9]+", "", shown) or shown)
     return sorted(keys)
 
 
@@ -168,8 +173,8 @@ def aggregate_value(df: DataFrame, spec: dict, default_column: str):
     if where:
         names.require(df, where["column"])
         wanted = str(where["value"]).strip().lower()
-        rows = rows.filter(text.fold(F.col(f"`{where['column']}`").cast("string")) == wanted)
-    c = F.col(f"`{column}`")
+        rows = rows.filter(text.fold(_c(where["column"]).cast("string")) == wanted)
+    c = _c(column)
     number = c.cast("double") if names.is_numeric(df.schema[column].dataType) else stripped_number(c)
     if fn == "median":
         return F.lit(exact_quantile(rows.select(number.alias("v")), "v", 0.5)).cast("double")
@@ -184,7 +189,7 @@ def aggregate_value(df: DataFrame, spec: dict, default_column: str):
 
 
 def _against_aggregate(df: DataFrame, condition: dict, op: str) -> Column:
-    c = F.col(f"`{condition['column']}`")
+    c = _c(condition["column"])
     numeric = names.is_numeric(df.schema[condition["column"]].dataType)
     left = c.cast("double") if numeric else stripped_number(c)
     right = aggregate_value(df, condition["value"], condition["column"])
@@ -239,32 +244,32 @@ def filter_by_values(df: DataFrame, column: str, values: DataFrame, negate: bool
     names.require(df, column)
     wanted = values.columns[0]
     if names.is_text(df.schema[column].dataType):
-        left, right = text.compact_key(F.col(f"`{column}`")), text.compact_key(F.col(f"`{wanted}`"))
-        values = values.filter(text.strip(F.col(f"`{wanted}`")) != "")
+        left, right = text.match_key(_c(column)), text.match_key(_c(wanted))
+        values = values.filter(text.strip(_c(wanted)) != "")
     else:
-        left, right = F.col(f"`{column}`"), F.col(f"`{wanted}`")
+        left, right = _c(column), _c(wanted)
     keys = values.select(right.alias("__wanted")).filter("__wanted is not null").distinct()
     return df.join(keys, left == F.col("__wanted"), "left_anti" if negate else "left_semi")
 
 
 def row_search(df: DataFrame, query: str) -> DataFrame:
     """Rows whose JSON text contains the query, case ignored."""
-    row = F.lower(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    row = F.lower(F.to_json(F.struct(*[_c(c) for c in df.columns])))
     return df.filter(F.contains(row, F.lit(query.lower())))
 
 
 def columns_search(df: DataFrame, columns: list[str], query: str, exact: dict | None = None) -> DataFrame:
     """Rows where one of the columns contains the query and the named columns equal their values."""
     names.require(df, columns + list(exact or {}))
-    out = df.filter(text.any_contains([F.col(f"`{c}`") for c in columns], query)) if query else df
+    out = df.filter(text.any_contains([_c(c) for c in columns], query)) if query else df
     for column, value in (exact or {}).items():
-        out = out.filter(F.col(f"`{column}`") == F.lit(value))
+        out = out.filter(_c(column) == F.lit(value))
     return out
 
 
 def newest_like(df: DataFrame, columns: list[str], query: str, order_by: list, limit: int) -> DataFrame:
     """ILIKE ``%query%`` on any of the columns, the newest ``limit`` rows."""
-    like = reduce(lambda a, b: a | b, [F.col(f"`{c}`").ilike(f"%{query}%") for c in columns])
+    like = reduce(lambda a, b: a | b, [_c(c).ilike(f"%{query}%") for c in columns])
     return df.filter(like).orderBy(*order_by).limit(limit)
 
 

@@ -8,6 +8,7 @@ the window then runs inside a slice, whose size is bounded, and adds the carry.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import names
 from tidemark.session import materialize
 
+SLICE_BYTES = 128 * 2**20
+UNKNOWN_BYTES = 2**62
+
 
 @dataclass(frozen=True)
 class Running:
@@ -26,19 +30,35 @@ class Running:
 
 
 def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; columns that hold a map are hashed by their JSON text."""
+    hashable = [F.to_json(_c(f.name)) if "map<" in f.dataType.simpleString() else _c(f.name) for f in df.schema.fields]
+    return F.xxhash64(*hashable)
+
+
+def slice_count(df: DataFrame) -> int:
+    """The session's shuffle partitions, or more where the sources of ``df`` hold more than
+    ``SLICE_BYTES`` for each. Sizes come from the plan, so no row is read for them; a source of
+    unknown size does not count."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(partitions, math.ceil(sum(s for s in sizes if s < UNKNOWN_BYTES) / SLICE_BYTES))
 
 
 def running(
     df: DataFrame, partition_by: list[str], order_by: list[str], values: dict[str, Running],
     slices: int | None = None,
 ) -> DataFrame:
-    """Add running values per group in ascending order; ``slices`` defaults to the session's
-    shuffle partitions. Rows that are equal in ``order_by`` are ordered by a hash of the whole row,
-    so the result does not depend on the run and many equal rows still spread over slices."""
+    """Add running values per group in ascending order; ``slices`` defaults to ``slice_count``.
+    Rows that are equal in ``order_by`` are ordered by a hash of the whole row, so the result does
+    not depend on the run and many equal rows still spread over slices."""
     names.require(df, partition_by + order_by)
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tied = df.withColumn("__tie", F.xxhash64(*[_c(c) for c in df.columns]))
+    n = slices or slice_count(df)
+    tied = df.withColumn("__tie", row_hash(df))
     order_by = [*order_by, "__tie"]
     sort = [_c(c) for c in partition_by + order_by]
     sliced = materialize(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 FINAL_VALUES = 200_000
+START = 4 / SKETCH_ACCURACY
 
 
 def exact_quantile(df: DataFrame, column: str, p: float, final_values: int = FINAL_VALUES) -> float | None:
@@ -19,7 +20,7 @@ def exact_quantile(df: DataFrame, column: str, p: float, final_values: int = FIN
     ends. Only these values come to the driver, each with its count, so a value held by any share
     of the rows is one row there. Each pass is one aggregate with a map-side part.
     """
-    v = F.col(f"`{column}`").cast("double")
+    v = F.col("`" + column.replace("`", "``") + "`").cast("double")
     values = df.select(v.alias("v")).filter("v is not null and not isnan(v)")
     total, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if not total:
@@ -27,7 +28,7 @@ def exact_quantile(df: DataFrame, column: str, p: float, final_values: int = FIN
     rank = (total - 1) * p
     first, last = math.floor(rank), math.ceil(rank)
     below, inside, between = 0, total, total
-    margin = 4 / SKETCH_ACCURACY
+    margin = START
     while between > final_values and low < high:
         bracket = values.filter(F.col("v").between(low, high))
         position = (rank - below) / max(inside - 1, 1)
@@ -38,10 +39,13 @@ def exact_quantile(df: DataFrame, column: str, p: float, final_values: int = FIN
             F.count_if(F.col("v").between(lo, hi)),
             F.count_if((F.col("v") > lo) & (F.col("v") < hi)),
         ).first()
-        if below + less <= first and last < below + less + held:
+        if strictly < between and below + less <= first and last < below + less + held:
             low, high, below, inside, between = lo, hi, below + less, held, strictly
-        else:
+            margin = START
+        elif margin < 1:
             margin *= 4
+        else:
+            raise ArithmeticError(f"The values of {column} cannot be bracketed")
     counts = values.filter(F.col("v").between(low, high)).groupBy("v").count().orderBy("v").collect()
     seen, at_first = below, None
     for row in counts:

@@ -156,31 +156,45 @@ def payload_table(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     data = [c for c in df.columns if c != key]
     indexed = ordered.row_index(df, [key], order_by)
     return indexed.select(
-        F.col(f"`{key}`"), "record_index", F.to_json(F.struct(*[F.col(f"`{c}`") for c in data])).alias("payload")
+        F.col("`" + key.replace("`", "``") + "`"), "record_index",
+        F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in data])).alias("payload"),
     )
 
 
 def replace_keys(
     df: DataFrame, path: str, key: str, order_by: list[str], buckets: int = 256, of_keys: DataFrame | None = None
 ) -> None:
-    """Replace all stored rows of the keys in ``df``, or of the keys in ``of_keys``, some of which may
-    have no rows any more.
+    """Replace all stored rows of the keys in ``df`` and of those in ``of_keys``, which may have no rows
+    any more.
 
-    Keys are spread over a fixed number of buckets, one folder each, and only the folders with new
+    Keys are spread over a fixed number of buckets, one folder each, and only the folders of touched
     keys are rewritten: many small keys do not become many small files, and untouched buckets stay.
-    A key with very many rows is written by several tasks, a million rows each.
+    Each touched bucket also gets one marker without payload, so a bucket that loses its last key is
+    rewritten like any other; ``stored_rows`` leaves the markers out. A key with very many rows is
+    written by several tasks, a million rows each. Null is a key like others.
     """
     spark = df.sparkSession
-    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int").alias("bucket")
+    name = F.col("`" + key.replace("`", "``") + "`")
+    bucket = F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
     new = payload_table(df, key, order_by).select("*", bucket)
-    stored = spark.read.parquet(path) if path_exists(spark, path) else None
     out = new
-    if stored is not None:
-        gone = (df if of_keys is None else of_keys).select(F.col(f"`{key}`")).distinct()
-        touched = gone.select(bucket).distinct()
-        kept = stored.join(F.broadcast(touched), "bucket", "left_semi").join(gone, key, "left_anti")
-        out = materialize(new.unionByName(kept.select(*new.columns)), "row-store")
+    if path_exists(spark, path):
+        gone = (df if of_keys is None else df.select(name).union(of_keys.select(name)))
+        gone = gone.select(name.cast(df.schema[key].dataType).alias("__gone")).distinct()
+        touched = gone.select(F.pmod(F.xxhash64("__gone"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+        stored = spark.read.parquet(path).filter("payload is not null").join(F.broadcast(touched), "bucket", "left_semi")
+        kept = stored.join(gone, name.eqNullSafe(F.col("__gone")), "left_anti")
+        markers = touched.select(
+            F.lit(None).cast(df.schema[key].dataType).alias(key), F.lit(0).cast("bigint").alias("record_index"),
+            F.lit(None).cast("string").alias("payload"), "bucket",
+        )
+        out = materialize(new.unionByName(kept.select(*new.columns)).unionByName(markers), "row-store")
     (
         out.repartition("bucket", F.floor(F.col("record_index") / 1_000_000)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket").parquet(path)
     )
+
+
+def stored_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a row store: ``key, record_index, payload``."""
+    return spark.read.parquet(path).filter("payload is not null").drop("bucket")
