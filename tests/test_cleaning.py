@@ -120,6 +120,15 @@ def test_audit_counts_rows_of_every_step(spark):
     assert len({e["params_hash"] for e in entries}) == 3
 
 
+def test_audit_counts_all_rows_when_part_is_read(spark):
+    df = spark.range(1000).selectExpr("cast(id as string) as name", "id")
+    ops = [{"type": "trim_spaces"}, {"type": "filter", "conditions": [{"column": "id", "operator": "lt", "value": 600}]}, {"type": "limit", "n": 10}]
+    result = apply_ops(df, ops)
+    assert len(result.df.take(5)) == 5
+    assert [(e["input_row_count"], e["output_row_count"]) for e in result.entries()] == [(1000, 1000), (1000, 600), (600, 10)]
+    assert apply_ops(df, []).entries() == []
+
+
 def test_no_python_in_builtin_cleaning(tables):
     from tidemark.catalog.derived import dirty
 

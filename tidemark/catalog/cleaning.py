@@ -364,13 +364,31 @@ AUDITED = [
 )
 def _(t: Tables):
     result = apply_ops(dirty(t), AUDITED)
-    result.df.write.format("noop").mode("overwrite").save()
     return result.audit().selectExpr(
         "operation_id", "operation_type", "cast(input_row_count as bigint) as rows_in",
         "cast(output_row_count as bigint) as rows_out", "columns_modified",
     )
 
 
+@query(
+    "cln23_audited_limit",
+    """SELECT 'step_1' AS operation_id, 'trim_whitespace' AS operation_type, count(*) AS rows_in, count(*) AS rows_out FROM orders
+  UNION ALL SELECT 'step_2', 'filter', count(*), count(*) FILTER (o_orderstatus = 'F') FROM orders
+  UNION ALL SELECT 'step_3', 'limit', count(*) FILTER (o_orderstatus = 'F'), least(10, count(*) FILTER (o_orderstatus = 'F')) FROM orders""",
+)
+def _(t: Tables):
+    """Only a part of the result is read, and the limit stops the reading of what precedes it."""
+    result = apply_ops(t.orders.select("o_orderkey", "o_orderstatus"), [
+        {"type": "trim_whitespace"},
+        {"type": "filter", "conditions": [{"column": "o_orderstatus", "operator": "eq", "value": "F"}]},
+        {"type": "limit", "n": 10},
+    ])
+    result.df.take(5)
+    return result.audit().selectExpr(
+        "operation_id", "operation_type", "cast(input_row_count as bigint) as rows_in", "cast(output_row_count as bigint) as rows_out"
+    )
+
+
 @query(
     "cln24_json_safe",
     f"""WITH {DIRTY} SELECT cust_id, {strip_sql('full_name')} AS full_name, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,

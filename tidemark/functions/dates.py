@@ -60,9 +60,10 @@ def parse_date(c: Column, formats: tuple[str, ...] | None = None, dayfirst: bool
         F.when(text.rlike(YEAR_FIRST), F.translate(text, "/Z", "-").try_cast("timestamp_ntz"))
         .when(text.rlike(YEAR_LAST), F.regexp_replace(text, YEAR_LAST, iso).try_cast("timestamp_ntz"))
     )
-    for shape, parts in (*WITH_CLOCK, (NUMERIC_YEAR_LAST, numeric)):
-        out = out.when(text.rlike(shape), _from_parts(F.regexp_replace(text, shape, parts)))
-    return F.when(F.length(text) >= SHORTEST, out)
+    parts = F.lit(None).cast("string")
+    for shape, order in (*WITH_CLOCK, (NUMERIC_YEAR_LAST, numeric)):
+        parts = F.when(text.rlike(shape), F.regexp_replace(text, shape, order)).otherwise(parts)
+    return F.when(F.length(text) >= SHORTEST, out.otherwise(_from_parts(parts)))
 
 
 def _from_parts(parts: Column) -> Column:

@@ -82,14 +82,20 @@ def row_errors(df: DataFrame, index: str) -> DataFrame:
     )
 
 
-def error_report(df: DataFrame, index: str) -> DataFrame:
-    """The report shown to a user, in report order: 25 errors per check, 100 in total. The format
-    check of ``entry_no`` has no limit of its own."""
-    window = Window.partitionBy("check").orderBy("row")
-    ranked = row_errors(df, index).withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= IN_TOTAL)
-    of_format = F.startswith("message", F.lit(BAD_ENTRY))
-    capped = ranked.filter(of_format | (F.col("rank") <= PER_CHECK))
-    return capped.orderBy("check", "row").limit(IN_TOTAL).select("row", "field", "message")
+def error_report(
+    df: DataFrame, index: str, per_check: int | None = PER_CHECK, in_total: int | None = IN_TOTAL
+) -> DataFrame:
+    """The report shown to a user, in report order: the first ``per_check`` errors of each check and
+    ``in_total`` of all; None sets no limit. The format check of ``entry_no`` has no limit of its own."""
+    found = row_errors(df, index)
+    if not (per_check is None and in_total is None):
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy("check").orderBy("row")))
+    if in_total is not None:
+        found = found.filter(F.col("rank") <= in_total)
+    if per_check is not None:
+        found = found.filter(F.startswith("message", F.lit(BAD_ENTRY)) | (F.col("rank") <= per_check))
+    found = found.orderBy("check", "row")
+    return (found if in_total is None else found.limit(in_total)).select("row", "field", "message")
 
 
 def positive(c: Column) -> Column:

@@ -51,6 +51,8 @@ ACTIONS: dict[str, Op] = {
     "limit": lambda df, o: df.limit(o["n"]),
 }
 
+KEEPS_ROWS = {*CLEANING, "select_columns", "drop_columns", "sort"} - {"drop_duplicates", "drop_nulls", "remove_empty_rows"}
+
 # Other spellings of op names.
 OP_ALIASES = {
     "remove_duplicates": "drop_duplicates", "deduplicate": "drop_duplicates",
@@ -91,6 +93,12 @@ def find(name: str) -> Op:
     raise UnknownOperatorError(f"Unknown op {name!r}; known: {known_ops()}")
 
 
+def keeps_rows(name: str) -> bool:
+    """Whether an op is known to give as many rows as it gets."""
+    name = OP_ALIASES.get(name, name)
+    return name not in _user_ops and name in KEEPS_ROWS
+
+
 def check_coverage(names: list[str], table: dict) -> None:
     """Raise unless a table of functions covers exactly the given names."""
     missing, extra = sorted(set(names) - set(table)), sorted(set(table) - set(names))

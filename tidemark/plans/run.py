@@ -1,7 +1,10 @@
-"""Apply a list of ops as one chain of transforms; counts come from the run itself.
+"""Apply a list of ops as one chain of transforms, and count the rows of its steps.
 
-Nothing is executed here except the small statistics some ops need. Row counts of every step are
-observed while the result is computed, so the audit costs no extra pass.
+Nothing is executed here except the small statistics some ops need. The audit counts rows by itself
+when it is asked for, so it is exact whatever part of the result has been read: one aggregate for the
+input and one for each step that may change the number of rows, all in one query. Counters inside the
+result's own plan would cost no pass, but they count what happened to be read, and a limit ends the
+reading of all steps before it.
 """
 
 from __future__ import annotations
@@ -9,8 +12,9 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
@@ -30,16 +34,15 @@ class Step:
     op: dict
     before: list[str]
     after: list[str]
-    rows_in: Observation
-    rows_out: Observation
+    df: DataFrame
+    keeps_rows: bool
 
-    def entry(self, number: int) -> dict:
-        """The audit entry; waits for a run of the result to have finished."""
+    def entry(self, number: int, rows_in: int, rows_out: int) -> dict:
         return {
             "operation_id": f"step_{number}",
             "operation_type": self.op["type"],
-            "input_row_count": self.rows_in.get["n"],
-            "output_row_count": self.rows_out.get["n"],
+            "input_row_count": rows_in,
+            "output_row_count": rows_out,
             "input_columns": self.before,
             "output_columns": self.after,
             "columns_modified": modified_columns(self.before, self.after),
@@ -50,38 +53,40 @@ class Step:
 
 @dataclass
 class StepResult:
-    """The lazy result table, and the audit of its steps once it has been computed."""
+    """The lazy result table, and the audit of its steps."""
 
     df: DataFrame
+    source: DataFrame | None = None
     steps: list[Step] = field(default_factory=list)
     warnings: list[str] = field(default_factory=list)
 
     def entries(self) -> list[dict]:
-        return [s.entry(i + 1) for i, s in enumerate(self.steps)]
+        """The audit entries; counts the rows, in one query."""
+        if not self.steps:
+            return []
+        counted = [self.source, *[s.df for s in self.steps if not s.keeps_rows]]
+        queries = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, df in enumerate(counted)]
+        counts = dict(map(tuple, reduce(DataFrame.unionAll, queries).collect()))
+        out, at = [], 0
+        for number, step in enumerate(self.steps, 1):
+            before, at = at, at if step.keeps_rows else at + 1
+            out.append(step.entry(number, counts[before], counts[at]))
+        return out
 
     def audit(self) -> DataFrame:
         return sinks.audit_rows(self.df.sparkSession, self.entries())
 
 
-def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation()
-    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
-
-
 def apply_ops(df: DataFrame, ops: list[dict], auto_prep: bool = False, audit: bool = True) -> StepResult:
     """Run ops in order. ``auto_prep`` puts the safe preparation before the first filter when the
-    list has no cleaning op. ``audit=False`` leaves the counters out of the plan, so that filters
-    can be pushed through the whole chain to the scan."""
+    list has no cleaning op. ``audit=False`` keeps no steps, for plans that are never audited."""
     ops = with_auto_prep(ops) if auto_prep else ops
-    result = StepResult(df)
-    current, rows_in = _observed(df) if audit else (df, None)
+    result, current = StepResult(df, df), df
     for op in ops:
         before = current.columns
         current = registry.find(op["type"])(current, op)
         if audit:
-            current, rows_out = _observed(current)
-            result.steps.append(Step(op, before, current.columns, rows_in, rows_out))
-            rows_in = rows_out
+            result.steps.append(Step(op, before, current.columns, current, registry.keeps_rows(op["type"])))
     result.df = current
     return result
 
