@@ -100,3 +100,25 @@ def test_stages_on_odd_rows(spark, odd, none):
         assert stage(spark, none.select(*rows.columns), SMALL).count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.dedup(spark, rows, SMALL).collect()} == {1, 3, 5, 6, 7}
     assert corpus_pipeline.mixture(spark, rows.where("doc_id = 3"), SMALL).count() == 2
+
+
+def test_crowded_keys_lose_no_pair(spark):
+    """Two families under the same keys, each member close to two others of its own family only."""
+    rng, at = random.Random(3), list(range(400))
+    base = [f"w{k}" for k in at]
+    texts, w = [], list(base)
+    for _ in range(30):
+        texts.append(" ".join(w))
+        w = list(w)
+        for k in rng.sample(at, 7):
+            w[k] = f"edit{rng.randrange(10**6)}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = simhash.with_sketches(df, "doc_id", "text").withColumn("bands", simhash.F.expr("transform(sequence(0, 19), x -> cast(x as long))"))
+    nodes = {r["doc_id"]: r["node"] for r in simhash.with_sketches(df, "doc_id", "text").withColumnRenamed("id", "doc_id").collect()}
+    sets = {nodes[i]: shingles(t) for i, t in enumerate(texts)}
+    pairs = [p for p in itertools.combinations(sorted(sets), 2) if jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    assert 20 < len(pairs) < 200
+    for limit in (4096, 4):
+        found = [(r["a"], r["b"]) for r in simhash.similar_links(rows, 256, limit, 0.8).collect()]
+        assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
+        assert union(sets, found) == union(sets, pairs)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bktree import forest
+from tidemark.llm.bktree import BKTree, forest
 from tidemark.llm.common import materialize, split_runs
 from tidemark.llm.components import connected_components
 
@@ -179,6 +179,8 @@ WIDTH, LANES, BANDS, BINS = 5, 4, 20, 6
 #: Jaccard similarity of 0.8 is a cosine of 0.89, of which 38.7 of 256 bits differ on average; nine in ten
 #: such pairs stay within this radius, and hardly any below 0.65.
 RADIUS = 46
+#: Jaccard similarity of near duplicates, and rounds of comparisons with one member of each key.
+SIMILARITY, ROUNDS = 0.8, 4
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -199,56 +201,143 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_sketches(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, key, bits, bands): a key of the text, its fingerprint and its sketch."""
+    """(id, key, node, bits, bands, shingles): a key of the text, a name of its set of shingles, the set's
+    fingerprint and sketch, and the set itself as sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits, bands = [], []
-            for t in batch.column(2):
-                hashes = np.unique(shingle_hashes(t.as_py(), WIDTH))
-                bits.append(fingerprint(hashes, LANES).tobytes())
-                bands.append(sketch(hashes))
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-            ends = pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(ends, flat)], names=["id", "key", "bits", "bands"]
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in batch.column(2)]
+                nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
+                bits = [fingerprint(s, LANES).tobytes() for s in sets]
+                bands = pa.array(np.concatenate([np.empty(0, np.int64), *map(sketch, sets)]))
+                ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+                sizes = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+                flat = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(bits, pa.binary()),
+                     pa.ListArray.from_arrays(ends, bands), pa.ListArray.from_arrays(sizes, flat)],
+                    names=["id", "key", "node", "bits", "bands", "shingles"],
+                )
 
     return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("key"), text).mapInArrow(
-        run, "id long, key long, bits binary, bands array<long>"
+        run, "id long, key long, node long, bits binary, bands array<long>, shingles array<long>"
+    )
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (``node``, ``shingles``) have a Jaccard similarity of ``similarity`` or more."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
+    sized = sets.select("node", F.size("shingles").alias("n"))
+    # Lengths alone rule out many pairs before any set is moved.
+    able = pairs.distinct().join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+    able = able.join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(
+        F.least("na", "nb") / F.greatest("na", "nb", F.lit(1)) >= similarity
     )
+    both = F.size(F.array_intersect("sa", "sb"))
+    return able.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b")
+
 
+def tree_pairs(shards: DataFrame, radius: int) -> DataFrame:
+    """(a, b): all pairs within ``radius`` in every shard whose groups differ, searched in the shard's BK-tree.
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = 4096) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity of about 0.8 or more).
+    ``shards`` has ``key``, ``node``, ``label`` (the node's group), ``side`` and ``bits``. In a shard of two
+    sides only pairs across them count, as other shards have the rest.
+    """
 
-    SimHash alone would need a radius at which a BK-tree follows nearly every edge, so the shards of the
-    trees are drawn by sketches of the same shingles: a fingerprint meets the trees of its BANDS keys, and
-    links within ``radius`` of 256 bits join groups. Shards of over ``shard_rows`` fingerprints are divided
-    by a second key each. The smallest id of a group stays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in split_runs(batches, "key"):
+            keys, nodes, labels, sides = (table.column(c).to_numpy() for c in ("key", "node", "label", "side"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            for start, end in zip(starts, [*starts[1:], len(keys)]):
+                own = slice(start, end)
+                tree, node, label, side = BKTree(bits[own]), nodes[own], labels[own], sides[own]
+                across = side.min() < side.max()
+                for at in range(0, end - start, 256):
+                    for q, m in tree.search(tree.prints[at : at + 256], radius):
+                        q = q + at
+                        take = (q < m) & (label[q] != label[m])
+                        if across:
+                            take &= side[q] != side[m]
+                        if take.any():
+                            a, b = node[q[take]], node[m[take]]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return shards.repartition("key").sortWithinPartitions("key").select("key", "node", "label", "side", "bits").mapInArrow(run, "a long, b long")
+
+
+def _blocks(open_keys: DataFrame, shard_rows: int) -> DataFrame:
+    """Shards of at most about twice ``shard_rows`` members: a larger key is dealt to blocks by its nodes, and
+    every two blocks, and each block alone, are a shard. Any two members of a key meet in one shard."""
+    blocks = F.ceil(F.col("n") / shard_rows).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
+    dealt = open_keys.withColumn("blocks", blocks).withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).select("key", "node", "label", "side")
+
+
+def similar_links(prints: DataFrame, radius: int, shard_rows: int, similarity: float) -> DataFrame:
+    """(a, b): links that span the groups of all sets (``node, bits, bands, shingles``) that share a key of
+    their sketches and are similar. Every link is confirmed by the sets of shingles.
+
+    A key's least node is compared with all others under the key, which is linear; then members of one
+    group need no comparison with each other. That is repeated without the nodes already compared, while more
+    pairs are open than there are members. All open pairs of the rest are compared, however many a key has.
+    """
+    members = prints.select("node", F.explode("bands").alias("key")).distinct()
+    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    members = materialize(members.join(crowded, "key").withColumn("label", F.col("node")), "members")
+    sets = prints.select("node", "bits", "shingles").join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")
+    links = None
+    for _ in range(ROUNDS):
+        least = members.groupBy("key").agg(F.min(F.struct("node", "label")).alias("least"))
+        beside = materialize(members.join(least, "key").where("node <> least.node"), "beside")
+        pairs = beside.where("label <> least.label")
+        found = confirmed(pairs.select(F.col("least.node").alias("a"), F.col("node").alias("b")), sets, similarity)
+        links = materialize(found if links is None else links.unionByName(found), "links")
+        roots = connected_components(links)
+        named = beside.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
+        named = materialize(named, "named")
+        per_label = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+        per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.sum(F.col("n").cast("double") ** 2).alias("same"))
+        per_key = materialize(per_key.where("labels > 1"), "open")
+        members = named.join(per_key.select("key", "n"), "key")
+        left = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum((F.col("n").cast("double") ** 2 - F.col("same")) / 2).alias("pairs")).first()
+        if not left["rows"] or left["pairs"] <= 2 * left["rows"]:
+            break
+        members = materialize(members, "members")
+    if not left["rows"]:
+        return links
+    shards = _blocks(members, shard_rows).join(sets.select("node", "bits"), "node")
+    return links.unionByName(confirmed(tree_pairs(shards, radius), sets, similarity))
+
+
+def deduplicated(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = 4096, similarity: float = SIMILARITY,
+) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more).
+
+    Texts meet under the BANDS keys of the sketches of their shingles. Links are confirmed by the sets of
+    shingles and join groups. SimHash, with ``radius`` of 256 bits, only spares comparisons in keys with many
+    open pairs. Keys of over ``shard_rows`` texts are dealt to blocks that meet two by two. The smallest id of
+    a group stays.
 
     Texts without a word are one group. Rows without an id stay; repeated rows become one; rows of one id
     with different texts are different documents; an empty table gives no rows. Columns stay.
     """
     prints = materialize(with_sketches(docs, id, text).where("id is not null"), "sketches")
-    nodes = prints.groupBy("bits").agg(F.min("id").alias("id"), F.min("bands").alias("bands"))
-    # Two fingerprints may have one least id, when an id has two texts; nodes are named by their bits.
-    nodes = materialize(nodes.withColumn("node", F.xxhash64("bits")), "nodes")
-    pairs = F.transform("bands", lambda k, i: F.struct(k.alias("key"), F.element_at("bands", (i + 1) % BANDS + 1).alias("more")))
-    keyed = nodes.select("node", "bits", F.explode(pairs).alias("k")).select("node", "bits", "k.key", "k.more")
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shards = keyed.join(crowded, "key").select(
-        F.col("node").alias("id"), "bits", F.when(F.col("n") > shard_rows, F.xxhash64("key", "more")).otherwise(F.col("key")).alias("key")
-    )
-    roots = connected_components(tree_links(shards, radius))
-    named = nodes.join(roots, "node", "left").select("bits", "id", F.coalesce("root", "node").alias("root"))
+    # Nodes are distinct sets. Two of them may have one least id, when an id has two texts.
+    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    roots = connected_components(similar_links(prints, radius, shard_rows, similarity))
+    named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "named")
     least = named.groupBy("root").agg(F.min("id").alias("least"))
-    kept = prints.join(named.join(least, "root").select("bits", "least"), "bits").where("id = least").select(
-        F.col("id").alias("__id"), F.col("key").alias("__key")
-    ).distinct()
+    slim = prints.select("id", "key", "node")
+    kept = slim.join(named.join(least, "root").select("node", "root", "least"), "node").where("id = least")
     # A group's least id may have several texts in the group; the first by key stays.
-    kept = kept.join(prints.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "bits").distinct(), ["__id", "__key"])
-    kept = kept.join(named.select("bits", "root"), "bits").groupBy("root", "__id").agg(F.min("__key").alias("__key")).select("__id", "__key")
+    kept = kept.groupBy("root", F.col("id").alias("__id")).agg(F.min("key").alias("__key")).select("__id", "__key")
     kept = materialize(kept, "kept")
     keyed_docs = docs.withColumn("__id", F.col(id).cast("long")).withColumn("__key", F.xxhash64(text))
     one = keyed_docs.where("__id is not null").join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
