@@ -122,3 +122,20 @@ def test_crowded_keys_lose_no_pair(spark):
         found = [(r["a"], r["b"]) for r in simhash.similar_links(rows, 256, limit, 0.8).collect()]
         assert all(jaccard(sets[a], sets[b]) >= 0.8 for a, b in found)
         assert union(sets, found) == union(sets, pairs)
+
+
+def test_groups_are_those_of_the_stated_similarity(spark, docs):
+    """Chains of edits above and below 0.8 among distinct documents: exactly the links at 0.8 count."""
+    rng = random.Random(3)
+    base = [r["text"] for r in docs.orderBy("doc_id").collect() if len(found(r["text"])) > 150][:12]
+    texts = []
+    for k, text in enumerate(base):
+        for _ in range(12):
+            texts.append(text)
+            text = edited(rng, text, 0.018 if k % 2 else 0.034)
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    pairs = [p for p in itertools.combinations(sets, 2) if jaccard(sets[p[0]], sets[p[1]]) >= 0.8]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    roots = union(sets, pairs)
+    for limit in (4096, 4):
+        assert {r["doc_id"] for r in simhash.deduplicated(df, shard_rows=limit).collect()} == set(roots.values())
