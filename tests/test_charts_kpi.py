@@ -117,3 +117,10 @@ def test_stable_hash_tells_objects_apart(spark):
     df = spark.sql(r"select map('a', '1\nb=2') v, map('a', '1', 'b', '2') w, map('a', cast(null as string)) x, map('a', 'null') y, map('a=1', '') z")
     row = df.select(*(jsons.stable_hash(df[c]) for c in "vwxyz")).first()
     assert len(set(row)) == 5
+
+
+def test_recent_planner_runs_without_a_limit(spark, tables):
+    from tidemark.catalog.derived import jobs
+
+    every = kpi.recent_planner_runs(jobs(tables)).count()
+    assert every == kpi.planner_facts(jobs(tables)).first()["total_runs"] > 5 == kpi.recent_planner_runs(jobs(tables), 5).count()

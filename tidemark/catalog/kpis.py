@@ -106,7 +106,7 @@ def _(t: Tables):
   FROM jobs WHERE contains(summary, 'Orchestrator') ORDER BY completed_at DESC NULLS FIRST, uploaded_at DESC, id DESC LIMIT 5""",
 )
 def _(t: Tables):
-    return ops.recent_planner_runs(jobs(t))
+    return ops.recent_planner_runs(jobs(t), 5)
 
 
 @query(

@@ -133,7 +133,8 @@ def planner_facts(jobs: DataFrame, agent: str = "orchestrator") -> DataFrame:
 
 def recent_planner_runs(jobs: DataFrame, n: int | None = None) -> DataFrame:
     order = [F.col("completed_at").desc_nulls_first(), F.desc("uploaded_at"), F.desc("id")]
-    return planner_runs(jobs).orderBy(*order).limit(n).select(
+    ordered = planner_runs(jobs).orderBy(*order)
+    return (ordered.limit(n) if n else ordered).select(
         F.col("id").alias("upload_id"), F.col("file_name").alias("filename"), "plan_summary", "planned_at"
     )
 
