@@ -57,3 +57,11 @@ def test_odd_rows(odd, none):
     got = line_rules.judge(odd).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 2, 3, 3, 4, 5, 6, 7] and not any(r["kept"] for r in got)
     assert line_rules.cleaned(odd).columns == odd.columns and line_rules.cleaned(none).count() == 0 == line_rules.judge(none).count()
+
+
+def test_a_line_count_decides_alike_on_large_hosts(spark):
+    own = "concat('own text number ', id, case when id % 1200 = 5 then '\nshared licence line' else '' end)"
+    df = spark.range(13_000).selectExpr("id as doc_id", "'h' as source", own + " as text")
+    df = df.withColumn("text", line_rules.F.translate("text", "0123456789", "abcdefghij"))
+    lost = line_rules.shared_lines(df).collect()
+    assert len(lost) == 10 and {r["chars"] for r in lost} == {len("shared licence line")}

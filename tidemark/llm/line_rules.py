@@ -14,8 +14,8 @@ from tidemark.llm.common import WHITE, materialize, words
 
 WINDOW = 8
 MIN_WORDS = 20
-#: A line is removed if it is in more distinct documents of its host than this, and than this share of them.
-LINE_DOCS, LINE_SHARE = 10, 0.001
+#: A line is removed if it is in more distinct documents of its host than this, however many it has.
+LINE_DOCS = 10
 #: A document is depleted if over this share of its characters is in removed lines.
 DEPLETED = 0.5
 
@@ -88,9 +88,9 @@ def text_key(host: str, text: str) -> Column:
 
 def shared_lines(
     docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text",
-    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE,
+    line_docs: int = LINE_DOCS,
 ) -> DataFrame:
-    """(text_key, line, chars): lines over the limits, for each text that loses them, with their length there.
+    """(text_key, line, chars): lines over the limit, for each text that loses them, with their length there.
 
     Copies of a text count once. Counts are summed before each shuffle; a line that a third of all
     documents share is split by adaptive joins.
@@ -110,9 +110,7 @@ def shared_lines(
     counted = found.groupBy("host", "line").agg(
         F.count("*").alias("docs"), F.min(F.struct("id", "text_key"))["text_key"].alias("first")
     ).where(F.col("docs") > line_docs)
-    hosts = found.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_docs"))
-    above = counted.join(hosts, "host").where(F.col("docs") > line_share * F.col("host_docs")).select("host", "line", "first")
-    return found.join(above, ["host", "line"]).where("text_key <> first").select("text_key", "line", "chars")
+    return found.join(counted.select("host", "line", "first"), ["host", "line"]).where("text_key <> first").select("text_key", "line", "chars")
 
 
 def judge(docs: DataFrame, id: str = "doc_id", host: str = "source", text: str = "text", depleted: float = DEPLETED) -> DataFrame:
