@@ -88,3 +88,25 @@ def test_odd_rows(odd, none):
     with pytest.raises(ValueError):
         md.encoded(got)
     assert md.encoded(got, prefix="again_").count() == odd.count()
+
+
+def test_segmentations_grow_with_the_corpus(spark, vocabulary):
+    word = "representative"
+    got = {tuple(p.tolist()) for p in md.Encoder(vocabulary, 0.3, 7).encode([word] * 2000, list(range(2000)))}
+    assert len(got) > 30
+    same = spark.createDataFrame([(1, "thoroughly representative unbelievable")] * 20, "doc_id long, text string")
+    rows = md.encoded(same, rate=0.3).collect()
+    assert len({tuple(r["pieces"]) for r in rows}) > 8 and all(r["lossless"] for r in rows)
+    again = md.encoded(same.repartition(7), rate=0.3).collect()
+    assert sorted(r["pieces"] for r in rows) == sorted(r["pieces"] for r in again)
+
+
+def test_kept_plain_merges_change_nothing(vocabulary, texts):
+    text = list(texts.values())[0]["text"]
+    segments, key = md.segments_of(text), md.xxhash.xxh64_intdigest(repr(5), seed=7)
+    with np.errstate(over="ignore"):
+        keys = md.mix64(np.uint64(key) + np.arange(len(segments), dtype=np.uint64))
+    flat, starts, sizes = vocabulary.encode_segments(segments, keys, 0.1)
+    expected = [p for a, n in zip(starts, sizes) for p in flat[a : a + n].tolist()]
+    encoder = md.Encoder(vocabulary, 0.1, 7)
+    assert encoder.encode([text], [5])[0].tolist() == encoder.encode([text], [5])[0].tolist() == expected

@@ -2,8 +2,9 @@
 
 A text is cut into segments that no piece of the vocabulary crosses. Merges of a segment are done from
 an agenda: the candidate pair of the best rank first, the leftmost of equals. With dropout a candidate
-is skipped if a hash of (seed, variant, segment, place, pair) falls below the rate, so a rerun skips the
-same ones. Segments of equal length are merged together, one agenda step of all of them at a time.
+is skipped if a hash of (seed, row, place of the segment, place, pair) falls below the rate, so a rerun skips
+the same ones, and repeated rows are numbered, so each has merges of its own. Segments of equal length are
+merged together, one agenda step of all of them at a time.
 Characters outside the vocabulary, and the vocabulary's own space mark, become bytes, so decoding gives
 back every text exactly.
 """
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -35,6 +37,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def skips(key, hashed, rate: float) -> np.ndarray:
+    """Whether candidates, by the hashes of their place and pair, are skipped under a key."""
+    return (mix64(key ^ hashed) >> np.uint64(11)).astype(float) * 2.0**-53 < rate
+
+
 class Vocabulary:
     """Pieces, their merges by rank, and the byte pieces. Its size is fixed, so tasks get it whole."""
 
@@ -81,19 +88,23 @@ class Vocabulary:
                 out.append(piece)
         return out
 
+    @staticmethod
+    def _hash(start, pair) -> np.ndarray:
+        return mix64((start.astype(np.uint64) << np.uint64(48)) ^ pair.astype(np.uint64))
+
     def _candidates(self, left, right, start, key, rate) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged piece) of pairs; a rank past all others if there is no merge or it is skipped."""
         pair = left * self.size + right
         at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
         rank = np.where(self.pair[at] == pair, self.rank[at], self.size)
         if rate > 0:
-            h = mix64(key ^ mix64((start.astype(np.uint64) << np.uint64(48)) ^ pair.astype(np.uint64)))
-            rank = np.where((h >> np.uint64(11)).astype(float) * 2.0**-53 < rate, self.size, rank)
+            rank = np.where(skips(key, self._hash(start, pair), rate), self.size, rank)
         return rank, self.merged[at]
 
-    def _together(self, rows: np.ndarray, keys: np.ndarray, rate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _together(self, rows: np.ndarray, keys: np.ndarray, rate: float, popped: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row numbers, pieces) of segments with equally many symbols, (n, width). Each step pops the best
-        candidate of every segment; segments whose agenda is empty are done."""
+        candidate of every segment; segments whose agenda is empty are done. ``popped`` gets (row numbers, hash of
+        place and pair) of each step."""
         number, start = np.arange(len(rows)), np.tile(np.arange(rows.shape[1]), (len(rows), 1))
         key = keys[:, None]
         rank, into = self._candidates(rows[:, :-1], rows[:, 1:], start[:, :-1], key, rate)
@@ -107,6 +118,8 @@ class Vocabulary:
             n, width = rows.shape
             each, best = np.arange(n), rank.argmin(axis=1)
             new = into[each, best]
+            if popped is not None:
+                popped.append((number, self._hash(start[each, best], rows[each, best] * self.size + rows[each, best + 1])))
             rows[each, best] = new
             keep = np.arange(width)[None, :] != (best + 1)[:, None]
             rows, start = rows[keep].reshape(n, width - 1), start[keep].reshape(n, width - 1)
@@ -163,8 +176,9 @@ class Vocabulary:
             end += sizes[k]
         return np.concatenate(more), starts, sizes
 
-    def encode_segments(self, segments: list[str], keys: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(pieces of all segments, starts, sizes)."""
+    def encode_segments(self, segments: list[str], keys: np.ndarray, rate: float, popped: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of all segments, starts, sizes). ``popped`` gets (segment numbers, hashes) of the merges done of
+        segments of up to LONG symbols."""
         symbols, at, long = self._flat_symbols(segments)
         starts, sizes, out, end = np.zeros(len(segments), np.int64), np.zeros(len(segments), np.int64), [np.empty(0, np.int32)], 0
 
@@ -182,8 +196,11 @@ class Vocabulary:
                     add(np.array([k]), np.array([alone]))
                 continue
             for some in np.array_split(which, -(-len(which) // 50_000)):
-                for number, pieces in self._together(symbols[at[some][:, None] + np.arange(size)], keys[some], rate):
+                steps = None if popped is None else []
+                for number, pieces in self._together(symbols[at[some][:, None] + np.arange(size)], keys[some], rate, steps):
                     add(some[number], pieces)
+                if steps:
+                    popped += [(some[number], hashed) for number, hashed in steps]
         return np.concatenate(out), starts, sizes
 
     def decode(self, ids) -> str:
@@ -196,61 +213,91 @@ def segments_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts, remembering segments up to a bounded number."""
+    """Encodes texts, remembering the plain merges of up to about ``held`` segments.
 
-    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, variants: int):
-        self.v, self.rate, self.seed, self.variants = vocabulary, rate, seed, max(1, variants)
+    A segment under a key has its plain pieces if the key skips none of the plain merges; else it is merged anew.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, rate: float, seed: int, held: int = HELD):
+        self.v, self.rate, self.seed, self.held = vocabulary, rate, seed, held
         self._forget()
 
     def _forget(self) -> None:
-        self.place: list[dict[str, int]] = [{} for _ in range(self.variants)]
-        self.flat, self.starts, self.sizes, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.place: dict[str, int] = {}
+        self.flat, self.merges, self.long = np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, bool)
+        self.starts, self.sizes, self.merge_starts, self.merge_sizes = (np.empty(0, np.int64) for _ in range(4))
+
+    def _learn(self, new: list[str]) -> None:
+        popped: list = []
+        long = np.array([len(s.encode("utf-8", "surrogatepass")) > LONG for s in new])
+        flat, starts, sizes = self.v.encode_segments(new, np.zeros(len(new), np.uint64), 0, popped)
+        who = np.concatenate([np.empty(0, np.int64), *(n for n, _ in popped)])
+        hashed = np.concatenate([np.empty(0, np.uint64), *(h for _, h in popped)])[np.argsort(who, kind="stable")]
+        counts = np.bincount(who, minlength=len(new))
+        self.starts, self.sizes = np.r_[self.starts, len(self.flat) + starts], np.r_[self.sizes, sizes]
+        self.merge_starts = np.r_[self.merge_starts, len(self.merges) + np.cumsum(counts) - counts]
+        self.merge_sizes, self.long = np.r_[self.merge_sizes, counts], np.r_[self.long, long]
+        self.flat, self.merges = np.concatenate([self.flat, flat]), np.concatenate([self.merges, hashed])
+
+    def _dropped(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Whether each segment, under its key, must be merged anew."""
+        out = self.long[at] if self.rate > 0 else np.zeros(len(at), bool)
+        for low in range(0, len(at) if self.rate > 0 else 0, 1 << 18):
+            some = slice(low, low + (1 << 18))
+            sizes = self.merge_sizes[at[some]]
+            ends = np.cumsum(sizes)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(len(row)) - (ends - sizes)[row]
+            hit = skips(keys[some][row], self.merges[self.merge_starts[at[some]][row] + inside], self.rate)
+            out[some] |= np.bincount(row[hit], minlength=len(sizes)) > 0
+        return out
 
     def encode(self, texts: list[str | None], names: list) -> list[np.ndarray]:
-        """Pieces of each text. Which variant of a segment a text gets depends on the seed, its name and the
-        segment's place in it."""
-        if self.count > HELD:
+        """Pieces of each text. Which merges are skipped depends on the seed, the text's name and the segment's place in it."""
+        if len(self.place) > self.held:
             self._forget()
-        lists, new = [], []
+        every, at, keys, new, ends = [], [], [np.empty(0, np.uint64)], [], [0]
         for text, name in zip(texts, names):
             found = segments_of(text or "")
             base = np.uint64(xxhash.xxh64_intdigest(repr(name), seed=self.seed))
             with np.errstate(over="ignore"):
-                pick = (mix64(base + np.arange(len(found), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            at = []
-            for s, v in zip(found, pick):
-                known = self.place[v]
-                k = known.get(s)
+                keys.append(mix64(base + np.arange(len(found), dtype=np.uint64)))
+            for s in found:
+                k = self.place.get(s)
                 if k is None:
-                    k = known[s] = self.count
-                    self.count += 1
-                    new.append((s, v))
+                    k = self.place[s] = len(self.place)
+                    new.append(s)
                 at.append(k)
-            lists.append(np.array(at, np.int64))
+            every += found
+            ends.append(len(every))
         if new:
-            keys = np.array([xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed=self.seed * self.variants + v) for s, v in new], np.uint64)
-            flat, starts, sizes = self.v.encode_segments([s for s, _ in new], keys, self.rate)
-            self.starts, self.sizes = np.r_[self.starts, len(self.flat) + starts], np.r_[self.sizes, sizes]
-            self.flat = np.concatenate([self.flat, flat])
+            self._learn(new)
+        at, keys = np.array(at, np.int64), np.concatenate(keys)
+        again = np.flatnonzero(self._dropped(at, keys))
+        starts, sizes, flat = self.starts[at], self.sizes[at], self.flat
+        if len(again):
+            more, begin, sizes[again] = self.v.encode_segments([every[k] for k in again.tolist()], keys[again], self.rate)
+            starts[again] = len(flat) + begin
+            flat = np.concatenate([flat, more])
         out = []
-        for at in lists:
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-            out.append(self.flat[np.repeat(self.starts[at], sizes) + inside])
+        for low, high in zip(ends, ends[1:]):
+            n = sizes[low:high]
+            to = np.cumsum(n)
+            inside = np.arange(to[-1] if len(to) else 0) - np.repeat(to - n, n)
+            out.append(flat[np.repeat(starts[low:high], n) + inside])
         return out
 
 
 def encoded(
     docs: DataFrame, id: str = "doc_id", text: str = "text", path: str = PIECES, rate: float = 0.1, seed: int = 7,
-    variants: int = 4, prefix: str = "",
+    prefix: str = "",
 ) -> DataFrame:
     """All columns of ``docs`` with ``pieces`` (array of int), ``n_pieces``, ``decoded_sha256`` and ``lossless``.
 
     ``rate`` is the share of candidate merges that is skipped; 0 gives the vocabulary's plain encoding.
-    ``variants`` bounds how many segmentations one segment has in the corpus. The digest and the test are
-    of the text decoded from the pieces. Null and empty texts have no pieces; a null text stays null
-    and its digest too; repeated rows get equal pieces; an empty table gives no rows. ``prefix`` goes
+    The digest and the test are of the text decoded from the pieces. Null and empty texts have no pieces; a
+    null text stays null and its digest too; repeats of an id and text are numbered (the repeats of one text are
+    one task's work), and each has pieces of its own; an empty table gives no rows. ``prefix`` goes
     before the new columns' names where ``docs`` has such columns already.
     """
     vocabulary = Vocabulary.load(path)
@@ -259,23 +306,26 @@ def encoded(
     if clash:
         raise ValueError(f"Columns exist: {sorted(clash)}; give a prefix")
     names = [*docs.columns, *new]
-    i, t = docs.columns.index(id), docs.columns.index(text)
+    t, width = docs.columns.index(text), len(docs.columns)
+    same = [F.col(id), F.xxhash64(text)]
+    copy = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    named = docs.withColumn("__copy", copy).withColumn("__copy", F.xxhash64(*same, "__copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, rate, seed, variants)
+        encoder = Encoder(vocabulary, rate, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 texts = batch.column(t).to_pylist()
-                pieces = encoder.encode(texts, batch.column(i).to_pylist())
+                pieces = encoder.encode(texts, batch.column(width).to_pylist())
                 back = [vocabulary.decode(p.tolist()) if x is not None else None for x, p in zip(texts, pieces)]
                 ends = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *pieces])))
                 digest = [None if x is None else hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, ids, pa.array(np.diff(ends), pa.int32()), pa.array(digest, pa.string()), pa.array([x == y for x, y in zip(texts, back)])],
+                    [*batch.columns[:width], ids, pa.array(np.diff(ends), pa.int32()), pa.array(digest, pa.string()), pa.array([x == y for x, y in zip(texts, back)])],
                     names=names,
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{new[0]}` array<int>, `{new[1]}` int, `{new[2]}` string, `{new[3]}` boolean")
+    return named.mapInArrow(run, f"{kinds}, `{new[0]}` array<int>, `{new[1]}` int, `{new[2]}` string, `{new[3]}` boolean")
