@@ -47,3 +47,19 @@ def test_decisions_reach_aliases(spark):
     assert got[1] == ("net/es/", "block") and got[7] == ("net/fr/", "block") and got[8] == ("com/", "allow")
     assert {i for i, r in got.items() if r[1] == "block"} == {1, 2, 3, 7, 12, 13}
     assert url_rules.judge(df).count() == len(rows) and url_rules.judge(df.where("page_id < 0")).count() == 0
+
+
+def test_decisions_reach_relative_aliases(spark):
+    canon, blocked = '<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; URL=http://a.net/es/1'>"
+    rows = [
+        (1, "http://h.org/d/page.html", blocked), (2, "http://h.org/d/x?q=1#f", canon.format("page.html")),
+        (3, "http://h.org/d/e/y", canon.format("../page.html")), (4, "http://h.org/d/page.html?id=2&l=3", blocked),
+        (5, "http://h.org/d/page.html?z=1", canon.format("?id=2&amp;l=3")), (6, "http://h.org/z", '<base href="/d/e/">' + canon.format("./../p&#97;ge&#x2E;html")),
+        (7, "http://h.org", canon.format("d/page.html")), (8, "http://h.org/k/v", canon.format("page.html")),
+        (9, "http://h.org/k/w", canon.format("mailto:x@a.net")), (10, "no scheme", canon.format("page.html")),
+        (11, "http://h.org/k/u", '<base href="http://h.org/d/f?x">' + canon.format("page.html")), (12, "http://h.org/k/../d/page.html", None),
+        (13, "http://h.org/k/t", canon.format("&amp;#47;d&#47;page.html")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(df.union(spark.createDataFrame([(0, "http://a.net/es/1", None)], df.schema))).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {0, 1, 2, 3, 4, 5, 6, 7, 11, 12}

@@ -42,6 +42,49 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return rule
 
 
+def without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments resolved; others stay as they are."""
+    segments = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))),
+    )
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.array_join(segments, "/")).otherwise(path)
+
+
+def decoded(text: Column) -> Column:
+    """The text with its character references read once: numbers, and the five names of markup."""
+    names = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+    def one(x: Column) -> Column:
+        digits, hexes = F.regexp_extract(x, r"\A&#([0-9]{1,7});\z", 1), F.regexp_extract(x, r"\A&#[xX]([0-9a-fA-F]{1,6});\z", 1)
+        code = F.when(digits != "", digits.try_cast("int")).when(hexes != "", F.conv(hexes, 16, 10).try_cast("int"))
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        out = F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(x)
+        for name, value in names.items():
+            out = F.when(x == name, value).otherwise(out)
+        return out
+
+    pieces = F.regexp_extract_all(text, F.lit(r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|amp|lt|gt|quot|apos);|[^&]+|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def resolved(to: Column, base: Column) -> Column:
+    """The address that ``to`` means on a page or base with the absolute address ``base``."""
+    scheme = F.regexp_extract(base, r"(?s)\A([^:/?#]+:)//", 1)
+    origin = F.regexp_extract(base, r"(?s)\A([^:/?#]+://[^/?#]*)", 1)
+    plain = F.regexp_extract(base, r"(?s)\A([^?#]*)", 1)
+    folder = F.regexp_extract(plain, r"(?s)\A([^:/?#]+://[^/]*(?:/.*)?)/[^/]*\z", 1)
+    return (
+        F.when(to.rlike(r"\A[A-Za-z][A-Za-z0-9+.\-]*:"), to)
+        .when(origin == "", F.lit(None).cast("string"))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(plain, to))
+        .when((to == "") | to.startswith("#"), base)
+        .otherwise(F.concat(F.when(plain == origin, origin).otherwise(folder), F.lit("/"), to))
+    )
+
+
 def node(url: Column) -> Column:
     """What two spellings of an address share: host, path without a closing slash, and the query without
     tracking parameters. Null if there is no host."""
@@ -50,12 +93,13 @@ def node(url: Column) -> Column:
     query = F.array_join(
         F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"\A(utm_[a-z]*|ref|fbclid|gclid)=?"))), "&"
     )
-    short = F.regexp_replace(path, r"/+\z", "")
+    short = F.regexp_replace(without_dots(path), r"/+\z", "")
     return F.when(host != "", F.concat_ws("?", F.concat(host, short), F.when(query != "", query)))
 
 
 def alias_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(a, b) between addresses: canonical links and refresh redirects that a page's head declares."""
+    """(a, b) between addresses: canonical links and refresh redirects that a page's head declares. Targets are
+    relative to the page's address, or to its base."""
     attribute = r"""\s*=\s*["']?([^"'\s>]+)"""
     links = F.regexp_extract_all(html, F.lit(r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""), F.lit(0))
     metas = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""), F.lit(0))
@@ -63,16 +107,17 @@ def alias_links(pages: DataFrame, url: str, html: str) -> DataFrame:
         F.transform(links, lambda x: F.regexp_extract(x, r"(?is)\bhref" + attribute, 1)),
         F.transform(metas, lambda x: F.regexp_extract(x, r"(?is)\burl" + attribute, 1)),
     )
-    origin = F.regexp_extract(url, r"(?s)\A([^:/?#]+://[^/?#]*)", 1)
-    scheme = F.regexp_extract(url, r"(?s)\A([^:/?#]+:)//", 1)
+    base = F.regexp_extract(html, r"(?is)<base\b[^>]*\bhref" + attribute, 1)
     pairs = pages.where(F.lower(F.substring(html, 1, 1 << 30)).rlike("canonical|refresh")).select(
-        node(F.col(url)).alias("a"), origin.alias("origin"), scheme.alias("scheme"), F.explode(aimed).alias("to")
-    )
-    absolute = (
-        F.when(F.col("to").startswith("//"), F.concat("scheme", "to"))
-        .when(F.col("to").startswith("/"), F.concat("origin", "to")).otherwise(F.col("to"))
-    )
-    return pairs.select("a", node(absolute).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+        node(F.col(url)).alias("a"), F.col(url).alias("url"), base.alias("base"), F.explode(aimed).alias("to")
+    ).where("to <> ''")
+    # Bound step by step: one expression would hold thousands of copies of its parts.
+    for c in ("base", "to"):
+        pairs = pairs.withColumn(c, F.transform(F.array(c), decoded)[0])
+    for c, at in (("base", "url"), ("to", "base")):
+        pairs = pairs.withColumn(c, F.transform(F.array(F.struct(F.col(c).alias("to"), F.col(at).alias("at"))), lambda x: resolved(x["to"], x["at"]))[0])
+    pairs = pairs.withColumn("b", F.transform(F.array("to"), node)[0])
+    return pairs.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
