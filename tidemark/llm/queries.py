@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
+from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, simhash, spotsigs, url_rules
+from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, repair, simhash, spotsigs, url_rules
 
 catalog = Catalog()
 
@@ -76,3 +76,10 @@ def op5_chat_format(t):
 @catalog.query("op6_personal_data")
 def op6_personal_data(t):
     return pii.report(t.documents)
+
+
+@catalog.query("op11_conversation_repair")
+def op11_conversation_repair(t):
+    """Faults planted in all conversations, found and repaired; the repaired texts as digests."""
+    found = repair.repaired(repair.damaged(t.conversations), present="present")
+    return found.withColumn("repaired_sha256", F.sha2(F.encode("repaired", "UTF-8"), 256)).drop("repaired")
