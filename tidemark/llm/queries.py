@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, repair, simhash, spotsigs, url_rules
+from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, repair, simhash, spotsigs, url_rules, vptree
 
 catalog = Catalog()
 
@@ -83,3 +83,28 @@ def op11_conversation_repair(t):
     """Faults planted in all conversations, found and repaired; the repaired texts as digests."""
     found = repair.repaired(repair.damaged(t.conversations), present="present")
     return found.withColumn("repaired_sha256", F.sha2(F.encode("repaired", "UTF-8"), 256)).drop("repaired")
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Assignment and means of every round as table expressions; lists hold the integer vectors."""
+    ctes = ["""kept AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+        FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY 1, 2 LIMIT 16))"""]
+    for n in range(rounds + 1):
+        ctes.append(f"""a{n} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS v, min(s) AS s FROM (SELECT rid, vec_id, kept.v AS x,
+        {{'d': CAST(list_sum(list_transform(range(1, 65), lambda i: (kept.v[i] - c{n}.v[i]) * (kept.v[i] - c{n}.v[i]))) AS BIGINT), 'c': c}} AS s
+        FROM kept, c{n}) GROUP BY rid)""")
+        if n < rounds:
+            ctes.append(f"""m{n} AS (SELECT c, list(q ORDER BY pos) AS v FROM (SELECT c, pos, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS q
+        FROM (SELECT s.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{n}) GROUP BY c, pos) GROUP BY c),
+        c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} ON m{n}.c = c{n}.c)""")
+    return f"""WITH {", ".join(ctes)} SELECT vec_id, CAST(s.c AS INTEGER) AS cluster, s.d AS distance,
+        CAST(sum(s.d) OVER (PARTITION BY s.c) AS BIGINT) AS cluster_inertia, CAST(sum(s.d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = s.c"""
+
+
+@catalog.query("op12_vptree_clusters", _kmeans_sql(3))
+def op12_vptree_clusters(t):
+    found = vptree.clustered(t.embeddings)
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
