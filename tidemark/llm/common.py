@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, scratch_path
 
-__all__ = ["materialize", "words", "lower_ascii", "WHITE", "documents", "crc_mod", "split_runs"]
+__all__ = ["materialize", "Scratch", "words", "lower_ascii", "WHITE", "documents", "crc_mod", "split_runs"]
 
 #: The white space between words (space and U+0009 to U+000D) and the pattern of a word.
 WHITE = " \t\n\x0b\x0c\r"
@@ -62,3 +62,23 @@ def split_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table
         held = [batch.slice(last)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+class Scratch:
+    """Tables stored in the shared folder on the way to a result, deleted together once that is stored."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete all tables, or all but the first ``keep``."""
+        for path in self.paths[keep:]:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        del self.paths[keep:]

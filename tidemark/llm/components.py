@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import Scratch
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -33,27 +33,33 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node that has an edge to another; root is the smallest node reachable.
 
     ``edges`` has two columns of one type. Nulls, loops and repeats are ignored; no edges give no rows.
     Each round is stored in the shared folder, so neither lineage nor lost executors pile up work;
     the number of rounds grows with the logarithm of the longest path. Minima are summed before the
-    shuffle, and a node with very many edges is split by adaptive joins.
+    shuffle, and a node with very many edges is split by adaptive joins. A round's rows are deleted once the
+    next are written; the last ones are left to ``scratch``.
     """
+    kept, own = scratch or Scratch(edges.sparkSession), Scratch(edges.sparkSession)
     a, b = edges.columns
     edges = (
         edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
         .where("a <> b").distinct()
     )
-    edges = materialize(edges, "edges")
+    edges = own.store(edges, "edges")
     before = _digest(edges)
     while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        edges = own.store(_small_star(_large_star(edges)), "stars")
         after = _digest(edges)
+        last = own.paths.pop()
+        own.drop()
+        own.paths.append(last)
         if after == before:
             break
         before = after
+    kept.paths += own.paths
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))

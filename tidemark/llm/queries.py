@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog
-from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, mixing, pii, repair, simhash, spotsigs, url_rules, vptree
+from tidemark.llm import chat, ctw, langid, line_rules, merge_dropout, minhash, mixing, pii, repair, simhash, spotsigs, url_rules, vptree
 
 catalog = Catalog()
 
@@ -108,3 +108,33 @@ def _kmeans_sql(rounds: int) -> str:
 def op12_vptree_clusters(t):
     found = vptree.clustered(t.embeddings)
     return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+@catalog.query(
+    "op13_minhash_groups",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT row_number() OVER () AS rid, doc_id,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), sets AS (
+        SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+        FROM words
+    ), nodes AS (
+        SELECT s, min(doc_id) AS node FROM (SELECT doc_id, list_sort(s) AS s FROM sets) WHERE len(s) > 0 GROUP BY s
+    ), shingles AS (SELECT node, len(s) AS n, unnest(s) AS x FROM nodes),
+    links AS (
+        SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node <> b.node
+        GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), reach AS (
+        SELECT node AS a, node AS b FROM nodes
+        UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+    ), least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM (
+        SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(least.component_id, doc_id) AS component_id
+        FROM sets LEFT JOIN nodes ON nodes.s = list_sort(sets.s) LEFT JOIN least ON least.node = nodes.node)
+    """,
+)
+def op13_minhash_groups(t):
+    return minhash.near_duplicates(t.documents)
