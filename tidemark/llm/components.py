@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         if after == before:
             break
         before = after
-    kept.paths += own.paths
+    kept.paths, own.paths = kept.paths + own.paths, []
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         roots.select("node", F.col("node").alias("root"))
