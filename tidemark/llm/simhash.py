@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import pairs
 from tidemark.llm.bktree import BKTree, forest
-from tidemark.llm.common import materialize, split_runs
+from tidemark.llm.common import Scratch, materialize, split_runs
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -76,11 +78,11 @@ def _block(fp: Column, k: int, bits: int) -> Column:
 
 def pair_shards(fp: Column) -> Column:
     """Six shard keys: fingerprints within two bits agree in two of four blocks of 16 bits at least."""
-    pairs = itertools.combinations(range(4), 2)
+    both = itertools.combinations(range(4), 2)
     return F.array(
         *(
             F.lit(n << 32).bitwiseOR(F.shiftleft(_block(fp, i, 16), 16)).bitwiseOR(_block(fp, j, 16))
-            for n, (i, j) in enumerate(pairs)
+            for n, (i, j) in enumerate(both)
         )
     )
 
@@ -174,13 +176,12 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 
 # --- near duplicates of a stated similarity -----------------------------------------------------------
 
-#: Words of a shingle, lanes of 64 bits in a fingerprint, bands and bins of a band in a sketch.
-WIDTH, LANES, BANDS, BINS = 5, 4, 20, 6
-#: Bits of 256 in which fingerprints may differ before sets are compared. Simulated with 9 to 300 shingles, 400
-#: pairs each, all pairs at a Jaccard similarity of 0.8 are within it, and most at 0.65; the sets decide.
-RADIUS = 60
-#: Jaccard similarity of near duplicates, and rounds of comparisons with one member of each key.
-SIMILARITY, ROUNDS = 0.8, 4
+#: Words of a shingle, hundredths of the union that near duplicates share at least, bands and bins of a band in
+#: a sketch, and lanes of 64 bits in a wide fingerprint.
+WIDTH, PERCENT, BANDS, BINS, LANES = 5, 80, 32, 6, 16
+#: Bits of 1,024 in which fingerprints may differ before sets are compared: 4 standard deviations above the mean
+#: distance at a Jaccard similarity of 0.8, for sets of fewer than SMALL shingles and for others (simulated).
+RADIUS_SMALL, RADIUS, SMALL = 240, 198, 20
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -200,145 +201,138 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WIDTH))
+
+
 def with_sketches(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, key, node, bits, bands, shingles): a key of the text, a name of its set of shingles, the set's
-    fingerprint and sketch, and the set itself as sorted hashes."""
+    """(id, key, node, bands): xxhash64 of the text, a name of its set of shingles, and the set's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                sets = [np.unique(shingle_hashes(t.as_py(), WIDTH)) for t in batch.column(2)]
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                sets = [shingle_set(t.as_py()) for t in batch.column(2)]
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-                bits = [fingerprint(s, LANES).tobytes() for s in sets]
                 bands = pa.array(np.concatenate([np.empty(0, np.int64), *map(sketch, sets)]))
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-                sizes = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-                flat = pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(bits, pa.binary()),
-                     pa.ListArray.from_arrays(ends, bands), pa.ListArray.from_arrays(sizes, flat)],
-                    names=["id", "key", "node", "bits", "bands", "shingles"],
+                    [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.ListArray.from_arrays(ends, bands)],
+                    names=["id", "key", "node", "bands"],
                 )
 
     return docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("key"), text).mapInArrow(
-        run, "id long, key long, node long, bits binary, bands array<long>, shingles array<long>"
+        run, "id long, key long, node long, bands array<long>"
     )
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (``node``, ``shingles``) have a Jaccard similarity of ``similarity`` or more."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias("s" + c)) for c in "ab")
-    sized = sets.select("node", F.size("shingles").alias("n"))
-    # Lengths alone rule out many pairs before any set is moved.
-    able = pairs.distinct().join(sized.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-    able = able.join(sized.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").where(
-        F.least("na", "nb") / F.greatest("na", "nb", F.lit(1)) >= similarity
-    )
-    both = F.size(F.array_intersect("sa", "sb"))
-    return able.join(one, "a").join(two, "b").where(both / (F.col("na") + F.col("nb") - both) >= similarity).select("a", "b")
+def with_wide_fingerprints(sets: DataFrame) -> DataFrame:
+    """(node, n, bits, sketch): size, fingerprint of LANES words and sketch of sets (``node``, ``shingles``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                own = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([len(s) for s in own], pa.int64()),
+                     pa.array([fingerprint(s, LANES).tobytes() for s in own], pa.binary()), pa.array([sketch(s).tobytes() for s in own], pa.binary())],
+                    names=["node", "n", "bits", "sketch"],
+                )
 
+    return sets.mapInArrow(run, "node long, n long, bits binary, sketch binary")
 
-def tree_pairs(shards: DataFrame, radius: int) -> DataFrame:
-    """(a, b): all pairs within ``radius`` in every shard whose groups differ, searched in the shard's BK-tree.
 
-    ``shards`` has ``key``, ``node``, ``label`` (the node's group), ``side`` and ``bits``. In a shard of two
-    sides only pairs across them count, as other shards have the rest.
-    """
+def _alike(n: np.ndarray, m: np.ndarray, distance: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and distances leave open that two sets are near duplicates."""
+    near = distance <= np.where(np.minimum(n, m) < SMALL, RADIUS_SMALL, RADIUS)
+    return near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def near_pairs(found: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight) of the pairs whose fingerprints are near; nearer ones weigh more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                one, two = (pairs.batches_of(batch.column(c), np.uint64, LANES) for c in ("bits_a", "bits_b"))
+                distance = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+                near = np.flatnonzero(_alike(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), distance, percent))
+                rows = batch.take(pa.array(near))
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(-distance[near])], names=["a", "b", "weight"])
+
+    both = pairs.beside(found, prints, ["n", "bits"])
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, weight long")
+
+
+def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """(a, b, weight): all near pairs of different labels in every shard, searched in the shard's BK-tree, each
+    in the first band that the two sketches share only. In a shard of two sides only pairs across them count,
+    as other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
-            keys, nodes, labels, sides = (table.column(c).to_numpy() for c in ("key", "node", "label", "side"))
-            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(keys), -1)
+            keys, nodes, labels, sides, bands, sizes = (table.column(c).to_numpy() for c in ("key", "node", "label", "side", "band", "n"))
+            bits = pairs.batches_of(table.column("bits"), np.uint64, LANES)
+            sketches = pairs.batches_of(table.column("sketch"), np.int64, BANDS)
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             for start, end in zip(starts, [*starts[1:], len(keys)]):
                 own = slice(start, end)
-                tree, node, label, side = BKTree(bits[own]), nodes[own], labels[own], sides[own]
-                across = side.min() < side.max()
+                tree, across = BKTree(bits[own]), sides[own].min() < sides[own].max()
+                node, label, side, n, keyed = (x[own] for x in (nodes, labels, sides, sizes, sketches))
                 for at in range(0, end - start, 256):
-                    for q, m in tree.search(tree.prints[at : at + 256], radius):
+                    for q, m in tree.search(tree.prints[at : at + 256], RADIUS_SMALL):
                         q = q + at
                         take = (q < m) & (label[q] != label[m])
                         if across:
                             take &= side[q] != side[m]
+                        q, m = q[take], m[take]
+                        distance = np.bitwise_count(tree.prints[q] ^ tree.prints[m]).sum(axis=1, dtype=np.int64)
+                        take = _alike(n[q], n[m], distance, percent) & ((keyed[q] == keyed[m]).argmax(axis=1) == bands[start])
                         if take.any():
                             a, b = node[q[take]], node[m[take]]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return shards.repartition("key").sortWithinPartitions("key").select("key", "node", "label", "side", "bits").mapInArrow(run, "a long, b long")
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(-distance[take])], names=["a", "b", "weight"])
 
-
-def _blocks(open_keys: DataFrame, shard_rows: int) -> DataFrame:
-    """Shards of at most about twice ``shard_rows`` members: a larger key is dealt to blocks by its nodes, and
-    every two blocks, and each block alone, are a shard. Any two members of a key meet in one shard."""
-    blocks = F.ceil(F.col("n") / shard_rows).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")
-    dealt = open_keys.withColumn("blocks", blocks).withColumn("side", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("key", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))).select("key", "node", "label", "side")
-
-
-def similar_links(prints: DataFrame, radius: int, shard_rows: int, similarity: float) -> DataFrame:
-    """(a, b): links that span the groups of all sets (``node, bits, bands, shingles``) that share a key of
-    their sketches and are similar. Every link is confirmed by the sets of shingles.
-
-    A key's least node is compared with all others under the key, which is linear; then members of one
-    group need no comparison with each other. That is repeated without the nodes already compared, while more
-    pairs are open than there are members. All open pairs of the rest are compared, however many a key has.
-    """
-    members = prints.select("node", F.explode("bands").alias("key")).distinct()
-    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = materialize(members.join(crowded, "key").withColumn("label", F.col("node")), "members")
-    sets = prints.select("node", "bits", "shingles").join(members.select("node").distinct(), "node", "left_semi")
-    sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    links = None
-    for _ in range(ROUNDS):
-        least = members.groupBy("key").agg(F.min(F.struct("node", "label")).alias("least"))
-        beside = materialize(members.join(least, "key").where("node <> least.node"), "beside")
-        pairs = beside.where("label <> least.label")
-        found = confirmed(pairs.select(F.col("least.node").alias("a"), F.col("node").alias("b")), sets, similarity)
-        links = materialize(found if links is None else links.unionByName(found), "links")
-        roots = connected_components(links)
-        named = beside.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("label"))
-        named = materialize(named, "named")
-        per_label = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-        per_key = per_label.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.sum(F.col("n").cast("double") ** 2).alias("same"))
-        per_key = materialize(per_key.where("labels > 1"), "open")
-        members = named.join(per_key.select("key", "n"), "key")
-        left = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sum((F.col("n").cast("double") ** 2 - F.col("same")) / 2).alias("pairs")).first()
-        if not left["rows"] or left["pairs"] <= 2 * left["rows"]:
-            break
-        members = materialize(members, "members")
-    if not left["rows"]:
-        return links
-    shards = _blocks(members, shard_rows).join(sets.select("node", "bits"), "node")
-    return links.unionByName(confirmed(tree_pairs(shards, radius), sets, similarity))
+    dealt = shards.join(prints, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
+    return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch").mapInArrow(run, "a long, b long, weight long")
 
 
 def deduplicated(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard_rows: int = 4096, similarity: float = SIMILARITY,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT, shard_rows: int = 2048,
 ) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more).
+    """One document of each group of near duplicates (five-word shingles that share ``percent`` of a hundred or
+    more of their union), the one with the smallest id.
 
-    Texts meet under the BANDS keys of the sketches of their shingles. Links are confirmed by the sets of
-    shingles and join groups. SimHash, with ``radius`` of 256 bits, only spares comparisons in keys with many
-    open pairs. Keys of over ``shard_rows`` texts are dealt to blocks that meet two by two. The smallest id of
-    a group stays.
+    Texts meet under the BANDS keys of the sketches of their shingles. Pairs whose SimHash fingerprints are near
+    are verified by the sets of shingles; pairs of crowded keys are found in BK-trees, and keys of over
+    ``shard_rows`` texts are dealt to blocks that meet two by two.
 
     Texts without a word are one group. Rows without an id stay; repeated rows become one; rows of one id
-    with different texts are different documents; an empty table gives no rows. Columns stay.
+    with different texts are different documents; an empty table gives no rows. Columns stay. Intermediate
+    tables are deleted before the result is returned, but for the list of kept rows.
     """
-    prints = materialize(with_sketches(docs, id, text).where("id is not null"), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.store(with_sketches(docs, id, text).where("id is not null"), "sketches")
+    members = scratch.store(pairs.members_of(prints.select("node", F.posexplode("bands").alias("band", "key"))), "members")
+    sets = scratch.store(pairs.sets_of(docs, prints, members, shingle_set, id, text), "sets")
+    wide = scratch.store(with_wide_fingerprints(sets), "fingerprints")
+    links = pairs.spanning_links(
+        members, sets, partial(near_pairs, prints=wide, percent=percent), partial(tree_pairs, prints=wide, percent=percent),
+        percent, scratch, shard_rows,
+    )
     # Nodes are distinct sets. Two of them may have one least id, when an id has two texts.
-    nodes = materialize(prints.groupBy("node").agg(F.min("id").alias("id")), "nodes")
-    roots = connected_components(similar_links(prints, radius, shard_rows, similarity))
-    named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    named = materialize(named, "named")
+    nodes = prints.groupBy("node").agg(F.min("id").alias("id"))
+    roots = connected_components(links, scratch)
+    named = scratch.store(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     slim = prints.select("id", "key", "node")
     kept = slim.join(named.join(least, "root").select("node", "root", "least"), "node").where("id = least")
     # A group's least id may have several texts in the group; the first by key stays.
     kept = kept.groupBy("root", F.col("id").alias("__id")).agg(F.min("key").alias("__key")).select("__id", "__key")
     kept = materialize(kept, "kept")
+    scratch.drop()
     keyed_docs = docs.withColumn("__id", F.col(id).cast("long")).withColumn("__key", F.xxhash64(text))
     one = keyed_docs.where("__id is not null").join(kept, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
     return one.unionByName(keyed_docs.where("__id is null")).select(*docs.columns)
