@@ -1,4 +1,6 @@
 import itertools
+import math
+import re
 
 import numpy as np
 import pytest
@@ -68,3 +70,69 @@ def test_odd_rows(spark, odd, none):
     assert langid.identify(none).collect() == []
     bare = langid.identify(odd.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()
     assert len(bare) == odd.count() and {r["lang_pred"] for r in bare} == {"und"}
+
+
+def log_forward(word, pieces, row):
+    """Log of the sum over all segmentations, in logarithms all the way."""
+    best = [0.0]
+    for j in range(1, len(word) + 1):
+        ways = []
+        for i in range(max(0, j - pieces.reach), j):
+            k = pieces.number.get(word[i:j], -2)
+            if k >= 0 or j - i == 1:
+                ways.append(best[i] + math.log(row[k] if k >= 0 else langid.FLOOR))
+        top = max(ways)
+        best.append(top + math.log(math.fsum(math.exp(x - top) for x in ways)))
+    return best[-1]
+
+
+def test_query_against_plain_scores(spark, docs, texts):
+    """Every document's language and score, from the fitted probabilities, by another form of the sums."""
+    held = langid.crc_mod(langid.F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held))
+    rows = model.table.T.tolist()
+    known = {}
+    for r in queries.catalog.queries["op9_language"](spark, SMALL).collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", (texts[r["doc_id"]]["text"] or "").lower()) if any(c.isalpha() for c in w)]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        for w in words:
+            if w not in known:
+                known[w] = [log_forward("▁" + w, model.pieces, row) for row in rows]
+        total = [p + math.fsum(known[w][k] for w in words) for k, p in enumerate(model.prior)]
+        top = max(total)
+        assert r["lang_pred"] == model.languages[total.index(top)]
+        assert r["score"] == pytest.approx(1 / math.fsum(math.exp(x - top) for x in total), abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [10, 40, 45, 46, 47, 48, 60, 300])
+def test_uncovered_characters_count_alike_at_every_length(n):
+    """The difference between languages comes from the covered part alone."""
+    t = table()
+    covered, bare = langid.log_scores(["▁ab", "▁ab" + "#" * n], PIECES, t)
+    assert bare - covered == pytest.approx([n * math.log(langid.FLOOR)] * 2)
+
+
+def test_scorer_holds_a_bound(monkeypatch):
+    """Texts longer than a chunk, more words than are held, and words too long to hold."""
+    monkeypatch.setattr(langid, "HELD", 30)
+    monkeypatch.setattr(langid, "CHUNK", 25)
+    t = table()
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(400)] + ["ab" * 40]
+    model = langid.Model(["x", "y"], t, np.zeros(2), PIECES)
+    texts = [" ".join(rng.choice(words, n)) for n in (3, 700, 0, 40, 1)] + [None, "½ 12", " ".join(words)]
+    scorer = langid.Scorer(model)
+    for text, got in zip(texts, scorer.sums(texts), strict=True):
+        own = [langid.START + w for w in (text or "").split() if w.isalpha()]
+        assert len(scorer.place) <= 30
+        if own:
+            assert got == pytest.approx(sum(langid.long_score(w, PIECES, t) for w in own))
+        else:
+            assert got is None
+
+
+def test_reruns_agree(spark, docs):
+    a, b = (langid.fit(docs.repartition(n), rounds=1).table for n in (2, 5))
+    assert (a == b).all()

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod
+from tidemark.llm.common import crc_mod, materialize
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -25,8 +25,11 @@ START = "▁"
 FLOOR, SMOOTH = 1e-7, 0.01
 #: Words longer than this are scored alone, with a scale at each place; shorter ones in arrays.
 LONG = 48
-#: Word scores that a task keeps.
-HELD = 400_000
+#: Factor per character that keeps the forward sums of words up to LONG characters within doubles: a character
+#: costs 1e-10 at worst, so sums lie between 1e-240 and 1e240.
+SCALE = 1e5
+#: Word scores that a task keeps, and words it scores at a time.
+HELD, CHUNK = 200_000, 20_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -109,14 +112,14 @@ def _edges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def forward(words: list[str], pieces: Pieces, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """alpha[word, place, language] of words up to LONG characters, and the matches. The last row of
-    ``table`` (pieces + 1, languages) is for what no piece covers, so piece -1 finds it."""
+    """alpha[word, place, language] of words up to LONG characters, times SCALE for each character, and the
+    matches. The last row of ``table`` (pieces + 1, languages) is for what no piece covers, so piece -1 finds it."""
     w, i, j, p = spans_of(words, pieces)
     alpha = np.zeros((len(words), max(map(len, words), default=0) + 1, table.shape[1]))
     alpha[:, 0] = 1
     bounds = _edges(i, j)
     for a, b in zip(bounds[:-1], bounds[1:]):
-        alpha[w[a:b], j[a]] += alpha[w[a:b], i[a]] * table[p[a:b]]
+        alpha[w[a:b], j[a]] += alpha[w[a:b], i[a]] * (table[p[a:b]] * SCALE ** float(j[a] - i[a]))
     ends = alpha[np.arange(len(words)), [len(x) for x in words]]
     return alpha, ends, (w, i, j, p, bounds)
 
@@ -145,16 +148,17 @@ def log_scores(words: list[str], pieces: Pieces, table: np.ndarray) -> np.ndarra
     for size in range(0, len(short), 20_000):
         some = short[size : size + 20_000]
         _, ends, _ = forward([words[k] for k in some], pieces, table)
-        out[some] = np.log(np.maximum(ends, 1e-300))
+        out[some] = np.log(ends) - np.log(SCALE) * np.array([[len(words[k])] for k in some], float)
     for k, w in enumerate(words):
         if len(w) > LONG:
             out[k] = long_score(w, pieces, table)
     return out
 
 
-def text_words(text: str | None) -> list[str]:
-    """Runs of letters in lower case, as the vocabulary writes words."""
-    return [START + w for w in LETTERS.findall((text or "").lower())]
+def text_words(text: str | None) -> Iterator[str]:
+    """Runs of letters in lower case, as the vocabulary writes words; runs of numerals alone are none."""
+    found = (m[0] for m in LETTERS.finditer((text or "").lower()))
+    return (START + w for w in found if w.isalpha() or any(map(str.isalpha, w)))
 
 
 # --- fitting ----------------------------------------------------------------------------------------
@@ -163,7 +167,7 @@ def text_words(text: str | None) -> list[str]:
 def _expected(words: Counter, pieces: Pieces, table: np.ndarray, k: int) -> np.ndarray:
     """Expected uses of each piece in words with counts, under the probabilities of language ``k``."""
     out = np.zeros(len(table))
-    names = [w for w in words if len(w) <= LONG]
+    names = sorted(w for w in words if len(w) <= LONG)  # one order of sums
     for at in range(0, len(names), 20_000):
         some = names[at : at + 20_000]
         alpha, ends, (w, i, j, p, bounds) = forward(some, pieces, table[:, k : k + 1])
@@ -171,10 +175,10 @@ def _expected(words: Counter, pieces: Pieces, table: np.ndarray, k: int) -> np.n
         beta[np.arange(len(some)), [len(x) for x in some]] = 1
         prob = table[:, k]
         for a, b in zip(bounds[-2::-1], bounds[:0:-1]):
-            beta[w[a:b], i[a]] += beta[w[a:b], j[a]] * prob[p[a:b]]
-        times = np.array([words[x] for x in some], float) / np.maximum(ends[:, 0], 1e-300)
+            beta[w[a:b], i[a]] += beta[w[a:b], j[a]] * (prob[p[a:b]] * SCALE ** float(j[a] - i[a]))
+        times = np.array([words[x] for x in some], float) / ends[:, 0]
         # beta of a place is complete once all matches that start there are added: they end later.
-        np.add.at(out, p, alpha[w, i, 0] * prob[p] * beta[w, j] * times[w])
+        np.add.at(out, p, alpha[w, i, 0] * (prob[p] * SCALE ** (j - i).astype(float)) * beta[w, j] * times[w])
     return out
 
 
@@ -198,8 +202,8 @@ def fit(
     """Fit piece probabilities by ``rounds`` of expectation-maximisation.
 
     About ``fit_rows`` documents are used, chosen by a hash of the id: a bounded sample, whatever the
-    table's size. Priors are counted over all labelled rows. Each round is one job; tasks send sums per
-    language and piece, which the vocabulary bounds.
+    table's size. They are stored once. Priors are counted over all labelled rows. Each round is one job; tasks
+    send sums per language and piece, which the vocabulary bounds, added as decimals, so reruns agree.
     """
     pieces = pieces or Pieces.load()
     labelled = labelled.where(F.col(lang).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
@@ -210,7 +214,7 @@ def fit(
     prior = np.log(np.array([counted[x] for x in languages]) / total)
     share = min(1.0, fit_rows / total)
     part = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) * F.lit(2.0**-53)
-    sample = labelled.where(part < share).repartition(min(64, max(1, total // 250))).select("text", "lang")
+    sample = materialize(labelled.where(part < share), "fit-sample").repartition(min(64, max(1, int(total * share) // 250)), "id").select("text", "lang")
     table = _normal(np.ones((pieces.size + 1, len(languages))))
     number = {x: k for k, x in enumerate(languages)}
 
@@ -220,8 +224,8 @@ def fit(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words: dict[int, Counter] = {}
             for batch in batches:
-                for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words.setdefault(number[x], Counter()).update(text_words(t))
+                for t, x in zip(batch.column(0), batch.column(1).to_pylist()):
+                    words.setdefault(number[x], Counter()).update(text_words(t.as_py()))
             for k, counts in words.items():
                 sums = _expected(counts, pieces, now, k)
                 used = np.flatnonzero(sums[:-1])
@@ -231,44 +235,95 @@ def fit(
                 )
 
         sums = np.zeros_like(table)
-        found = sample.mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
+        found = sample.mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(
+            F.sum(F.col("n").cast("decimal(28,12)")).cast("double").alias("n")).toArrow()
         sums[found.column("piece").to_numpy(), found.column("k").to_numpy()] = found.column("n").to_numpy()
         table = _normal(sums)
     return Model(languages, table, prior, pieces)
 
 
+class Scorer:
+    """Sums of word scores per text. Scores of words up to LONG characters are kept, HELD of them at most."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.known = np.empty((HELD, len(model.languages)))
+
+    def _of(self, words: list[str]) -> np.ndarray:
+        """(words, languages) of up to CHUNK words."""
+        out = np.empty((len(words), self.known.shape[1]))
+        long = [k for k, w in enumerate(words) if len(w) > LONG]
+        for k in long:
+            out[k] = long_score(words[k], self.model.pieces, self.model.table)
+        short = [w for w in words if len(w) <= LONG] if long else words
+        new = list(dict.fromkeys(w for w in short if w not in self.place))
+        if len(self.place) + len(new) > HELD:
+            self.place, new = {}, list(dict.fromkeys(short))
+        if new:
+            at = len(self.place)
+            self.known[at : at + len(new)] = log_scores(new, self.model.pieces, self.model.table)
+            self.place.update(zip(new, range(at, at + len(new))))
+        rows = self.known[np.fromiter(map(self.place.__getitem__, short), np.int64, len(short))]
+        out[np.setdiff1d(np.arange(len(words)), long)] = rows
+        return out
+
+    def sums(self, texts: Iterable[str | None]) -> list[np.ndarray | None]:
+        """The sum over each text's words, or None for a text without a letter; CHUNK words at a time, also of
+        one long text."""
+        out: list[np.ndarray | None] = []
+        words, owners = [], []
+
+        def flush() -> None:
+            for owner, row in zip(*_run_sums(np.array(owners), self._of(words))):
+                out[owner] = row if out[owner] is None else out[owner] + row
+            words.clear()
+            owners.clear()
+
+        for n, text in enumerate(texts):
+            out.append(None)
+            for w in text_words(text):
+                words.append(w)
+                owners.append(n)
+                if len(words) == CHUNK:
+                    flush()
+        if words:
+            flush()
+        return out
+
+
+def _run_sums(owners: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    return owners[starts], np.add.reduceat(rows, starts, axis=0)
+
+
 def predict(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, lang_pred, score): the most probable language of every whole text and its probability.
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learned; ties go to the
-    first language by name. Word scores are kept between batches, up to a bounded number.
+    first language by name. A task holds 200 texts, CHUNK words and HELD word scores at a time.
     """
     kind = docs.schema[id].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the vocabulary and the languages bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[str, int] = {}
-        known = np.empty((0, len(model.languages)))
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lists = [text_words(t) for t in texts]
-            if len(place) > HELD:
-                place, known = {}, known[:0]
-            new = {w for x in lists for w in x if w not in place}
-            if new:
-                new = list(new)
-                place.update(zip(new, range(len(place), len(place) + len(new))))
-                known = np.concatenate([known, log_scores(new, model.pieces, model.table)])
-            names, scores = [], []
-            for x in lists:
-                if not model.languages or not any(c.isalpha() for w in x for c in w[1:]):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                log = model.prior + known[np.fromiter(map(place.__getitem__, x), np.int64, len(x))].sum(axis=0)
-                best = int(log.argmax())
-                names.append(model.languages[best])
-                scores.append(float(1 / np.exp(log - log[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id, "lang_pred", "score"])
+        model = shared.value
+        scorer = Scorer(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                names, scores = [], []
+                for total in scorer.sums(t.as_py() for t in batch.column(1)) if model.languages else [None] * batch.num_rows:
+                    if total is None:
+                        names.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    log = model.prior + total
+                    best = int(log.argmax())
+                    names.append(model.languages[best])
+                    scores.append(float(1 / np.exp(log - log[best]).sum()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id, "lang_pred", "score"])
 
     return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, lang_pred string, score double")
 
