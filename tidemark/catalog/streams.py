@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog import Catalog, Tables
+from tidemark.catalog.derived import jobs
+from tidemark.catalog.kpis import catalog as kpis
+from tidemark.operators import kpi
 from tidemark.session import scratch_path
-from tidemark.streaming import ingest, live, state
+from tidemark.streaming import ingest, keyed, live, state
 
 catalog = Catalog()
 query = catalog.query
+TREND_SQL = kpis.sql["kpi3_daily_trend"]
 
 
 def _stream(t: Tables, name: str):
@@ -21,9 +27,7 @@ def _stream(t: Tables, name: str):
 def _(t: Tables):
     columns = ["event_id", "ts", "user_id", "event_type", "value"]
     replayed = _stream(t, "events").select(*columns).unionByName(_stream(t, "events").select(*columns))
-    events = replayed.withColumn("ts", F.col("ts").cast("timestamp"))
-    out = ingest.to_table(ingest.once(events, "event_id", "ts", "1 hour"), "once")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return ingest.to_table(ingest.once(replayed, "event_id"), "once")
 
 
 @query(
@@ -44,13 +48,8 @@ def _(t: Tables):
 def _(t: Tables):
     from tidemark.functions.jsons import as_map
 
-    newest = [F.desc("ts"), F.desc("event_id")]
-    changes = state.field_changes(
-        _stream(t, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), as_map(F.col("props"))
-    )
-    log = state.keyed_stream(changes, "fields", ["user_id", "field"], newest)
-    jobs = state.job_state(log, "user_id", newest)
-    return jobs.select("user_id", F.col("state")["status"].alias("status"), F.col("state")["k"].alias("k"))
+    state_of = keyed.latest_fields(_stream(t, "events"), "user_id", "ts", "event_id", F.col("event_type"), as_map(F.col("props")))
+    return state_of.select("user_id", F.col("state")["status"].alias("status"), F.col("state")["k"].alias("k"))
 
 
 @query(
@@ -61,14 +60,12 @@ def _(t: Tables):
 def _(t: Tables):
     from tidemark.functions.jsons import as_map, stable_text
 
-    newest = [F.desc("ts"), F.desc("event_id")]
     payload = F.map_concat(as_map(F.col("props")), F.create_map(F.lit("intent_id"), F.lit("overwritten")))
-    changes = state.field_changes(_stream(t, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), payload)
-    jobs = state.job_state(state.keyed_stream(changes, "fields", ["user_id", "field"], newest), "user_id", newest)
+    state_of = keyed.latest_fields(_stream(t, "events"), "user_id", "ts", "event_id", F.col("event_type"), payload)
     stored = t.events.select("user_id").distinct().withColumn(
         "summary", F.create_map(F.lit("intent_id"), F.lit("kept"), F.lit("status"), F.lit("old"))
     )
-    return state.merged_state(jobs, stored, "user_id").select("user_id", stable_text(F.col("summary")).alias("summary"))
+    return keyed.merged_state(state_of, stored, "user_id").select("user_id", stable_text(F.col("summary")).alias("summary"))
 
 
 @query(
@@ -109,16 +106,18 @@ def _(t: Tables):
     f"WITH {SESSIONS} WHERE deadline <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
 )
 def _(t: Tables):
-    path = scratch_path(t.spark, "sessions")
-    state.log_sessions(_session_events(_stream(t, "events")), path, scratch_path(t.spark, "sessions-checkpoint"))
-    return state.ended_sessions(t.spark, path)
+    return ingest.to_table(keyed.session_timeouts(_session_events(_stream(t, "events"))), "sessions")
 
 
-@query("str5_live_daily", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("str5_live_daily", TREND_SQL)
 def _(t: Tables):
-    events = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = live.live_daily(events, "ts", ["event_type"])
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    """Every job arrives queued, a day early, then with its own day and status; records arrive beside."""
+    found = kpi.with_status(jobs(SimpleNamespace(orders=_stream(t, "orders"))))
+    event = lambda seq, day, status: found.select("id", F.col("uploaded_at").alias("at"), F.lit(seq).alias("seq"), day.alias("day"), status.alias("status"))
+    day = F.to_date("uploaded_at")
+    events = event(0, F.date_sub(day, 1), F.lit("queued")).unionByName(event(1, day, F.col("canonical_status")))
+    records = _stream(t, "lineitem").select(F.col("l_orderkey").alias("id"))
+    return live.live_daily(events, records).current()
 
 
 @query(
@@ -130,8 +129,7 @@ def _(t: Tables):
         "user_id", F.col("event_type").alias("alert_type"), F.col("ts").alias("created_at"), "event_id",
         F.col("value").alias("difference"), F.lit(False).alias("is_read"),
     )
-    keys, newest = ["user_id", "alert_type"], [F.desc("created_at"), F.desc("event_id")]
-    return state.keyed_stream(alerts, "alerts", keys, newest).drop("event_id")
+    return keyed.newest_rows(alerts, ["user_id", "alert_type"], "created_at", "event_id").drop("event_id")
 
 
 STREAM_OPS = [
@@ -170,7 +168,7 @@ def _(t: Tables):
     def wave():
         stream = t.spark.readStream.schema(events.schema).parquet(f"{path}/wave=*")
         return ingest.run(
-            ingest.once(stream, "event_id", "ts", "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint), out
+            ingest.once_within(stream, "event_id", "ts", "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint), out
         )
 
     wave()

@@ -57,10 +57,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The file system a path names, and the path on it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on the file system it names."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    fs, folder = hadoop_path(spark, path)
+    return fs.exists(folder)
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -68,5 +74,5 @@ def drop_scratch(spark: SparkSession) -> None:
     store intermediates read from there, so call it when their results have been written."""
     folder = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
     if path_exists(spark, folder):
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        fs, there = hadoop_path(spark, folder)
+        fs.delete(there, True)

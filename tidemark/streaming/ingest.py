@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidemark.functions import jsons
 from tidemark.session import scratch_path
@@ -16,9 +16,15 @@ def event_id(given: Column, subject: Column, payload: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(given), F.lit("")), derived)
 
 
-def once(events: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
-    """Every event once: replays that arrive within the allowed lateness are ignored. The state holds
-    the ids of that span only."""
+def once(events: DataFrame, key: str) -> DataFrame:
+    """Every event once: an id that came before is ignored, however long ago. The ids are kept in the state
+    store on disk, whose Bloom filters answer for new ids without reading; memory stays bounded."""
+    return events.dropDuplicates([key])
+
+
+def once_within(events: DataFrame, key: str, time: str, lateness: str) -> DataFrame:
+    """Every event once, with the ids of the allowed lateness kept only: replays older than that are dropped as
+    late events, and counted, but so is a new event that comes too late."""
     return events.withWatermark(time, lateness).dropDuplicatesWithinWatermark([key])
 
 
@@ -28,9 +34,29 @@ def read_parquet(spark: SparkSession, path: str, max_files: int | None = None) -
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def run(writer, path: str | None = None) -> StreamingQuery:
+#: State on local disk, with its changes written to the checkpoint after each micro-batch.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def start(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
+    """Start a writer with the state store of this library; the session's own settings stay as they are."""
+    conf = SparkSession.active().conf
+    before = {k: conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        conf.set(k, v)
+    try:
+        return writer.start(path) if path else writer.start()
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
+
+
+def run(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
     """Start a writer on the data available now and wait for its end."""
-    query = writer.trigger(availableNow=True).start(path) if path else writer.trigger(availableNow=True).start()
+    query = start(writer.trigger(availableNow=True), path)
     query.awaitTermination()
     return query
 

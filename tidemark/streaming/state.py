@@ -1,19 +1,11 @@
-"""Keyed state of streams.
-
-State that is read as a table is kept as a log of upserts, one folder per micro-batch: writing a
-batch again after a failure replaces its own folder, so every change counts once. The present state
-is the newest change per key; ``compact`` rewrites the log when it has grown.
-"""
+"""Routing of events, and sessions of a whole table."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import jsons
-from tidemark.operators import ordered
-from tidemark.session import scratch_path
-from tidemark.streaming.ingest import run
+from tidemark.streaming.keyed import EXPIRED
 
 
 def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
@@ -21,59 +13,6 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def upsert(batch: DataFrame, batch_id: int, path: str, keys: list[str], order_by: list[Column]) -> None:
-    """Store the newest row per key of a micro-batch."""
-    write_batch(ordered.first_per_key(batch, keys, order_by), batch_id, path)
-
-
-def current(spark: SparkSession, path: str, keys: list[str], order_by: list[Column]) -> DataFrame:
-    """The newest row of every key over all batches."""
-    log = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    return ordered.first_per_key(log, keys, [*order_by, F.desc("batch_id")]).drop("batch_id")
-
-
-def compact(spark: SparkSession, path: str, new_path: str, keys: list[str], order_by: list[Column]) -> None:
-    """Write the present state as the first batch of a new log."""
-    current(spark, path, keys, order_by).write.parquet(f"{new_path}/batch_id=-1")
-
-
-def keyed_stream(stream: DataFrame, label: str, keys: list[str], order_by: list[Column], path: str | None = None) -> DataFrame:
-    """Run a stream into an upsert log and return the present state."""
-    spark = stream.sparkSession
-    path = path or scratch_path(spark, label)
-    writer = stream.writeStream.option("checkpointLocation", scratch_path(spark, f"{label}-checkpoint")).foreachBatch(
-        lambda batch, batch_id: upsert(batch, batch_id, path, keys, order_by)
-    )
-    run(writer)
-    return current(spark, path, keys, order_by)
-
-
-# --- latest state per job -----------------------------------------------------------------------
-
-
-def field_changes(events: DataFrame, key: str, at: list[str], status: Column, payload: Column) -> DataFrame:
-    """Events as changes of single fields: one row per unprotected payload field, and the status.
-
-    The newest change of a field is its value, so events need not be applied one after another and
-    any number of events of one job can be reduced in parallel.
-    """
-    fields = F.map_filter(payload, lambda k, _v: ~k.isin("status", *jsons.PROTECTED_KEYS))
-    entries = F.concat(F.map_entries(fields), F.array(F.struct(F.lit("status").alias("key"), status.alias("value"))))
-    return events.select(key, *at, F.inline(entries).alias("field", "value"))
-
-
-def job_state(changes: DataFrame, key: str, order_by: list[Column]) -> DataFrame:
-    """One row per job: its fields as a map. The map is as large as a job has fields."""
-    newest = ordered.first_per_key(changes, [key, "field"], order_by)
-    return newest.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("state"))
-
-
-def merged_state(state: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """New state over stored summaries (``key, summary`` map); protected fields keep the stored value."""
-    both = stored.join(state, key, "full")
-    return both.select(key, jsons.merge_protected(F.col("summary"), F.col("state")).alias("summary"))
-
-
 def route(batch: DataFrame, batch_id: int, review: str, dead: str, key: str, status: str) -> None:
     """Quarantined events to the review table, failed ones to the dead letters, one row per event.
 
@@ -87,21 +26,13 @@ def route(batch: DataFrame, batch_id: int, review: str, dead: str, key: str, sta
         rows.unpersist()
 
 
-# --- session timeout ----------------------------------------------------------------------------
-
-EXPIRED = "Clarification session timed out"
-
-
-def _first_seen(events: DataFrame) -> DataFrame:
-    """Start and earliest answer of every session, and its newest event time."""
-    return events.groupBy("session_id").agg(
-        F.min("at").alias("opened_at"),
-        F.min(F.when(F.col("answer"), F.col("at"))).alias("answered_at"),
-        F.max("at").alias("seen_at"),
-    )
-
+def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """Sessions that end a fixed time after their first event, of a whole table.
 
-def _outcomes(first: DataFrame, minutes: int) -> DataFrame:
+    ``events``: ``session_id, at, answer`` (boolean). An answer within the time resolves a session; without one it
+    expires and is quarantined. ``keyed.session_timeouts`` gives the same outcomes while a stream runs.
+    """
+    first = events.groupBy("session_id").agg(F.min("at").alias("opened_at"), F.min(F.when(F.col("answer"), F.col("at"))).alias("answered_at"))
     deadline = F.col("opened_at") + F.make_dt_interval(mins=F.lit(minutes))
     resolved = F.coalesce(F.col("answered_at") <= deadline, F.lit(False))
     return first.select(
@@ -109,35 +40,4 @@ def _outcomes(first: DataFrame, minutes: int) -> DataFrame:
         F.when(resolved, F.col("answered_at")).otherwise(deadline).alias("ended_at"),
         F.when(resolved, "resolved").otherwise("quarantined").alias("outcome"),
         F.when(~resolved, EXPIRED).alias("reason"),
-        deadline.alias("deadline"),
-    )
-
-
-def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """Sessions that end a fixed time after their first event.
-
-    ``events``: ``session_id, at, answer`` (boolean). An answer within the time resolves a session;
-    without one it expires and is quarantined.
-    """
-    return _outcomes(_first_seen(events), minutes).drop("deadline")
-
-
-def log_sessions(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Reduce a stream of session events into a log: per micro-batch, one row per session seen."""
-    run(
-        stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-            lambda batch, batch_id: write_batch(_first_seen(batch), batch_id, path)
-        )
-    )
-
-
-def ended_sessions(spark: SparkSession, path: str, minutes: int = 30, lateness_minutes: int = 10) -> DataFrame:
-    """Sessions of a log whose deadline has passed, by event time: the newest event seen less the
-    time that events may be late. Everything is a minimum or maximum, so the batches combine in any
-    order and a late event that still counts changes the outcome."""
-    log = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    merged = log.groupBy("session_id").agg(
-        F.min("opened_at").alias("opened_at"), F.min("answered_at").alias("answered_at")
     )
-    clock = log.agg(F.max("seen_at") - F.make_dt_interval(mins=F.lit(lateness_minutes))).scalar()
-    return _outcomes(merged, minutes).filter(F.col("deadline") <= clock).drop("deadline")
