@@ -142,64 +142,6 @@ def test_params_hash_ignores_key_order():
 # --- streams ------------------------------------------------------------------------------------
 
 
-def events(spark, *data):
-    return spark.createDataFrame(list(data), "id string, at string, kind string").withColumn("at", F.col("at").cast("timestamp"))
-
-
-def waves(spark, tmp_path, *tables):
-    """A stream over a folder that gets one file set per wave; yields after each is written."""
-    path = str(tmp_path / "in")
-    for i, t in enumerate(tables):
-        t.write.parquet(f"{path}/wave={i}")
-        yield spark.readStream.schema(t.schema).parquet(f"{path}/wave=*")
-
-
-def test_replays_are_ignored_across_batches(spark, tmp_path):
-    one = events(spark, ("a", "2024-01-01 10:00:00", "x"), ("b", "2024-01-01 10:01:00", "x"), ("a", "2024-01-01 10:00:00", "x"))
-    two = events(spark, ("a", "2024-01-01 10:02:00", "x"), ("c", "2024-01-01 10:03:00", "x"))
-    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    for stream in waves(spark, tmp_path, one, two):
-        table = ingest.to_table(ingest.once(stream, "id", "at", "1 hour"), "once", out, checkpoint)
-    assert sorted(column(table, "id")) == ["a", "b", "c"]
-
-
-def test_late_events_are_dropped_and_counted(spark, tmp_path):
-    one = events(spark, ("a", "2024-01-02 10:00:00", "x"))
-    two = events(spark, ("late", "2024-01-01 10:00:00", "x"), ("b", "2024-01-02 10:30:00", "x"))
-    out, checkpoint, dropped = str(tmp_path / "out"), str(tmp_path / "cp"), []
-    for stream in waves(spark, tmp_path, one, two):
-        query = ingest.once(stream, "id", "at", "1 hour").writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        dropped.append(ingest.dropped_late(ingest.run(query, out)))
-    assert dropped == [0, 1]
-    assert sorted(column(spark.read.parquet(out), "id")) == ["a", "b"]
-
-
-def test_a_replayed_batch_counts_once(spark, tmp_path):
-    path = str(tmp_path / "log")
-    batch = spark.createDataFrame([("k", 1, "old"), ("k", 2, "new"), ("j", 1, "only")], "key string, at int, v string")
-    for _ in range(2):
-        state.upsert(batch, 0, path, ["key"], [F.desc("at")])
-    state.upsert(spark.createDataFrame([("j", 5, "newer"), ("k", 0, "stale")], batch.schema), 1, path, ["key"], [F.desc("at")])
-    now = state.current(spark, path, ["key"], [F.desc("at")])
-    assert rows(now) == [("j", 5, "newer"), ("k", 2, "new")]
-    state.compact(spark, path, f"{path}2", ["key"], [F.desc("at")])
-    assert rows(state.current(spark, f"{path}2", ["key"], [F.desc("at")])) == rows(now)
-
-
-def test_sessions_end_by_answer_or_time(spark, tmp_path):
-    make = lambda *data: spark.sql("select " + " union all select ".join(f"'{s}' as session_id, timestamp_ntz'2024-01-01 {t}' as at, {a} as answer" for s, t, a in data))
-    one = make(("a", "10:00:00", "false"), ("b", "10:00:00", "false"), ("c", "10:05:00", "false"))
-    two = make(("a", "10:20:00", "true"), ("c", "10:50:00", "true"), ("d", "10:58:00", "false"))
-    path, checkpoint, seen = str(tmp_path / "log"), str(tmp_path / "cp"), []
-    for stream in waves(spark, tmp_path, one, two):
-        state.log_sessions(stream, path, checkpoint)
-        seen.append(rows(state.ended_sessions(spark, path).select("session_id", "outcome")))
-    assert seen[0] == []
-    assert seen[1] == [("a", "resolved"), ("b", "quarantined"), ("c", "quarantined")]
-    both = one.unionAll(two)
-    assert rows(state.sessions(both).select("session_id", "outcome"))[:3] == seen[1]
-
-
 def test_stream_clean_equals_batch(spark, tables):
     from tidemark.catalog.streams import STREAM_OPS
 

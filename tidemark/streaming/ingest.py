@@ -41,11 +41,11 @@ STATE_STORE = {
 }
 
 
-def start(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
+def start(writer: DataStreamWriter, path: str | None = None, settings: dict[str, str] | None = None) -> StreamingQuery:
     """Start a writer with the state store of this library; the session's own settings stay as they are."""
-    conf = SparkSession.active().conf
-    before = {k: conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
+    conf, settings = SparkSession.active().conf, STATE_STORE | (settings or {})
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
         conf.set(k, v)
     try:
         return writer.start(path) if path else writer.start()
@@ -54,9 +54,9 @@ def start(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
-def run(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
+def run(writer: DataStreamWriter, path: str | None = None, settings: dict[str, str] | None = None) -> StreamingQuery:
     """Start a writer on the data available now and wait for its end."""
-    query = start(writer.trigger(availableNow=True), path)
+    query = start(writer.trigger(availableNow=True), path, settings)
     query.awaitTermination()
     return query
 

@@ -24,8 +24,10 @@ def _stored(spark: SparkSession, checkpoint: str, state: str) -> DataFrame:
 
 
 def _keep_state(stream: DataFrame, checkpoint: str) -> None:
-    """Run a stream for its state alone."""
-    run(stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint))
+    """Run a stream for its state alone. Batches without data would do nothing, but never end where state has
+    a time to live."""
+    writer = stream.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+    run(writer, settings={"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
 
 
 # --- the newest row per key ---------------------------------------------------------------------
@@ -184,9 +186,10 @@ class Timeout(StatefulProcessor):
             return
         deadline = opened + self.span
         resolved = answered is not None and answered <= deadline
-        if self.forget:
+        forgotten = self._deadline(opened) + self.forget
+        if forgotten > timerValues.getCurrentWatermarkInMs():
             self.session.update((opened, answered, True))
-            self.handle.registerTimer(self._deadline(opened) + self.forget)
+            self.handle.registerTimer(forgotten)
         else:
             self.session.clear()
         yield Row(session_id=key[0], opened=opened, ended=answered if resolved else deadline, resolved=resolved)
