@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions import names, text
 from tidemark.operators import columns, ordered
+from tidemark.sources import splittable as splittable_files
 
 
 def delimited(
@@ -17,9 +18,16 @@ def delimited(
     """CSV or other delimited files with a header row. Give a schema for large inputs: inferring the
     types reads the files once more. ``headers`` is None, ``source`` or ``ledger`` normalization;
     with it, rows without any value are dropped too. Quotes inside a value are doubled. Values with
-    line breaks need ``multiline``, which makes every file one task's work."""
+    line breaks need ``multiline``; with a schema such files are read by all their splits, without one
+    every file is one task's work."""
+    if multiline and schema is not None:
+        return _named(splittable_files.csv_records(spark, path, schema, sep), headers)
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    return _named(df, headers)
+
+
+def _named(df: DataFrame, headers: str | None) -> DataFrame:
     if headers is None:
         return df
     named = columns.normalize_headers(df, ledger=headers == "ledger")
@@ -40,14 +48,17 @@ def header(spark: SparkSession, path, sep: str = ",") -> list[str]:
 
 
 def json_rows(
-    spark: SparkSession, path, schema: T.StructType | str | None = None, lines: bool = False
+    spark: SparkSession, path, schema: T.StructType | str | None = None, lines: bool = False, splittable: bool = False,
 ) -> DataFrame:
     """Rows of JSON documents: a list of objects, one flat object, or an object whose first list of
     objects holds the rows.
 
     One file is one document, read by one task; with ``lines`` every line is one, and files are
-    split. Large data should come as lines.
+    split. With ``splittable`` files that are a list of objects, or one flat object, are read by all
+    their splits.
     """
+    if splittable:
+        return splittable_files.json_array(spark, path, schema)
     reader = spark.read.option("multiLine", not lines)
     df = reader.schema(schema).json(path) if schema else reader.json(path)
     for f in _in_document_order(df, spark, path, schema, lines):
@@ -58,12 +69,13 @@ def json_rows(
 
 def _in_document_order(df: DataFrame, spark: SparkSession, path, schema, lines: bool) -> list[T.StructField]:
     """The fields in the order the documents have them. Inference sorts the names, so the first list
-    is looked up in the text of one document when there is a choice."""
+    is looked up in one document when there is a choice; the places of the names are all that leaves it."""
     lists = [f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
     if schema or len(lists) < 2:
         return df.schema.fields
-    start = spark.read.text(path, wholetext=not lines).first()[0]
-    return sorted(df.schema.fields, key=lambda f: start.find(f'"{f.name}"'))
+    places = [F.locate(f'"{f.name}"', F.col("value")) for f in df.schema.fields]
+    found = spark.read.text(path, wholetext=not lines).limit(1).select(*places).first()
+    return [f for _, f in sorted(zip(found, df.schema.fields), key=lambda x: x[0])]
 
 
 def json_lines(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
