@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError, UnknownOperatorError
 from tidemark.operators import calculations as k
 from tidemark.operators import ordered
-from tidemark.operators.quantiles import exact_quantile
+from tidemark.operators import quantiles
+from tidemark.operators.quantiles import exact_quantile, exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +83,31 @@ def test_exact_quantile_against_brute_force(spark):
             assert exact_quantile(df, "v", p, final_values=20) == pytest.approx(expected, abs=1e-9)
 
 
+def test_medians_of_many_columns_take_few_scans(spark, monkeypatch):
+    """Ties, infinities, nulls, NaN and a far outlier, side by side."""
+    rng, inf = random.Random(2), float("inf")
+    made = {
+        "normal": [rng.gauss(0, 1) for _ in range(4000)], "tied": [rng.choice([1.0, 2.0]) for _ in range(4000)],
+        "far": [rng.random() for _ in range(3999)] + [1e300], "ends": [-inf] * 900 + [inf] * 900 + [rng.random() for _ in range(2200)],
+        "gaps": [None if i % 3 else float(i) for i in range(4000)], "nan": [float("nan") if i % 2 else -float(i) for i in range(4000)],
+        "none": [None] * 4000, "inf": [inf] * 4000, "a`b": [float(i % 7) for i in range(4000)],
+    }
+    df = spark.createDataFrame(list(zip(*made.values())), ", ".join(f"`{c.replace('`', '``')}` double" for c in made)).repartition(4).persist()
+    want = {}
+    for c, values in made.items():
+        kept = sorted(x for x in values if x is not None and x == x)
+        middle = (len(kept) - 1) // 2
+        want[c] = None if not kept else kept[middle] if kept[middle] == kept[len(kept) // 2] else (kept[middle] + kept[len(kept) // 2]) / 2
+    scans = []
+    row, between = quantiles._row, quantiles._between
+    monkeypatch.setattr(quantiles, "_row", lambda *a: scans.append(1) or row(*a))
+    monkeypatch.setattr(quantiles, "_between", lambda *a: scans.append(1) or between(*a))
+    got = exact_quantiles(df, list(made), 0.5, final_values=100)
+    assert {c: None if v is None else pytest.approx(v) for c, v in got.items()} == want
+    assert len(scans) <= 5
+    df.unpersist()
+
+
 def brute_running(data, by_key):
     """Running sum, count and change of (key, order, value) rows, plainly."""
     out, state = {}, {}

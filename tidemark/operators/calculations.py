@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.errors import PlanError, UnknownOperatorError
 from tidemark.functions import dates, names, numbers, text
 from tidemark.operators import cleaning, columns, ordered
-from tidemark.operators.quantiles import exact_quantile
+from tidemark.operators.quantiles import exact_quantiles
 
 
 _c = columns.col
@@ -45,17 +45,22 @@ def scalar(df: DataFrame, function: str, column: str, output: str | None = None)
 def scalars(df: DataFrame, wanted: list[tuple[str, str, str | None]]) -> DataFrame:
     """Several scalar calculations as one row. All plain aggregates share a single pass.
 
-    Distinct counts group the values first and count the groups, and a median is found by
-    bracketing, so neither gathers the values of a column in one task.
+    Distinct counts group the values first and count the groups, and medians are found by
+    bracketing, all columns together, so neither gathers the values of a column in one task.
     """
+    for _, column, _ in wanted:
+        names.require(df, column)
+    halves = [column for function, column, _ in wanted if function == "median"]
+    for column in halves:
+        _number(df, column)  # refuses what is no number
+    medians = exact_quantiles(df, halves, 0.5) if halves else {}
     shown: dict[str, Column] = {}
     plain: dict[str, Column] = {}
     for function, column, output in wanted:
         name = output or f"{function}_{column}"
-        names.require(df, column)
         c = _c(column) if function in ANY_TYPE else _number(df, column)
         if function == "median":
-            shown[name] = numbers.round_money(F.lit(exact_quantile(df, column, 0.5)).cast("double"), name)
+            shown[name] = numbers.round_money(F.lit(medians[column]).cast("double"), name)
         elif function == "count_distinct":
             shown[name] = df.select(c.alias("v")).filter("v is not null").distinct().agg(F.count("v")).scalar()
         elif function in SIMPLE:

@@ -14,7 +14,7 @@ from tidemark.errors import PlanError
 from tidemark.functions import dates, names, numbers, text
 from tidemark.operators import columns as cols
 from tidemark.operators import ordered
-from tidemark.operators.quantiles import exact_quantile
+from tidemark.operators.quantiles import exact_quantiles
 
 PARSE_RATE = 0.8
 RATE_KINDS = ("num", "cur", "date", "dayfirst")
@@ -257,7 +257,7 @@ def fill_nulls(df: DataFrame, columns, strategy: str, value=None) -> DataFrame:
         row = df.agg(*[F.avg(_c(c)).alias(str(i)) for i, c in enumerate(numeric)]).first() if numeric else []
         fills = {c: F.lit(row[i]) for i, c in enumerate(numeric)}
     elif strategy == "median":
-        fills = {c: F.lit(exact_quantile(df, c, 0.5)) for c in numeric}
+        fills = {c: F.lit(m) for c, m in exact_quantiles(df, numeric, 0.5).items()} if numeric else {}
     elif strategy == "mode":
         modes = _modes(df, targets) if targets else {}
         fills = {c: F.lit(modes.get(c)) for c in targets}
