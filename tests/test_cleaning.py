@@ -120,6 +120,26 @@ def test_audit_counts_rows_of_every_step(spark):
     assert len({e["params_hash"] for e in entries}) == 3
 
 
+def test_audit_has_warnings_and_times(spark):
+    df = df_of(spark, "`cit y` string, name string, n int, d double", *[("ab"[i % 2], f"name {i}", i, float(i % 4)) for i in range(80)])
+    result = apply_ops(df, [
+        {"type": "normalize_categorical_values"},
+        {"type": "filter", "conditions": [{"column": "n", "operator": "gte", "value": 20}]},
+        {"type": "calculate", "calculation": "ratio", "column": "n", "secondary_column": "d", "output_column": "r"},
+        {"type": "calculate", "calculation": "running_total", "column": "n", "sort_by": "n"},
+        {"type": "calculate", "calculation": "running_total", "column": "n", "sort_by": "n", "partition_by": "name", "output_column": "q"},
+    ])
+    entries = result.entries()
+    assert [e["warnings"] for e in entries] == [
+        ["Columns of more than 50 values stay as they are: name"], [], ["15 rows have a zero in d; their ratio is null."],
+        ["running_total has no partition_by, but these columns look like one: cit y"], [],
+    ]
+    assert result.warnings == [w for e in entries for w in e["warnings"]]
+    assert [e["changed_values"] for e in entries] == [0, 20, 0, 0, 0]
+    assert all(e["duration_ms"] == e["finished_at"] - e["started_at"] >= 0 and e["started_at"] > 1.6e12 for e in entries)
+    assert result.audit().count() == 5
+
+
 def test_audit_counts_all_rows_when_part_is_read(spark):
     df = spark.range(1000).selectExpr("cast(id as string) as name", "id")
     ops = [{"type": "trim_spaces"}, {"type": "filter", "conditions": [{"column": "id", "operator": "lt", "value": 600}]}, {"type": "limit", "n": 10}]

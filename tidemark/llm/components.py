@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has one edge to a smaller node, or none and only larger neighbours."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    counts = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return counts.where("up > 1 or (up = 1 and n > 1)").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
 
     ``edges`` has two columns of one type. Nulls, loops and repeats are ignored; no edges give no rows.
     Each round is stored in the shared folder, so neither lineage nor lost executors pile up work;
-    the number of rounds grows with the logarithm of the longest path. Minima are summed before the
+    the number of rounds grows with the logarithm of the longest path, and stars need none. Minima are summed before the
     shuffle, and a node with very many edges is split by adaptive joins. A round's rows are deleted once the
     next are written; the last ones are left to ``scratch``.
     """
@@ -49,16 +51,11 @@ def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> Da
         .where("a <> b").distinct()
     )
     edges = own.store(edges, "edges")
-    before = _digest(edges)
-    while before[0]:
+    while not _are_stars(edges):
         edges = own.store(_small_star(_large_star(edges)), "stars")
-        after = _digest(edges)
         last = own.paths.pop()
         own.drop()
         own.paths.append(last)
-        if after == before:
-            break
-        before = after
     kept.paths, own.paths = kept.paths + own.paths, []
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

@@ -19,14 +19,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import pairs
 from tidemark.llm.common import Scratch, materialize, split_runs
-from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import SEED, _mixed, shingle_hashes
 
 #: Words of a shingle, and the hundredths of the union that linked sets share at least.
 WIDTH, PERCENT = 4, 80
-#: Lanes of a signature and of a batch of it; bands and lanes of a band. Sets at 0.8 share no band with
-#: probability (1 - 0.8^5)^32, three in a million.
-LANES, BATCH, BANDS, ROWS = 256, 32, 32, 5
+#: Lanes of a signature and of a batch of it; bands of its first lanes and lanes of a band. Sets at 0.8 share no
+#: band with probability (1 - 0.8^5)^32, three in a million.
+LANES, BATCH, BANDS, ROWS = 512, 32, 32, 5
 #: Posterior probability of similarity below which a candidate is dropped.
 MISS = 1e-4
 #: Hashes, or candidates, handled at a time.
@@ -37,13 +36,13 @@ _random = np.random.default_rng(SEED)
 MULTIPLIERS = _random.integers(0, 1 << 32, (2, LANES), dtype=np.uint32) | np.uint32(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """LANES minima over a set of hashes, folded to 16 bits."""
-    least = np.full(LANES, 0xFFFFFFFF, np.uint32)
+def signature(hashes: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The first ``lanes`` minima over a set of hashes, folded to 16 bits."""
+    least = np.full(lanes, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(hashes), PIECE):
         part = hashes[at : at + PIECE]
         low, high = part.astype(np.uint32)[:, None], (part >> np.uint64(32)).astype(np.uint32)[:, None]
-        np.minimum(least, (low * MULTIPLIERS[0] + high * MULTIPLIERS[1]).min(axis=0), out=least)
+        np.minimum(least, (low * MULTIPLIERS[0, :lanes] + high * MULTIPLIERS[1, :lanes]).min(axis=0), out=least)
     return (least * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.uint16)
 
 
@@ -96,7 +95,7 @@ def with_bands(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
                 sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column(2)]
                 size = np.array([len(s) for s in sets], np.int64)
                 nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets))
-                flat = pa.array(band_keys(np.array([signature(s) for s in sets if len(s)], np.uint16).reshape(-1, LANES)).ravel())
+                flat = pa.array(band_keys(np.array([signature(s, BANDS * ROWS) for s in sets if len(s)], np.uint16).reshape(-1, BANDS * ROWS)).ravel())
                 bands = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, (size > 0) * BANDS]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(nodes.view(np.int64)), pa.array(size), bands],
@@ -146,9 +145,10 @@ def star(found: DataFrame, sketches: DataFrame, percent: int, least: list[int])
     return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, weight long")
 
 
-def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int]) -> DataFrame:
-    """(a, b, weight): all pairs of different labels in a shard that survive all batches, each in the first
-    band it shares only. In a shard of two sides only pairs across them count; other shards have the rest."""
+def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int], best: bool) -> DataFrame:
+    """(a, b): all pairs of different labels in a shard that survive all batches, each in the first band it
+    shares only, or with ``best`` one pair of each member, that with most equal lanes. In a shard of two sides
+    only pairs across them count; other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -160,6 +160,7 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
                 own = slice(start, end)
                 node, label, side, size, sig = (x[own] for x in (nodes, labels, sides, sizes, sigs))
                 across = side.min() < side.max()
+                held = np.full(end - start, -1), np.full(end - start, -1)
                 for at in range(0, end - start, 64):
                     ask = slice(at, at + 64)
                     open_ = (label[ask, None] != label) & (np.arange(end - start)[ask, None] < np.arange(end - start))
@@ -169,15 +170,19 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
                     a, b = np.nonzero(open_)
                     left, matches = surviving(sig, sig, a + at, b, least)
                     a, b = a[left] + at, b[left]
-                    shared = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
-                    mine = shared.any(axis=1) & (shared.argmax(axis=1) == bands[start]) if len(a) else np.empty(0, bool)
-                    if mine.any():
-                        x, y = node[a[mine]], node[b[mine]]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(matches[mine])], names=["a", "b", "weight"])
+                    if best:
+                        pairs.heaviest(a, b, matches, held)
+                    elif len(a):
+                        shared = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
+                        mine = shared.any(axis=1) & (shared.argmax(axis=1) == bands[start])
+                        if mine.any():
+                            yield pairs.as_batch(node[a[mine]], node[b[mine]])
+                if best:
+                    some = np.flatnonzero(held[0] >= 0)
+                    yield pairs.as_batch(node[some], node[held[0][some]])
 
     dealt = shards.join(sketches, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
-    return dealt.select("key", "band", "node", "label", "side", "n", "sig").mapInArrow(run, "a long, b long, weight long")
+    return dealt.select("key", "band", "node", "label", "side", "n", "sig").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -204,11 +209,10 @@ def near_duplicates(
     sets = pairs.sets_of(docs, prints, members, lambda t: np.unique(shingle_hashes(t, width)), id, text)
     sets = scratch.store(sets, "sets")
     sketches = scratch.store(with_signatures(sets), "signatures")
-    links = pairs.spanning_links(
+    roots = pairs.similar_groups(
         members, sets, partial(star, sketches=sketches, percent=percent, least=least),
         partial(search, sketches=sketches, percent=percent, least=least), percent, scratch, shard_rows,
     )
-    roots = connected_components(links, scratch)
     nodes = prints.where("n > 0").groupBy("node").agg(F.min("id").alias("least"))
     named = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -1,4 +1,4 @@
-"""Links that span the groups of similar sets: pairs from shared keys, sketches that prune them, sets that decide.
+"""Groups of similar sets: pairs from shared keys, sketches that prune them, sets that decide.
 
 Sets of shingles are named by nodes. What a key's members have in common is found without forming all
 pairs of a key: its least member meets all others, which is linear, members of one group need no
@@ -90,29 +90,47 @@ def members_of(postings: DataFrame) -> DataFrame:
     return once.join(shared, "key")
 
 
-def spanning_links(
-    members: DataFrame, sets: DataFrame, star: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame],
-    percent: int, scratch: Scratch, shard_rows: int = 2048,
+def similar_groups(
+    members: DataFrame, sets: DataFrame, star: Callable[[DataFrame], DataFrame], search: Callable[..., DataFrame],
+    percent: int, scratch: Scratch, shard_rows: int = 2048, rounds: int = 1,
 ) -> DataFrame:
-    """(a, b): verified links that span the groups of all similar sets that share a key. Stored in ``scratch``.
+    """(node, root): the groups of all similar sets that share a key, joined by verified links; sets without a
+    link are not in it. Stored in ``scratch``.
 
     ``star`` prunes pairs (a, b) by their sketches and gives them a ``weight``; ``search`` finds such pairs
-    between different labels inside shards (key, band, node, label, side). The heaviest pair of each node is
-    verified first; a pair is verified only if its nodes are in different groups by then. No pair that the
-    sketches let pass is left out.
+    between different labels inside shards (key, band, node, label, side): with ``best`` the heaviest of each
+    member, else all. First every member of a key meets the least one, then in ``rounds`` its heaviest partner
+    of another group, which are no more pairs than members and join most of a group; what still is between
+    groups afterwards is verified whole. No pair that the sketches let pass is left out.
     """
     first = scratch.store(star(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "stars")
     links = scratch.store(verified(_best(first), sets, percent), "links")
     labels = connected_components(links, scratch)
-    named = scratch.store(_labelled(members.select("band", "key", "node"), labels, "node", "label"), "named")
-    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    shards = _blocks(named.join(several.select("key", "n"), "key"), shard_rows)
-    pairs = scratch.store(search(shards), "pairs")
-    links = scratch.store(links.unionByName(verified(_best(pairs), sets, percent)), "links")
-    labels = connected_components(links, scratch)
-    rest = _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    rest = scratch.store(rest.join(_best(pairs), ["a", "b"], "left_anti"), "rest")
-    return scratch.store(links.unionByName(verified(rest, sets, percent)), "links")
+    for n in range(rounds + 1):
+        named = scratch.store(_labelled(members.select("band", "key", "node"), labels, "node", "label"), "named")
+        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        shards = _blocks(named.join(several.select("key", "n"), "key"), shard_rows)
+        found = scratch.store(search(shards, best=n < rounds).select("a", "b").distinct(), "pairs")
+        if found.isEmpty():
+            break
+        new = scratch.store(verified(found, sets, percent), "links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = connected_components(links, scratch)
+    return labels
+
+
+def heaviest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> None:
+    """Note in ``held`` (partner and weight of each member, in place) the heaviest of the pairs of each member."""
+    partner, most = held
+    for one, two in ((a, b), (b, a)):
+        order = np.argsort(weight, kind="stable")  # the last write of a member is its heaviest
+        own, other, w = one[order], two[order], weight[order]
+        last = np.zeros(len(most), np.int64) - 1
+        last[own] = np.arange(len(own))
+        who = np.flatnonzero(last >= 0)
+        better = who[w[last[who]] > most[who]]
+        partner[better], most[better] = other[last[better]], w[last[better]]
 
 
 def batches_of(values: pa.Array, kind: type, width: int) -> np.ndarray:
@@ -123,3 +141,8 @@ def batches_of(values: pa.Array, kind: type, width: int) -> np.ndarray:
 def tasks(df: DataFrame) -> int:
     """Partitions for rows that are few bytes but much work, which adaptive execution would join."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def as_batch(one: np.ndarray, two: np.ndarray) -> pa.RecordBatch:
+    """Pairs (a, b) with the smaller node first."""
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])

@@ -178,10 +178,10 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int =
 
 #: Words of a shingle, hundredths of the union that near duplicates share at least, bands and bins of a band in
 #: a sketch, and lanes of 64 bits in a wide fingerprint.
-WIDTH, PERCENT, BANDS, BINS, LANES = 5, 80, 32, 6, 16
-#: Bits of 1,024 in which fingerprints may differ before sets are compared: 4 standard deviations above the mean
+WIDTH, PERCENT, BANDS, BINS, LANES = 5, 80, 32, 6, 32
+#: Bits of 2,048 in which fingerprints may differ before sets are compared: 4 standard deviations above the mean
 #: distance at a Jaccard similarity of 0.8, for sets of fewer than SMALL shingles and for others (simulated).
-RADIUS_SMALL, RADIUS, SMALL = 240, 198, 20
+RADIUS_SMALL, RADIUS, SMALL = 450, 370, 20
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -266,10 +266,10 @@ def near_pairs(found: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, weight long")
 
 
-def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight): all near pairs of different labels in every shard, searched in the shard's BK-tree, each
-    in the first band that the two sketches share only. In a shard of two sides only pairs across them count,
-    as other shards have the rest."""
+def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b): all near pairs of different labels in every shard, searched in the shard's BK-tree, each in the
+    first band that the two sketches share only, or with ``best`` one pair of each member, the nearest. In a
+    shard of two sides only pairs across them count, as other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -281,6 +281,7 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                 own = slice(start, end)
                 tree, across = BKTree(bits[own]), sides[own].min() < sides[own].max()
                 node, label, side, n, keyed = (x[own] for x in (nodes, labels, sides, sizes, sketches))
+                held = np.full(end - start, -1), np.full(end - start, -LANES * 64 - 1)
                 for at in range(0, end - start, 256):
                     for q, m in tree.search(tree.prints[at : at + 256], RADIUS_SMALL):
                         q = q + at
@@ -289,14 +290,19 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                             take &= side[q] != side[m]
                         q, m = q[take], m[take]
                         distance = np.bitwise_count(tree.prints[q] ^ tree.prints[m]).sum(axis=1, dtype=np.int64)
-                        take = _alike(n[q], n[m], distance, percent) & ((keyed[q] == keyed[m]).argmax(axis=1) == bands[start])
-                        if take.any():
-                            a, b = node[q[take]], node[m[take]]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(-distance[take])], names=["a", "b", "weight"])
+                        take = _alike(n[q], n[m], distance, percent)
+                        if best:
+                            pairs.heaviest(q[take], m[take], -distance[take], held)
+                        else:
+                            take &= (keyed[q] == keyed[m]).argmax(axis=1) == bands[start]
+                            if take.any():
+                                yield pairs.as_batch(node[q[take]], node[m[take]])
+                if best:
+                    some = np.flatnonzero(held[0] >= 0)
+                    yield pairs.as_batch(node[some], node[held[0][some]])
 
     dealt = shards.join(prints, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
-    return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch").mapInArrow(run, "a long, b long, weight long")
+    return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(
@@ -318,13 +324,12 @@ def deduplicated(
     members = scratch.store(pairs.members_of(prints.select("node", F.posexplode("bands").alias("band", "key"))), "members")
     sets = scratch.store(pairs.sets_of(docs, prints, members, shingle_set, id, text), "sets")
     wide = scratch.store(with_wide_fingerprints(sets), "fingerprints")
-    links = pairs.spanning_links(
+    roots = pairs.similar_groups(
         members, sets, partial(near_pairs, prints=wide, percent=percent), partial(tree_pairs, prints=wide, percent=percent),
         percent, scratch, shard_rows,
     )
     # Nodes are distinct sets. Two of them may have one least id, when an id has two texts.
     nodes = prints.groupBy("node").agg(F.min("id").alias("id"))
-    roots = connected_components(links, scratch)
     named = scratch.store(nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root")), "named")
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     slim = prints.select("id", "key", "node")

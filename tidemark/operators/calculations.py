@@ -184,7 +184,7 @@ def ratio(df: DataFrame, column: str, secondary: str, output: str | None = None)
 
 def zero_denominators(secondary: str) -> Column:
     """How many rows a ratio set to null; for ``observe`` or an aggregate."""
-    return F.count_if(F.col(f"`{secondary}`") == 0)
+    return F.count_if(_c(secondary).cast("double") == 0)
 
 
 def absolute(df: DataFrame, column: str, output: str | None = None) -> DataFrame:
@@ -313,6 +313,22 @@ CALCULATIONS: dict[str, Callable[[DataFrame, dict], Calculated]] = {
 }
 
 
+def warnings_of(df: DataFrame, op: dict) -> DataFrame | None:
+    """What a calculation has to say about its input, as rows ``warning``; None where it never has anything.
+    At most one small aggregate."""
+    kind = op.get("type")
+    if kind == "ratio":
+        found = df.agg(zero_denominators(op["secondary_column"]).alias("n")).where("n > 0")
+        text = F.concat(F.col("n").cast("string"), F.lit(f" rows have a zero in {op['secondary_column']}; their ratio is null."))
+        return found.select(text.alias("warning"))
+    if kind in ("running_total", "percentage_change") and not _parts(op):
+        found = partition_hints(df, op["column"], _sort(op)).agg(F.array_join(F.array_sort(F.collect_list("column")), ", ").alias("c"))
+        return found.where("c <> ''").select(F.concat(F.lit(f"{kind} has no partition_by, but these columns look like one: "), F.col("c")).alias("warning"))
+    if kind == "absolute_value" and op.get("column") == names.ALL_NUMERIC and not names.expand_numeric(df, None):
+        return df.sparkSession.createDataFrame([("absolute_value found no numeric column.",)], "warning string")
+    return None
+
+
 def calculate(df: DataFrame, op: dict) -> Calculated:
     """Run one calculation op by its ``type``."""
     fn = CALCULATIONS.get({"abs": "absolute_value", "absolute": "absolute_value"}.get(op.get("type"), op.get("type")))

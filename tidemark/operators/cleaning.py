@@ -80,12 +80,13 @@ def replace_by_table(df: DataFrame, column: str, mapping: DataFrame) -> DataFram
     return joined.withColumn(column, value).drop("__old", "__new")
 
 
-def normalize_categories(df: DataFrame, columns=None) -> DataFrame:
-    """Strip and title-case columns with at most 50 distinct values; write out gender spellings."""
+def normalize_categories(df: DataFrame, columns=None, most: int = MAX_CATEGORIES) -> DataFrame:
+    """Strip and title-case columns with at most ``most`` distinct values; write out gender spellings. Columns
+    with more stay as they are; ``uncategorized`` names them."""
     targets = names.expand_text(df, columns)
     if not targets:
         return df
-    low = _with_few_values(df, targets, MAX_CATEGORIES)
+    low = _with_few_values(df, targets, most)
 
     def canonical(c: Column) -> Column:
         key = F.lower(text.strip(c))
@@ -97,6 +98,17 @@ def normalize_categories(df: DataFrame, columns=None) -> DataFrame:
     return _map_columns(df, low, canonical)
 
 
+def uncategorized(df: DataFrame, columns=None, most: int = MAX_CATEGORIES) -> DataFrame | None:
+    """The warning about columns that ``normalize_categories`` leaves for their many values; one aggregate with
+    bounded sketches, so a column near the limit may be missing or named in error."""
+    targets = names.expand_text(df, columns)
+    if not targets:
+        return None
+    counts = [F.when(F.approx_count_distinct(text.strip(_c(c)), 0.01) > most, F.lit(c)) for c in targets]
+    found = df.agg(F.array_join(F.array_compact(F.array(*counts)), ", ").alias("c")).where("c <> ''")
+    return found.select(F.concat(F.lit(f"Columns of more than {most} values stay as they are: "), F.col("c")).alias("warning"))
+
+
 def _with_few_values(df: DataFrame, targets: list[str], most: int) -> list[str]:
     """The columns with at least one and at most ``most`` distinct stripped values.
 

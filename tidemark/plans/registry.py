@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.errors import PlanError, UnknownOperatorError
+from tidemark.functions import names
 from tidemark.operators import calculations, cleaning, columns, filters, tables
 
 Op = Callable[[DataFrame, dict], DataFrame]
@@ -34,7 +35,7 @@ CLEANING: dict[str, Op] = {
     "rename_columns": lambda df, o: columns.rename(df, o["mapping"]),
     "reorder_columns": lambda df, o: columns.reorder(df, o["columns"]),
     "absolute_value": lambda df, o: cleaning.absolute_value(df, o.get("columns")),
-    "normalize_categorical_values": lambda df, o: cleaning.normalize_categories(df, o.get("columns")),
+    "normalize_categorical_values": lambda df, o: cleaning.normalize_categories(df, o.get("columns"), o.get("most", cleaning.MAX_CATEGORIES)),
 }
 
 # Ops that look at the data before the plan is fixed; a stream cannot run them.
@@ -99,9 +100,21 @@ def keeps_rows(name: str) -> bool:
     return name not in _user_ops and name in KEEPS_ROWS
 
 
-def check_coverage(names: list[str], table: dict) -> None:
+def warnings_of(df: DataFrame, op: dict) -> DataFrame | None:
+    """What an op has to say about the table it gets, as rows ``warning``, or None."""
+    name = OP_ALIASES.get(op["type"], op["type"])
+    if name == "calculate":
+        return calculations.warnings_of(df, {**op, "type": op["calculation"]})
+    if name == "normalize_categorical_values":
+        return cleaning.uncategorized(df, op.get("columns"), op.get("most", cleaning.MAX_CATEGORIES))
+    if name == "absolute_value" and not names.expand_numeric(df, op.get("columns")):
+        return df.sparkSession.createDataFrame([("absolute_value found no numeric column.",)], "warning string")
+    return None
+
+
+def check_coverage(wanted: list[str], table: dict) -> None:
     """Raise unless a table of functions covers exactly the given names."""
-    missing, extra = sorted(set(names) - set(table)), sorted(set(table) - set(names))
+    missing, extra = sorted(set(wanted) - set(table)), sorted(set(table) - set(wanted))
     if missing or extra:
         raise PlanError(f"Functions missing for {missing}, unknown {extra}")
 

@@ -4,13 +4,17 @@ Nothing is executed here except the small statistics some ops need. The audit co
 when it is asked for, so it is exact whatever part of the result has been read: one aggregate for the
 input and one for each step that may change the number of rows, all in one query. Counters inside the
 result's own plan would cost no pass, but they count what happened to be read, and a limit ends the
-reading of all steps before it.
+reading of all steps before it. Warnings of steps come from the same query.
+
+An op is planned when it is applied and runs with the result, so its times are those of its planning,
+the statistics it needed included.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,17 +40,26 @@ class Step:
     after: list[str]
     df: DataFrame
     keeps_rows: bool
+    warner: DataFrame | None = None
+    started_at: int = 0
+    finished_at: int = 0
 
-    def entry(self, number: int, rows_in: int, rows_out: int) -> dict:
+    def entry(self, number: int, rows_in: int, rows_out: int, warnings: list[str]) -> dict:
         return {
             "operation_id": f"step_{number}",
             "operation_type": self.op["type"],
+            "type": self.op["type"],
             "input_row_count": rows_in,
             "output_row_count": rows_out,
             "input_columns": self.before,
             "output_columns": self.after,
             "columns_modified": modified_columns(self.before, self.after),
+            "warnings": warnings,
+            "started_at": self.started_at,
+            "finished_at": self.finished_at,
+            "duration_ms": self.finished_at - self.started_at,
             "params_hash": params_hash(self.op),
+            "changed_values": rows_in - rows_out,
             **({"origin": "filter_prep"} if self.op["type"] == "filter_prep" else {}),
         }
 
@@ -61,16 +74,27 @@ class StepResult:
     warnings: list[str] = field(default_factory=list)
 
     def entries(self) -> list[dict]:
-        """The audit entries; counts the rows, in one query."""
+        """The audit entries; counts the rows and gathers the warnings, in one query. ``warnings`` has those of
+        all steps afterwards."""
         if not self.steps:
             return []
+        none = F.lit(None)
         counted = [self.source, *[s.df for s in self.steps if not s.keeps_rows]]
-        queries = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n") for i, df in enumerate(counted)]
-        counts = dict(map(tuple, reduce(DataFrame.unionAll, queries).collect()))
+        queries = [
+            df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("i"), "n", none.cast("string").alias("warning"))
+            for i, df in enumerate(counted)
+        ]
+        queries += [
+            s.warner.select(F.lit(i).alias("i"), none.cast("bigint").alias("n"), "warning") for i, s in enumerate(self.steps) if s.warner is not None
+        ]
+        rows = reduce(DataFrame.unionAll, queries).collect()
+        counts = {r["i"]: r["n"] for r in rows if r["warning"] is None}
+        said = [sorted(r["warning"] for r in rows if r["warning"] is not None and r["i"] == i) for i in range(len(self.steps))]
+        self.warnings = [w for step in said for w in step]
         out, at = [], 0
         for number, step in enumerate(self.steps, 1):
             before, at = at, at if step.keeps_rows else at + 1
-            out.append(step.entry(number, counts[before], counts[at]))
+            out.append(step.entry(number, counts[before], counts[at], said[number - 1]))
         return out
 
     def audit(self) -> DataFrame:
@@ -83,10 +107,12 @@ def apply_ops(df: DataFrame, ops: list[dict], auto_prep: bool = False, audit: bo
     ops = with_auto_prep(ops) if auto_prep else ops
     result, current = StepResult(df, df), df
     for op in ops:
-        before = current.columns
-        current = registry.find(op["type"])(current, op)
+        before, started = current, time.time_ns() // 1_000_000
+        current = registry.find(op["type"])(before, op)
         if audit:
-            result.steps.append(Step(op, before, current.columns, current, registry.keeps_rows(op["type"])))
+            keeps, warner = registry.keeps_rows(op["type"]), registry.warnings_of(before, op)
+            finished = time.time_ns() // 1_000_000
+            result.steps.append(Step(op, before.columns, current.columns, current, keeps, warner, started, finished))
     result.df = current
     return result
 
