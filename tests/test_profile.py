@@ -23,6 +23,25 @@ def test_table_profile(spark):
     assert rows(profile.table_profile(df)) == [(3, 2, 1)]
 
 
+def test_rows_differ_by_where_a_null_is(spark):
+    df = spark.createDataFrame([("a", None), (None, "a"), ("a", None), (None, None), (None, None)], "x string, y string")
+    assert rows(profile.table_profile(df)) == [(5, 2, 2)]
+
+
+def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+    """No text of more than LONG_CHARS characters goes through a shuffle; the shown ones are fetched."""
+    long = ["same beginning " * 20 + end for end in ("one", "two", "two", "two")] + ["short", "short", "with \u0000 mark", None]
+    df = spark.createDataFrame(list(enumerate(long)), "i int, t string")
+    top = {r["rank"]: (r["value"], r["n"]) for r in profile.samples(df, "frequent", 4, ["i"], chars=None).filter("column = 't'").collect()}
+    assert top[1] == (long[1], 3) and top[2] == ("short", 2)
+    assert {top[3], top[4]} == {(long[0], 1), ("with  mark", 1)}
+    assert {r["column"]: r["distinct_count"] for r in profile.distinct_counts(df).collect()} == {"i": 8, "t": 4}
+    counts = profile.value_counts(df, ["i"])
+    assert max(len(r["key"]) for r in counts.collect()) <= profile.LONG_CHARS
+    light = {r["name"]: r["sample_values"] for r in profile.light_profile(df, ["i"]).collect()}
+    assert light["t"].split("|") == [long[0], long[1], "short"]
+
+
 def test_samples_are_masked_and_repeatable(spark):
     df = spark.createDataFrame([(1, "ann@x.org"), (2, "bob@y.org"), (3, "ann@x.org")], "i int, email string")
     frequent = profile.samples(df, "frequent", 1, ["i"]).filter("column = 'email'")

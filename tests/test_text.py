@@ -67,6 +67,11 @@ def test_parse_date_by_shape(spark):
         "5 September 24": "2024-09-05T00:00:00", "Sept. 5, 2024": "2024-09-05T00:00:00", "2024.1.5": "2024-01-05T00:00:00",
         "1/2/2024 3:04 PM": "2024-01-02T15:04:00", "1/2/2024 12:04 am": "2024-01-02T00:04:00",
         "Jan 5, 2024, 11:59:58 PM": "2024-01-05T23:59:58", "13:00 pm": None, "1/2/2024 13:04 PM": None,
+        "20240105T101500Z": "2024-01-05T10:15:00", "20240105T101500+0200": "2024-01-05T08:15:00", "20240105T10150099": None,
+        "Fri, 05 Jan 2024 10:00:00 GMT": "2024-01-05T10:00:00", "Friday, 5 Jan 2024 10:00:00 +0100": "2024-01-05T09:00:00",
+        "Jan 5th, 2024": "2024-01-05T00:00:00", "3rd March 2024": "2024-03-03T00:00:00", "Sat 2nd Mar 2024": "2024-03-02T00:00:00",
+        "2024-01": "2024-01-01T00:00:00", "2024-13": None, "Wed 2024-01-03": "2024-01-03T00:00:00", "Monday": None,
+        "on 2024-01-03 we": None, "x" * 70 + " 2024": None,
         "20241305": None, "5-Foo-2024": None, "12345678901": None, "2024-02-30": None, "31-Apr-2024": None,
     }
     assert one(spark, lambda c: dates.iso_text(dates.parse_date(c)), *read) == list(read.values())

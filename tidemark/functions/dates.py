@@ -15,7 +15,9 @@ from tidemark.errors import PlanError
 _CLOCK = r"\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
 YEAR_FIRST = rf"^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}([ T]{_CLOCK}Z?)?$"
 YEAR_LAST = rf"^(\d{{1,2}})[-/](\d{{1,2}})[-/](\d{{4}})((?:[ T]{_CLOCK})?)$"
-SHORTEST = len("1/1/00")
+SHORTEST, LONGEST = len("1/1/00"), 64
+# What every date looks like: it begins with a digit or a letter, and has a digit.
+DATED = r"^[0-9A-Za-z].*[0-9]"
 
 # The others are brought into the form year;month;day;clock;half of the day;zone.
 _NAMES = (
@@ -24,12 +26,16 @@ _NAMES = (
 )
 _SEP = r"(?:,? |[-/.])"
 _TAIL = rf"(?:(?:[ T]|, ?)({_CLOCK}) ?([ap]m)?)? ?(z|utc|gmt|[+-]\d{{2}}:?\d{{2}})?$"
-WITH_CLOCK = (
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+MONTH_FIRST = (rf"(?i)^({_NAMES})\.?[ -]{_DAY}{_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$1;$2;$4;$5;$6")
+DAY_FIRST = (rf"(?i)^{_DAY}[ .-]({_NAMES})\.?{_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$2;$1;$4;$5;$6")
+NUMERIC = (
     (rf"(?i)^(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}}){_TAIL}", "$1;$2;$3;$4;$5;$6"),
     (rf"(?i)^(\d{{4}})(\d{{2}})(\d{{2}}){_TAIL}", "$1;$2;$3;$4;$5;$6"),
-    (rf"(?i)^({_NAMES})\.?[ -](\d{{1,2}}){_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$1;$2;$4;$5;$6"),
-    (rf"(?i)^(\d{{1,2}})[ .-]({_NAMES})\.?{_SEP}(\d{{4}}|\d{{2}}){_TAIL}", "$3;$2;$1;$4;$5;$6"),
+    (r"(?i)^(\d{4})(\d{2})(\d{2})[T ](\d{2})(\d{2})(\d{2}(?:\.\d+)?) ?(z|utc|gmt|[+-]\d{2}:?\d{2})?$", "$1;$2;$3;$4:$5:$6;;$7"),
+    (r"^(\d{4})[-/](\d{1,2})$", "$1;$2;1;;;"),
 )
+WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,? +"
 NUMERIC_YEAR_LAST = rf"(?i)^(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}}|\d{{2}}){_TAIL}"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 FIRST_YEAR = 69
@@ -56,14 +62,24 @@ def parse_date(c: Column, formats: tuple[str, ...] | None = None, dayfirst: bool
         return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats]).cast("timestamp_ntz")
     iso = "$3-$2-$1$4" if dayfirst else "$3-$1-$2$4"
     numeric = "$3;$2;$1;$4;$5;$6" if dayfirst else "$3;$1;$2;$4;$5;$6"
+    named = F.transform(
+        F.array(F.regexp_replace(text, WEEKDAY, "")), lambda t: _from_parts(_parts(t, (MONTH_FIRST, DAY_FIRST, *NUMERIC)))
+    )[0]
     out = (
         F.when(text.rlike(YEAR_FIRST), F.translate(text, "/Z", "-").try_cast("timestamp_ntz"))
         .when(text.rlike(YEAR_LAST), F.regexp_replace(text, YEAR_LAST, iso).try_cast("timestamp_ntz"))
+        .when(text.rlike("^[A-Za-z]"), named)
+        .otherwise(_from_parts(_parts(text, ((NUMERIC_YEAR_LAST, numeric), *NUMERIC, DAY_FIRST))))
     )
+    return F.when(F.length(text).between(SHORTEST, LONGEST) & text.rlike(DATED), out)
+
+
+def _parts(text: Column, shapes: tuple) -> Column:
+    """``year;month;day;clock;half;zone`` by the first shape that fits."""
     parts = F.lit(None).cast("string")
-    for shape, order in (*WITH_CLOCK, (NUMERIC_YEAR_LAST, numeric)):
+    for shape, order in reversed(shapes):
         parts = F.when(text.rlike(shape), F.regexp_replace(text, shape, order)).otherwise(parts)
-    return F.when(F.length(text) >= SHORTEST, out.otherwise(_from_parts(parts)))
+    return parts
 
 
 def _from_parts(parts: Column) -> Column:

@@ -21,7 +21,7 @@ def _digest_of(rows: DataFrame, parts: list[Column], order: str, name: str) -> D
 
 def schema_fingerprint(df: DataFrame) -> DataFrame:
     """One row: hash of sorted lower-case names, types, and whether nulls occur."""
-    stats = profile.column_stats(df).select(
+    stats = profile.column_stats(df, ["null_count"]).select(
         F.lower("column").alias("name"), "data_type", (F.col("null_count") > 0).cast("string").alias("nullable")
     )
     return _digest_of(stats, [F.col("name"), F.col("data_type"), F.col("nullable")], "name", "schema_fingerprint")
@@ -32,7 +32,8 @@ def profile_fingerprint(df: DataFrame, values: int = 3) -> DataFrame:
     no value itself is part of it."""
     counts = profile.value_counts(df)
     distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    top = ordered.first_per_key(counts, ["column"], [F.desc("n"), F.col("value")], values)
+    top = ordered.first_per_key(counts, ["column"], [F.desc("n"), F.col("key")], values)
+    top = profile.with_values(df, top.select("column", "key", "n"))
     hashed = top.groupBy("column").agg(
         F.concat_ws(
             ",",
@@ -42,7 +43,7 @@ def profile_fingerprint(df: DataFrame, values: int = 3) -> DataFrame:
             ),
         ).alias("hashes")
     )
-    every = profile.column_stats(df).select("column")
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
     rows = every.join(F.broadcast(distinct), "column", "left").join(F.broadcast(hashed), "column", "left")
     parts = [F.col("column"), F.coalesce("distinct_count", F.lit(0)).cast("string"), F.coalesce("hashes", F.lit(""))]
     return _digest_of(rows, parts, "column", "profile_fingerprint")

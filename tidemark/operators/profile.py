@@ -2,7 +2,8 @@
 
 Two scans give everything: one wide aggregate (counts, ranges, lengths, parse rates) without a
 shuffle of rows, and one grouped count of ``(column, value)`` pairs for what needs the values
-(distinct counts, frequent, rare and sample values).
+(distinct counts, frequent, rare and sample values). In the pairs a long text stands for itself by its
+beginning and a digest; the few long texts that are shown are fetched afterwards.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from tidemark.operators import ordered
 
 SAMPLE_CHARS = 64
 DIGEST_CHARS = 64
+#: Texts of more characters go through a shuffle as their first DIGEST_CHARS, a mark and a SHA-256.
+LONG_CHARS = 2 * DIGEST_CHARS + 1
+MARK = "\u0000"
 
 
 def _c(name: str) -> Column:
@@ -32,39 +36,54 @@ def _shown(df: DataFrame, column: str) -> Column:
     return _c(column).cast("string")
 
 
-def _counted(df: DataFrame, column: str) -> Column:
-    shown = _shown(df, column)
+def _key(df: DataFrame, column: str, shown: Column) -> Column:
+    """What stands for a value in a shuffle: the value, or for a long text its beginning and its digest, which
+    sort like it but for texts that begin alike. A short text that holds the mark is digested too."""
     if not names.is_text(df.schema[column].dataType):
         return shown
-    return F.when(F.length(shown) > DIGEST_CHARS, F.concat(F.lit("\u0000"), F.sha2(shown, 256))).otherwise(shown)
+    brief = F.concat(F.left(shown, F.lit(DIGEST_CHARS)), F.lit(MARK), F.sha2(shown, 256))
+    return F.when((F.length(shown) > LONG_CHARS) | F.contains(shown, F.lit(MARK)), brief).otherwise(shown)
 
 
 def value_counts(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """``column, value, n, first_at`` for every distinct non-null value of every column.
+    """``column, key, n, first_at`` for every distinct non-null value of every column; ``with_values`` gives
+    the values of chosen keys.
 
-    Rows are counted map-side before the shuffle, so a frequent value costs one row per task.
+    Rows are counted map-side before the shuffle, so a frequent value costs one row per task, and no
+    text of more than LONG_CHARS characters is moved.
     """
     order = F.struct(*[_c(c) for c in order_by]) if order_by else F.monotonically_increasing_id()
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _shown(df, c).alias("value")) for c in df.columns])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _key(df, c, _shown(df, c)).alias("key")) for c in df.columns])
     return (
         df.select(order.alias("at"), F.explode(pairs).alias("p"))
-        .select("at", "p.column", "p.value")
-        .filter("value is not null")
-        .groupBy("column", "value")
+        .select("at", "p.column", "p.key")
+        .filter("key is not null")
+        .groupBy("column", "key")
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"))
     )
 
 
+def with_values(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` (``column, key, …``, a few rows per column) with the ``value`` of each key. Digested texts are
+    looked up in a scan of the text columns; the chosen keys are broadcast."""
+    texts = [c for c in df.columns if names.is_text(df.schema[c].dataType)]
+    if not texts:
+        return chosen.withColumn("value", F.col("key"))
+    digested = F.contains("key", F.lit(MARK))
+    wanted = F.broadcast(chosen.where(digested).select("column", "key").distinct())
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _key(df, c, _c(c)).alias("key"), _c(c).alias("text")) for c in texts])
+    rows = df.select(F.explode(pairs).alias("p")).select("p.*").where(digested).join(wanted, ["column", "key"])
+    found = rows.groupBy("column", "key").agg(F.first("text").alias("text"))
+    return chosen.join(F.broadcast(found), ["column", "key"], "left").withColumn("value", F.coalesce("text", "key")).drop("text")
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """``column, distinct_count`` of every column. Texts longer than a SHA-256 stand for themselves by
-    it, so that long documents are not sent through the shuffle to be counted."""
-    pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), _counted(df, c).alias("value")) for c in df.columns]
-    )
+    """``column, distinct_count`` of every column; long texts are counted by their digests."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _key(df, c, _shown(df, c)).alias("key")) for c in df.columns])
     return (
         df.select(F.explode(pairs).alias("p"))
-        .select("p.column", "p.value")
-        .filter("value is not null")
+        .select("p.column", "p.key")
+        .filter("key is not null")
         .distinct()
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("distinct_count"))
@@ -96,11 +115,11 @@ def _stat_columns(df: DataFrame, column: str) -> dict[str, Column]:
     }
 
 
-def column_stats(df: DataFrame) -> DataFrame:
-    """One row per column from a single wide aggregate."""
+def column_stats(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """One row per column from a single wide aggregate: all statistics, or the ``wanted`` ones."""
     shown, structs = [], []
     for i, f in enumerate(df.schema.fields):
-        stats = _stat_columns(df, f.name)
+        stats = {k: v for k, v in _stat_columns(df, f.name).items() if wanted is None or k in wanted}
         shown += [v.alias(f"{k}_{i}") for k, v in stats.items()]
         structs.append(
             F.struct(
@@ -121,8 +140,13 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """One row: rows, columns, and rows that repeat an earlier one."""
-    groups = df.groupBy(*[_c(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    """One row: rows, columns, and rows that repeat an earlier one. Rows are counted by 256 bits of hashes, four
+    of 64 over the columns in turned orders, so none of their values is moved."""
+    c = [_c(x) for x in df.columns]
+    nulls = F.concat(*[F.when(x.isNull(), "1").otherwise("0") for x in c])  # a hash passes over nulls
+    turned = [[nulls, *c[k % len(c) :], *c[: k % len(c)]] for k in range(4)]
+    digest = [F.xxhash64(F.lit(k), *columns).alias(f"__h{k}") for k, columns in enumerate(turned)]
+    groups = df.select(*digest).groupBy(*[f"__h{k}" for k in range(4)]).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("row_count"),
         F.lit(len(df.columns)).cast("bigint").alias("column_count"),
@@ -140,12 +164,13 @@ def shown_sample(c: Column, sensitive: bool = False, chars: int | None = SAMPLE_
     return safe if chars is None else F.left(safe, F.lit(chars))
 
 
-def _top(counts: DataFrame, columns: list[str], order: list[Column], n: int, chars: int | None) -> DataFrame:
+def _top(df: DataFrame, counts: DataFrame, order: list[Column], n: int, chars: int | None) -> DataFrame:
     """The first ``n`` values per column as rows ``column, rank, value, n``."""
     window = Window.partitionBy("column").orderBy(*order)
     ranked = counts.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n)
+    ranked = with_values(df, ranked.select("column", "key", "rank", "n"))
     value = shown_sample(F.col("value"), chars=chars)
-    sensitive = [c for c in columns if text.is_sensitive_name(c)]
+    sensitive = [c for c in df.columns if text.is_sensitive_name(c)]
     if sensitive:
         value = F.when(F.col("column").isin(sensitive), shown_sample(F.col("value"), True, chars)).otherwise(value)
     return ranked.select("column", "rank", value.alias("value"), "n")
@@ -158,12 +183,12 @@ def samples(
     ``random`` (seeded by the column name, so equal input gives equal samples)."""
     counts = value_counts(df, order_by)
     orders = {
-        "representative": [F.col("first_at"), F.col("value")],
-        "frequent": [F.desc("n"), F.col("value")],
-        "rare": [F.asc("n"), F.col("value")],
-        "random": [F.sha2(F.concat(F.col("column"), F.lit("::"), F.col("value")), 256)],
+        "representative": [F.col("first_at"), F.col("key")],
+        "frequent": [F.desc("n"), F.col("key")],
+        "rare": [F.asc("n"), F.col("key")],
+        "random": [F.sha2(F.concat(F.col("column"), F.lit("::"), F.col("key")), 256)],
     }
-    return _top(counts, df.columns, orders[kind], n, chars)
+    return _top(df, counts, orders[kind], n, chars)
 
 
 # --- light profile ------------------------------------------------------------------------------
@@ -204,10 +229,11 @@ def light_profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame
     The range is numeric where any value reads as number, else the text range.
     """
     counts = value_counts(df, order_by)
-    pool = counts.filter("value <> ''")
+    pool = counts.filter("key <> ''")
     distinct = pool.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    first = ordered.first_per_key(pool, ["column"], [F.col("first_at"), F.col("value")], 3)
-    shown = first.groupBy("column").agg(
+    first = ordered.first_per_key(pool, ["column"], [F.col("first_at"), F.col("key")], 3)
+    shown = with_values(df, first.select("column", "key", "first_at"))
+    shown = shown.groupBy("column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_at", "value"))), lambda p: p["value"]), "|").alias(
             "sample_values"
         )
@@ -249,5 +275,5 @@ def field_mapping(df: DataFrame) -> DataFrame:
 
     rows = [(c, *proposal(c)) for c in df.columns]
     mapping = df.sparkSession.createDataFrame(rows, "source string, target string, confidence string, reason string")
-    types = column_stats(df).select(F.col("column").alias("source"), _by_column(df, detected_type).alias("detected_type"))
+    types = column_stats(df, ["non_null_count", "number_rate"]).select(F.col("column").alias("source"), _by_column(df, detected_type).alias("detected_type"))
     return types.join(F.broadcast(mapping), "source").select("source", "target", "detected_type", "confidence", "reason")

@@ -130,10 +130,14 @@ def _records(spark: SparkSession, path, end: str, measure: Measure, finish: Call
     crossing = stored.where(F.col("kind") != DONE).withColumn("group", F.coalesce(F.sum(F.when(F.col("kind") == LAST, 1).otherwise(0)).over(before), F.lit(0)))
     joined = crossing.groupBy("path", "group").agg(
         F.array_sort(F.collect_list(F.struct("block", "number", "record"))).alias("parts"), F.max((F.col("kind") == LAST).cast("int")).alias("ends"))
-    whole = joined.select("ends", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"), (F.col("group") == 0).alias("maybe"))
-    finished = F.udf(lambda text, ends: finish(text if ends else text[: -len(end)], False), "string")  # a record or two a split
-    kept = whole.select(finished("record", F.col("ends") == 1).alias("record")).where("record is not null")
-    return stored.where(F.col("kind") == DONE).select("record").unionByName(kept)
+    whole = joined.select("ends", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"))
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [finish(r if e else r[: -len(end)], False) for e, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r in kept if r is not None], pa.string())], names=["record"])
+
+    return stored.where(F.col("kind") == DONE).select("record").unionByName(whole.mapInArrow(finished, "record string"))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
