@@ -217,3 +217,8 @@ def _(t: Tables):
     return ops.page(t.orders, [F.desc("o_totalprice"), F.col("o_orderkey")], 3, 50)
 
 
+@query("win11_deep_page", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 1000")
+def _(t: Tables):
+    return ops.Pages(t.orders, [F.desc("o_totalprice"), F.col("o_orderkey")]).page(20, 50)
+
+

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -154,3 +155,22 @@ def _(t: Tables):
         {"type": "calculate", "calculation": "group_sum", "column": "l_extendedprice", "group_by": ["l_returnflag"]},
     ]
     return apply_ops(t.lineitem, plan, auto_prep=True, audit=False).df
+
+
+@query(
+    "udf3_merged_function",
+    """SELECT l_returnflag, count(*) AS n, round(geomean(l_quantity), 6) AS mean FROM lineitem GROUP BY 1""",
+)
+def _(t: Tables):
+    """A geometric mean, as an example of a function that merges: three groups, of which none fits a task's share."""
+
+    def partial(pdf: pd.DataFrame) -> dict:
+        return {"n": len(pdf), "logs": float(np.log(pdf["l_quantity"]).sum())}
+
+    def finish(states: pd.DataFrame) -> dict:
+        n = int(states["n"].sum())
+        return {"n": n, "mean": float(np.round(np.exp(states["logs"].sum() / n), 6))}
+
+    if "geometric_mean" not in registry.known_ops():
+        registry.merged_op("geometric_mean", partial, "n bigint, logs double", finish, "n bigint, mean double")
+    return apply_ops(t.lineitem.select("l_returnflag", "l_quantity"), [{"type": "geometric_mean", "group_by": ["l_returnflag"]}], audit=False).df

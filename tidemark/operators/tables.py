@@ -9,6 +9,7 @@ from tidemark.errors import PlanError
 from tidemark.functions import dates, names, numbers
 from tidemark.operators import ordered
 from tidemark.operators.columns import has_value
+from tidemark.session import scratch_path
 
 
 def _c(name: str) -> Column:
@@ -106,10 +107,46 @@ def newest(df: DataFrame, order_by: list[Column], n: int) -> DataFrame:
 
 
 def page(df: DataFrame, order_by: list[Column], number: int, size: int) -> DataFrame:
-    """One page after sorting, counted from 0."""
+    """One page after sorting, counted from 0. All rows before the page are kept on the way, so this is for
+    the first pages; ``Pages`` reads any page alone."""
     return df.orderBy(*order_by).offset(number * size).limit(size)
 
 
+class Pages:
+    """Pages of a sorted table, of which each reads only the slices that hold it.
+
+    The rows are range-partitioned by the order once and stored, a folder per slice; the number of rows of each
+    slice says where every page lies. Rows equal in the order go by a hash of the whole row, so pages neither
+    overlap nor depend on the run.
+    """
+
+    def __init__(self, df: DataFrame, order_by: list[Column], slices: int | None = None):
+        self.columns, self.spark = df.columns, df.sparkSession
+        self.order = [*order_by, F.col("__tie")]
+        tied = df.withColumn("__tie", ordered.row_hash(df))
+        cut = tied.repartitionByRange(slices or ordered.slice_count(df), *self.order).withColumn("__slice", F.spark_partition_id())
+        self.path = scratch_path(self.spark, "pages")
+        cut.write.partitionBy("__slice").parquet(self.path)
+        self.schema = cut.schema
+        counts = self._stored().groupBy("__slice").count().orderBy("__slice").collect()  # a row per slice
+        self.starts, at = [], 0
+        for r in counts:
+            self.starts.append((r["__slice"], at, at + r["count"]))
+            at += r["count"]
+        self.rows = at
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """One page, counted from 0; pages behind the last row are empty."""
+        first, end = number * size, (number + 1) * size
+        held = [(k, low) for k, low, high in self.starts if low < end and first < high]
+        some = self._stored().where(F.col("__slice").isin([k for k, _ in held])).orderBy(*self.order)
+        skipped = first - held[0][1] if held else 0
+        return some.offset(skipped).limit(size).select(*[_c(c) for c in self.columns])
+
+
 def largest_groups(df: DataFrame, key: str, n: int = 6, name: str = "size") -> DataFrame:
     return df.groupBy(_c(key)).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), _c(key)).limit(n)
 

@@ -135,3 +135,37 @@ def grouped_op(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: st
     small; the aggregations of ``calculations`` have no such limit.
     """
     register_op(name, lambda df, o: df.groupBy(*o["group_by"]).applyInPandas(fn, schema))
+
+
+def merged_op(
+    name: str, partial: Callable[[pd.DataFrame], dict], state: str, finish: Callable[[pd.DataFrame], dict], returns: str,
+) -> None:
+    """Register a function over groups of any size; ops give ``group_by``.
+
+    ``partial`` turns some rows of a group into one state (a dict with the columns of ``state``), ``finish`` all
+    states of a group into its result (the columns of ``returns``); states must not depend on how the rows
+    are cut. Rows are reduced batch by batch where they lie, so a group with a third of all rows sends one
+    state a batch, and only states are shuffled.
+    """
+
+    def run(df: DataFrame, op: dict) -> DataFrame:
+        keys = op["group_by"]
+        kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+        fields = [f.split()[0].strip("`") for f in returns.split(",")]
+
+        def reduced(batches):
+            for pdf in batches:
+                rows = [
+                    {**dict(zip(keys, key)), **partial(part)}
+                    for key, part in pdf.groupby(keys, dropna=False, sort=False)
+                ]
+                if rows:
+                    yield pd.DataFrame(rows)
+
+        def finished(key, states):
+            return pd.DataFrame([{**dict(zip(keys, key)), **finish(states)}], columns=[*keys, *fields])
+
+        states = df.mapInPandas(reduced, f"{kinds}, {state}")
+        return states.groupBy(*keys).applyInPandas(finished, f"{kinds}, {returns}")
+
+    register_op(name, run)
