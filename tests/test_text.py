@@ -38,7 +38,7 @@ def test_multi_value(spark):
 
 
 def test_padded_id_keeps_long_numbers(spark):
-    assert one(spark, lambda c: text.padded_id(c, "FF-"), 42, 1234567, schema="v bigint") == ["FF-00042", "FF-1234567"]
+    assert one(spark, lambda c: text.padded_id(c, "ID-"), 42, 1234567, schema="v bigint") == ["ID-00042", "ID-1234567"]
 
 
 def test_to_number_reads_only_plain_numbers(spark):

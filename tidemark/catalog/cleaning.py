@@ -454,14 +454,14 @@ def _(t: Tables):
 
 @query(
     "cln28_display",
-    """SELECT o_orderkey, 'FF-' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) >= 5 THEN CAST(o_orderkey AS VARCHAR)
+    """SELECT o_orderkey, 'ID-' || CASE WHEN length(CAST(o_orderkey AS VARCHAR)) >= 5 THEN CAST(o_orderkey AS VARCHAR)
   ELSE lpad(CAST(o_orderkey AS VARCHAR), 5, '0') END AS display_id,
   strftime(o_orderdate + to_minutes(CAST(o_orderkey % 1440 + 330 AS INTEGER)), '%H:%M') AS clock FROM orders""",
 )
 def _(t: Tables):
     at = F.expr("o_orderdate + make_dt_interval(0, 0, cast(o_orderkey % 1440 as int))")
     return t.orders.select(
-        "o_orderkey", text.padded_id(F.col("o_orderkey"), "FF-").alias("display_id"), dates.local_clock(at).alias("clock")
+        "o_orderkey", text.padded_id(F.col("o_orderkey"), "ID-").alias("display_id"), dates.local_clock(at).alias("clock")
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import names
+
 # Keys of a job summary that an event may not change.
 PROTECTED_KEYS = (
     "canonical_intent", "canonical_intent_schema_version", "canonical_intent_status",
@@ -135,7 +137,7 @@ def explode_payload_rows(df: DataFrame, payload: str, position: str = "pos", row
     The outer form is exploded and its empty results are filtered afterwards: for the inner form
     Spark adds a test of the array below the explode, which would parse every payload again.
     """
-    kept = [F.col(f"`{c}`") for c in df.columns]
+    kept = [names.col(c) for c in df.columns]
     rows = with_payload_rows(df, payload, "__rows").select(*kept, F.posexplode_outer("__rows").alias(position, row))
     return rows.filter(F.col(position).isNotNull())
 

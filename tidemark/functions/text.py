@@ -116,6 +116,6 @@ def any_contains(columns: list[Column], text: str) -> Column:
 
 
 def padded_id(c: Column, prefix: str, width: int = 5) -> Column:
-    """``FF-00042`` style display id; numbers longer than ``width`` are kept whole."""
+    """``ID-00042`` style display id; numbers longer than ``width`` are kept whole."""
     digits = c.cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0")))

@@ -66,7 +66,7 @@ def scalars(df: DataFrame, wanted: list[tuple[str, str, str | None]]) -> DataFra
         elif function in SIMPLE:
             value = SIMPLE[function](c)
             plain[name] = value if function == "count" else numbers.round_money(value, name)
-            shown[name] = F.col(f"`{name}`")
+            shown[name] = names.col(name)
         else:
             raise UnknownOperatorError(f"Unknown scalar calculation {function!r}")
     base = df.agg(*[v.alias(k) for k, v in plain.items()]) if plain else df.sparkSession.range(1)

@@ -10,7 +10,6 @@ from tidemark.errors import PlanError
 from tidemark.functions import names
 from tidemark.operators import calculations, ordered
 
-MAX_ROWS = 1_000
 MAX_CATEGORIES = 12
 
 # Chart kind chosen for a data shape.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, numbers, text
+from tidemark.functions import dates, names, numbers, text
 
 # Required ledger columns and the two amount columns.
 REQUIRED = (
@@ -34,7 +34,7 @@ def missing_columns(df: DataFrame) -> list[str]:
 
 def _checks(df: DataFrame) -> list[tuple[str, Column, Column]]:
     """Field, message and flag of every row check, in report order."""
-    at = {c.strip().lower(): F.col(f"`{c}`") for c in df.columns}
+    at = {c.strip().lower(): names.col(c) for c in df.columns}
     found: list[tuple[str, Column, Column]] = []
     for field in REQUIRED:
         if field not in at:

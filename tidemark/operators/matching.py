@@ -238,16 +238,18 @@ def low_confidence(score: Column, policy: str) -> Column:
 PRESENCE_OPERATORS = ("eq", "in", "contains", "starts_with", "ends_with")
 
 
-def value_presence(df: DataFrame, column: str, operator: str, value, case_sensitive: bool = False) -> DataFrame:
-    """Does a literal occur in a text column: one row with match kind, distinct matches, 5 samples.
+def value_presence(
+    df: DataFrame, column: str, operator: str, value, case_sensitive: bool = False, samples: int = 5,
+) -> DataFrame:
+    """Does a literal occur in a text column: one row with match kind, distinct matches, samples.
 
-    Only matching rows are grouped into distinct values; the five smallest are kept as samples.
+    Only matching rows are grouped into distinct values; the ``samples`` smallest are shown.
     """
     names.require(df, column)
     if operator not in PRESENCE_OPERATORS:
         raise PlanError(f"{operator} needs no look at the values")
     wanted = [str(v).strip() for v in (value if operator == "in" else [value]) if str(v).strip()]
-    shown = text.strip(F.col(f"`{column}`"))
+    shown = text.strip(names.col(column))
     values = df.select(shown.alias("v")).filter("v is not null and v <> ''")
     v = F.col("v")
     word = v if case_sensitive else text.word_key(v)
@@ -262,14 +264,14 @@ def value_presence(df: DataFrame, column: str, operator: str, value, case_sensit
     facts = matches.agg(
         F.count(F.lit(1)).alias("match_count"), F.count_if(v.isin(wanted)).alias("exact")
     )
-    samples = matches.orderBy("v").limit(5).agg(F.array_sort(F.collect_list("v")).alias("sample_matches"))
+    shown_ones = matches.orderBy("v").limit(samples).agg(F.array_sort(F.collect_list("v")).alias("sample_matches"))
     kind = F.when(F.col("match_count") == 0, "unresolved").when(F.col("exact") > 0, "exact").otherwise("normalized")
     return facts.select(
         F.lit(column).alias("column"),
         (F.col("match_count") > 0).alias("matched"),
         kind.alias("match_kind"),
         "match_count",
-        samples.scalar().alias("sample_matches"),
+        shown_ones.scalar().alias("sample_matches"),
     )
 
 
@@ -282,7 +284,7 @@ def value_coverage(df: DataFrame, requested: list[str]) -> DataFrame:
     wanted = sorted({k for k in keys.values() if k})
     targets = names.text_columns(df)
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column"), text.compact_key(F.col(f"`{c}`")).alias("key")) for c in targets]
+        *[F.struct(F.lit(c).alias("column"), text.compact_key(names.col(c)).alias("key")) for c in targets]
     )
     found = (
         df.select(F.explode(F.filter(pairs, lambda p: p["key"].isin(wanted))).alias("p"))

@@ -166,7 +166,9 @@ def _outside(c: Column, low, high) -> Column:
     return reduce(lambda x, y: x | y, parts[1:], parts[0]) if len(parts) > 1 else parts[0]
 
 
-def validate(df: DataFrame, constraints: list[dict], order_by: list[str] | None = None, now=None) -> DataFrame:
+def validate(
+    df: DataFrame, constraints: list[dict], order_by: list[str] | None = None, now=None, samples: int = SAMPLES,
+) -> DataFrame:
     """The report: failing constraints with their count of invalid rows and first samples.
 
     ``order_by`` says which invalid values are the first; without it the order of the scan counts.
@@ -180,9 +182,9 @@ def validate(df: DataFrame, constraints: list[dict], order_by: list[str] | None
     unique = [(i, c) for i, c in enumerate(checks) if c.flag is None]
     parts = []
     if plain:
-        parts.append(_plain_report(df, plain, order))
+        parts.append(_plain_report(df, plain, order, samples))
     if unique:
-        parts.append(_unique_report(df, unique, order))
+        parts.append(_unique_report(df, unique, order, samples))
     counted = reduce(DataFrame.unionByName, parts)
     facts = [(i, c.column, c.rule, c.severity, c.reason) for i, c in enumerate(checks)]
     described = spark.createDataFrame(facts, "idx int, column string, rule string, severity string, reason string")
@@ -193,7 +195,7 @@ def validate(df: DataFrame, constraints: list[dict], order_by: list[str] | None
     )
 
 
-def _plain_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column) -> DataFrame:
+def _plain_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column, samples: int) -> DataFrame:
     totals = df.agg(*[F.count_if(c.flag).alias(f"n{i}") for i, c in checks])
     counts = totals.select(
         F.inline(
@@ -207,12 +209,12 @@ def _plain_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column)
         df.select(order.alias("at"), F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit"))
         .select("at", "hit.idx", "hit.value")
     )
-    return counts.join(F.broadcast(_first_samples(found)), "idx", "left")
+    return counts.join(F.broadcast(_first_samples(found, samples)), "idx", "left")
 
 
-def _first_samples(found: DataFrame) -> DataFrame:
-    """At most three samples per constraint as an array; one row per constraint."""
-    first = ordered.first_per_key(found, ["idx"], [F.col("at"), F.col("value")], SAMPLES)
+def _first_samples(found: DataFrame, samples: int) -> DataFrame:
+    """At most ``samples`` samples per constraint as an array; one row per constraint."""
+    first = ordered.first_per_key(found, ["idx"], [F.col("at"), F.col("value")], samples)
     pairs = F.array_sort(F.collect_list(F.struct("at", "value")))
     return first.groupBy("idx").agg(F.transform(pairs, lambda p: p["value"]).alias("sample_values"))
 
@@ -223,7 +225,7 @@ def _repeated(df: DataFrame, value: Column) -> DataFrame:
     return df.select(shown.alias("value")).filter("value <> ''").groupBy("value").count().filter("count > 1")
 
 
-def _unique_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column) -> DataFrame:
+def _unique_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column, samples: int) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(i).alias("idx"), c.sample.alias("value")) for i, c in checks])
     repeated = (
         df.select(order.alias("at"), F.explode(pairs).alias("p"))
@@ -234,7 +236,7 @@ def _unique_report(df: DataFrame, checks: list[tuple[int, Check]], order: Column
         .filter("n > 1")
     )
     counts = repeated.groupBy("idx").agg(F.sum("n").alias("invalid_count"))
-    return counts.join(F.broadcast(_first_samples(repeated)), "idx", "left")
+    return counts.join(F.broadcast(_first_samples(repeated, samples)), "idx", "left")
 
 
 def flag_rows(df: DataFrame, constraints: list[dict], now=None, errors: str = "errors") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import names
+
 HOT_SHARE = 1_000
 SPREAD = 4_096
 
@@ -23,7 +25,7 @@ def join_counted(df: DataFrame, key: Column, counted: DataFrame, flag: str) -> D
     rows = df.withColumn("__key", key)
     rows = rows.join(F.broadcast(shared), F.col("__key") == F.col("__hot"), "left")
     aside = F.col("__hot").isNotNull() | F.col("__key").isNull()
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD)).cast("string")
+    spread = F.pmod(F.xxhash64(*[names.col(c) for c in df.columns]), F.lit(SPREAD)).cast("string")
     probe = F.when(aside, F.concat(F.lit("\u0000"), spread)).otherwise(F.col("__key"))
     rows = rows.withColumn("__probe", probe).join(cold, F.col("__probe") == F.col("__cold"), "left")
     return rows.withColumn(flag, F.col("__hot").isNotNull() | F.col("__cold").isNotNull()).select(*df.columns, flag)

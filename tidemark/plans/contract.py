@@ -52,7 +52,7 @@ def result_fields(df: DataFrame, op: dict) -> DataFrame:
         "position int, id string, label string, data_type string, role string, unit string, "
         "aggregation string, result_kind string, data_shape string",
     )
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(str(i)) for i, c in enumerate(df.columns)])
+    nulls = df.agg(*[F.count_if(names.col(c).isNull()).alias(str(i)) for i, c in enumerate(df.columns)])
     flags = nulls.select(
         F.inline(F.array(*[F.struct(F.lit(i).alias("position"), (F.col(str(i)) > 0).alias("nullable")) for i in range(len(df.columns))]))
     )

@@ -125,7 +125,7 @@ def scalar_op(name: str, fn: Callable[[pd.Series], pd.Series], returns: str) ->
     The function gets whole Arrow batches as pandas Series, never single rows.
     """
     udf = F.pandas_udf(fn, returns)
-    register_op(name, lambda df, o: df.withColumn(o.get("output", o["column"]), udf(F.col(f"`{o['column']}`"))))
+    register_op(name, lambda df, o: df.withColumn(o.get("output", o["column"]), udf(names.col(o["column"]))))
 
 
 def grouped_op(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> None:

@@ -126,7 +126,7 @@ def with_auto_prep(ops: list[dict]) -> list[dict]:
 
 def filter_prepared(df: DataFrame, conditions: list[dict], logic: str = "and") -> DataFrame:
     """Filter on prepared values but return the rows as they were."""
-    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("keptrow")
+    kept = F.struct(*[names.col(c) for c in df.columns]).alias("keptrow")
     prepared = cleaning.prepare_for_filter(df.select("*", kept))
     fixed = [{**c, "column": names.styled(c["column"])} for c in conditions]
     return registry.ACTIONS["filter"](prepared, {"conditions": fixed, "logic": logic}).select("keptrow.*")

@@ -63,7 +63,7 @@ def json_rows(
     df = reader.schema(schema).json(path) if schema else reader.json(path)
     for f in _in_document_order(df, spark, path, schema, lines):
         if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            return df.select(F.inline(F.col(f"`{f.name}`")))
+            return df.select(F.inline(names.col(f.name)))
     return df
 
 
@@ -112,7 +112,7 @@ def combine(tables: list[DataFrame]) -> DataFrame:
 
     named = []
     for t in tables:
-        kept = t.select(*[F.col(f"`{c}`") for c in t.columns if c.strip()])
+        kept = t.select(*[names.col(c) for c in t.columns if c.strip()])
         named.append(kept.toDF(*names.unique_names([names.source_name(c) for c in kept.columns])))
     return concat(named)
 

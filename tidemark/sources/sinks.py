@@ -25,9 +25,9 @@ def _texts(df: DataFrame) -> DataFrame:
     out = {}
     for f in df.schema.fields:
         if names.is_dated(f.dataType):
-            out[f.name] = dates.iso_text(F.col(f"`{f.name}`"))
+            out[f.name] = dates.iso_text(names.col(f.name))
         elif f.dataType.typeName() in ("array", "map", "struct"):
-            out[f.name] = F.to_json(F.col(f"`{f.name}`"))
+            out[f.name] = F.to_json(names.col(f.name))
     return df.withColumns(out) if out else df
 
 
@@ -62,7 +62,7 @@ def text_report(df: DataFrame, order_by: list[str], title: str | None = None) ->
     header = spark.range(1).select(
         F.lit(len(top) + 1).cast("bigint").alias("line_number"), aligned([F.lit(n) for n in shown]).alias("line")
     )
-    at = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order_by)])
+    at = F.struct(*[names.col(c).alias(f"o{i}") for i, c in enumerate(order_by)])
     lines = df.select(at.alias("at"), aligned(list(shown.values())).alias("line"))
     body = ordered.row_index(lines, [], ["at"], "n").select(
         (F.col("n") + len(top) + 1).alias("line_number"), "line"
@@ -77,7 +77,7 @@ def _shown(df: DataFrame) -> dict[str, Column]:
     """Every column as text, null as empty."""
     shown = {}
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = names.col(f.name)
         if names.is_dated(f.dataType):
             c = dates.iso_text(c)
         elif f.dataType.typeName() in ("array", "map", "struct"):
@@ -125,7 +125,7 @@ def shape_audit(audit: DataFrame) -> DataFrame:
     """The same for an audit table: ``step_kind`` from its ``origin``, nested columns as JSON text."""
     kind = F.when(F.lower("origin") == "filter_prep", "internal_preparation").otherwise("user_requested")
     rest = [c for c in audit.columns if c != "step_kind"]
-    return _texts(audit).select(kind.alias("step_kind"), *[F.col(f"`{c}`") for c in rest])
+    return _texts(audit).select(kind.alias("step_kind"), *[names.col(c) for c in rest])
 
 
 def write_bundle(
