@@ -128,7 +128,7 @@ def _sizes_allow(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def star(found: DataFrame, sketches: DataFrame, percent: int, least: list[int]) -> DataFrame:
-    """(a, b, weight): the given pairs that survive all batches; the weight is the number of equal lanes."""
+    """(a, b): the given pairs that survive all batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -137,18 +137,17 @@ def star(found: DataFrame, sketches: DataFrame, percent: int, least: list[int])
                 sizes = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
                 able = np.flatnonzero(_sizes_allow(*sizes, percent))
                 one, two = (pairs.batches_of(batch.column(c), np.uint16, LANES) for c in ("sig_a", "sig_b"))
-                left, matches = surviving(one, two, able, able, least)
+                left, _ = surviving(one, two, able, able, least)
                 rows = batch.take(pa.array(able[left]))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(matches)], names=["a", "b", "weight"])
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], names=["a", "b"])
 
     both = pairs.beside(found, sketches, ["n", "sig"])
-    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, weight long")
+    return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int], best: bool) -> DataFrame:
+def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int]) -> DataFrame:
     """(a, b): all pairs of different labels in a shard that survive all batches, each in the first band it
-    shares only, or with ``best`` one pair of each member, that with most equal lanes. In a shard of two sides
-    only pairs across them count; other shards have the rest."""
+    shares only. In a shard of two sides only pairs across them count; other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -160,7 +159,6 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
                 own = slice(start, end)
                 node, label, side, size, sig = (x[own] for x in (nodes, labels, sides, sizes, sigs))
                 across = side.min() < side.max()
-                held = np.full(end - start, -1), np.full(end - start, -1)
                 for at in range(0, end - start, 64):
                     ask = slice(at, at + 64)
                     open_ = (label[ask, None] != label) & (np.arange(end - start)[ask, None] < np.arange(end - start))
@@ -168,18 +166,13 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
                     if across:
                         open_ &= side[ask, None] != side
                     a, b = np.nonzero(open_)
-                    left, matches = surviving(sig, sig, a + at, b, least)
+                    left, _ = surviving(sig, sig, a + at, b, least)
                     a, b = a[left] + at, b[left]
-                    if best:
-                        pairs.heaviest(a, b, matches, held)
-                    elif len(a):
+                    if len(a):
                         shared = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
                         mine = shared.any(axis=1) & (shared.argmax(axis=1) == bands[start])
                         if mine.any():
                             yield pairs.as_batch(node[a[mine]], node[b[mine]])
-                if best:
-                    some = np.flatnonzero(held[0] >= 0)
-                    yield pairs.as_batch(node[some], node[held[0][some]])
 
     dealt = shards.join(sketches, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
     return dealt.select("key", "band", "node", "label", "side", "n", "sig").mapInArrow(run, "a long, b long")

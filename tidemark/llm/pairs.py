@@ -1,7 +1,7 @@
 """Groups of similar sets: pairs from shared keys, sketches that prune them, sets that decide.
 
 Sets of shingles are named by nodes. What a key's members have in common is found without forming all
-pairs of a key: its least member meets all others, which is linear, members of one group need no
+pairs of a key: a few pivots of it meet all others, which is linear, members of one group need no
 comparison afterwards, and only pairs between groups are searched, inside tasks, by their sketches.
 """
 
@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Scratch
 from tidemark.llm.components import connected_components
 
-#: Pairs of one node that go to one task.
-SALT = 256
-
-
 def sets_of(docs: DataFrame, prints: DataFrame, members: DataFrame, hashes: Callable[[str | None], np.ndarray], id: str, text: str) -> DataFrame:
     """(node, shingles): the sorted set of each node of ``members``, made anew from one of its texts, so that no
     set of a text without partner is ever stored or moved. ``prints`` has id, key (xxhash64 of the text) and
@@ -43,14 +39,10 @@ def sets_of(docs: DataFrame, prints: DataFrame, members: DataFrame, hashes: Call
 
 
 def beside(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """``pairs`` with the columns of both nodes, as ``<column>_a`` and ``<column>_b``. A node ``a`` of many
-    pairs is copied to several parts, each with some of its pairs, so no task gets them all."""
-    hot = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1")
-    one = table.select(F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns)).join(hot, "a", "left")
-    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    two = table.select(F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    dealt = pairs.join(hot, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    return dealt.join(two, "b").join(one, ["a", "salt"]).drop("salt")
+    """``pairs`` with the columns of both nodes, as ``<column>_a`` and ``<column>_b``. A node of very many pairs
+    is a skewed partition of the second join, which adaptive execution splits."""
+    one, two = (table.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns)) for x in "ab")
+    return pairs.join(two, "b").join(one, "a")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -63,11 +55,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("a", "b")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The heaviest pair of every ``b``."""
-    return pairs.groupBy("b").agg(F.max_by("a", "weight").alias("a")).select("a", "b")
-
-
 def _labelled(table: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     """``table`` with the group of a node; a node without links is a group of its own."""
     return table.join(labels.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
@@ -83,54 +70,38 @@ def _blocks(members: DataFrame, rows: int) -> DataFrame:
 
 
 def members_of(postings: DataFrame) -> DataFrame:
-    """(band, key, node, least, n) of the keys that two or more nodes share. ``postings`` has band, key and
-    node; copies of a text are one posting, also before they are moved."""
+    """(band, key, node, pivots, n) of the keys that two or more nodes share. ``postings`` has band, key and
+    node; copies of a text are one posting, also before they are moved. The pivots are up to four members of the
+    key, first and last by name and by a hash."""
     once = postings.distinct().repartition("key")
-    shared = once.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return once.join(shared, "key")
+    hashed = F.xxhash64("node")
+    pivots = [F.min("node"), F.max("node"), F.min_by("node", hashed), F.max_by("node", hashed)]
+    shared = once.groupBy("key").agg(*(p.alias(f"p{i}") for i, p in enumerate(pivots)), F.count("*").alias("n")).where("n > 1")
+    return once.join(shared.select("key", "n", F.array(*(f"p{i}" for i in range(len(pivots)))).alias("pivots")), "key")
 
 
 def similar_groups(
-    members: DataFrame, sets: DataFrame, star: Callable[[DataFrame], DataFrame], search: Callable[..., DataFrame],
-    percent: int, scratch: Scratch, shard_rows: int = 2048, rounds: int = 1,
+    members: DataFrame, sets: DataFrame, star: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame],
+    percent: int, scratch: Scratch, shard_rows: int = 2048,
 ) -> DataFrame:
     """(node, root): the groups of all similar sets that share a key, joined by verified links; sets without a
     link are not in it. Stored in ``scratch``.
 
-    ``star`` prunes pairs (a, b) by their sketches and gives them a ``weight``; ``search`` finds such pairs
-    between different labels inside shards (key, band, node, label, side): with ``best`` the heaviest of each
-    member, else all. First every member of a key meets the least one, then in ``rounds`` its heaviest partner
-    of another group, which are no more pairs than members and join most of a group; what still is between
-    groups afterwards is verified whole. No pair that the sketches let pass is left out.
+    ``star`` prunes pairs (a, b) by their sketches; ``search`` finds such pairs between different labels inside
+    shards (key, band, node, label, side). First every member of a key meets its pivots: no more pairs than four
+    times the members, and as a node has many keys they join most of a group. What is still between groups afterwards is
+    searched and verified whole. No pair that the sketches let pass is left out.
     """
-    first = scratch.store(star(members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), "stars")
-    links = scratch.store(verified(_best(first), sets, percent), "links")
+    met = members.select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
+    stars = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = scratch.store(verified(scratch.store(star(stars), "stars"), sets, percent), "links")
     labels = connected_components(links, scratch)
-    for n in range(rounds + 1):
-        named = scratch.store(_labelled(members.select("band", "key", "node"), labels, "node", "label"), "named")
-        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-        shards = _blocks(named.join(several.select("key", "n"), "key"), shard_rows)
-        found = scratch.store(search(shards, best=n < rounds).select("a", "b").distinct(), "pairs")
-        if found.isEmpty():
-            break
-        new = scratch.store(verified(found, sets, percent), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = connected_components(links, scratch)
-    return labels
-
-
-def heaviest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, held: tuple[np.ndarray, np.ndarray]) -> None:
-    """Note in ``held`` (partner and weight of each member, in place) the heaviest of the pairs of each member."""
-    partner, most = held
-    for one, two in ((a, b), (b, a)):
-        order = np.argsort(weight, kind="stable")  # the last write of a member is its heaviest
-        own, other, w = one[order], two[order], weight[order]
-        last = np.zeros(len(most), np.int64) - 1
-        last[own] = np.arange(len(own))
-        who = np.flatnonzero(last >= 0)
-        better = who[w[last[who]] > most[who]]
-        partner[better], most[better] = other[last[better]], w[last[better]]
+    named = scratch.store(_labelled(members.select("band", "key", "node"), labels, "node", "label"), "named")
+    several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    shards = _blocks(named.join(several.select("key", "n"), "key"), shard_rows)
+    found = scratch.store(search(shards), "pairs")
+    new = scratch.store(verified(found, sets, percent), "links")
+    return labels if new.isEmpty() else connected_components(links.unionByName(new), scratch)
 
 
 def batches_of(values: pa.Array, kind: type, width: int) -> np.ndarray:

@@ -250,7 +250,7 @@ def _alike(n: np.ndarray, m: np.ndarray, distance: np.ndarray, percent: int) ->
 
 
 def near_pairs(found: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """(a, b, weight) of the pairs whose fingerprints are near; nearer ones weigh more."""
+    """(a, b): the given pairs whose fingerprints are near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -260,16 +260,16 @@ def near_pairs(found: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                 distance = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
                 near = np.flatnonzero(_alike(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), distance, percent))
                 rows = batch.take(pa.array(near))
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(-distance[near])], names=["a", "b", "weight"])
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], names=["a", "b"])
 
     both = pairs.beside(found, prints, ["n", "bits"])
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, weight long")
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int, best: bool) -> DataFrame:
+def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """(a, b): all near pairs of different labels in every shard, searched in the shard's BK-tree, each in the
-    first band that the two sketches share only, or with ``best`` one pair of each member, the nearest. In a
-    shard of two sides only pairs across them count, as other shards have the rest."""
+    first band that the two sketches share only. In a shard of two sides only pairs across them count, as other
+    shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -281,7 +281,6 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int, best: bool) -
                 own = slice(start, end)
                 tree, across = BKTree(bits[own]), sides[own].min() < sides[own].max()
                 node, label, side, n, keyed = (x[own] for x in (nodes, labels, sides, sizes, sketches))
-                held = np.full(end - start, -1), np.full(end - start, -LANES * 64 - 1)
                 for at in range(0, end - start, 256):
                     for q, m in tree.search(tree.prints[at : at + 256], RADIUS_SMALL):
                         q = q + at
@@ -290,16 +289,9 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int, best: bool) -
                             take &= side[q] != side[m]
                         q, m = q[take], m[take]
                         distance = np.bitwise_count(tree.prints[q] ^ tree.prints[m]).sum(axis=1, dtype=np.int64)
-                        take = _alike(n[q], n[m], distance, percent)
-                        if best:
-                            pairs.heaviest(q[take], m[take], -distance[take], held)
-                        else:
-                            take &= (keyed[q] == keyed[m]).argmax(axis=1) == bands[start]
-                            if take.any():
-                                yield pairs.as_batch(node[q[take]], node[m[take]])
-                if best:
-                    some = np.flatnonzero(held[0] >= 0)
-                    yield pairs.as_batch(node[some], node[held[0][some]])
+                        take = _alike(n[q], n[m], distance, percent) & ((keyed[q] == keyed[m]).argmax(axis=1) == bands[start])
+                        if take.any():
+                            yield pairs.as_batch(node[q[take]], node[m[take]])
 
     dealt = shards.join(prints, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
     return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch").mapInArrow(run, "a long, b long")
