@@ -179,6 +179,7 @@ def timeline(jobs: DataFrame, audit: DataFrame) -> DataFrame:
         at.alias("occurred_at"), F.lit(action).alias("action"), detail.alias("detail")
     )
     done = F.col("completed_at").isNotNull()
+    # The names and sentences of the events.
     events = F.array(
         event(F.col("uploaded_at"), "upload created", F.col("file_name")),
         F.when(
@@ -352,6 +353,7 @@ def job_steps(jobs: DataFrame) -> DataFrame:
     running = F.when(paused | review, "blocked").when(done, "complete").when(failed, "failed").otherwise("running")
     output = F.when(paused | review | failed, "blocked").when(done, "complete").otherwise("running")
     step = lambda i, name, state: F.struct(F.lit(i).alias("step"), name.alias("name"), state.alias("state"))
+    # The names of the steps.
     steps = F.array(
         step(1, F.lit("Ingestion"), F.lit("complete")),
         step(2, F.lit("Workflow routing"), routing),

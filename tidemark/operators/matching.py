@@ -313,6 +313,7 @@ def ground_values(df: DataFrame, reference: str, requested: list[str], operator:
     status = bool(concept_words & set(STATUS_VALUES))
     ref_words = set(names.semantic_name(reference).split("_"))
     rows = []
+    # Fixed values from here on: the points for roles, names, types, coverage and operators.
     for c in names.text_columns(df):
         normalized, roles = names.semantic_name(c), set(names.finance_roles(c))
         role = 0.0
@@ -385,6 +386,7 @@ def score_clause(profile: DataFrame, requested_field: str, operator: str, value)
         return F.arrays_overlap(tags, F.array(*[F.lit(w) for w in listed])) if listed else F.lit(False)
 
     has = concepts.__contains__
+    # Fixed values from here on: the points for what a value is about, by broad type, and for words in common.
     by_type = {
         "product": 0.35 * has("text") - 0.45 * (has("payment") or has("status")),
         "payment": 0.55 * has("payment") - 0.45 * (has("text") and not has("payment")),

@@ -259,21 +259,33 @@ def light_profile(df: DataFrame, order_by: list[str] | None = None) -> DataFrame
     )
 
 
+# Confidence and reason of a proposed mapping, by what speaks for it.
+MAPPING_REASONS = {
+    "alias": ("high", "Matched a known finance schema alias."),
+    "role": ("high", "Matched a semantic column role and mapped to the canonical target."),
+    "raw_text": ("medium", "Preserved unstructured text for user confirmation."),
+    "header": ("medium", "Normalized from the source header and proposed as-is."),
+}
+
+
+def _mapping_rules(columns: list[str]) -> list[tuple[str, str, str]]:
+    """(source, target, ground) of every rule that fits a column, the strongest ground first."""
+    aliases = set(names.LEDGER_ALIASES.values())
+    fits = {
+        "alias": {c: c for c in columns if c in aliases},
+        "role": {c: names.finance_target(c) for c in columns},
+        "raw_text": {c: c for c in columns if c == "raw_text"},
+        "header": {c: c for c in columns},
+    }
+    return [(c, target, ground) for ground, found in fits.items() for c, target in found.items() if target]
+
+
 def field_mapping(df: DataFrame) -> DataFrame:
-    """Proposed mapping of the columns to canonical targets, with a reason."""
-    known = set(names.LEDGER_ALIASES.values())
-
-    def proposal(column: str) -> tuple[str, str, str]:
-        target = names.finance_target(column)
-        if column in known:
-            return column, "high", "Matched a known finance schema alias."
-        if target:
-            return target, "high", "Matched a semantic column role and mapped to the canonical target."
-        if column == "raw_text":
-            return "raw_text", "medium", "Preserved unstructured text for user confirmation."
-        return column, "medium", "Normalized from the source header and proposed as-is."
-
-    rows = [(c, *proposal(c)) for c in df.columns]
+    """Proposed mapping of the columns to canonical targets: the first rule that fits, with its reason."""
+    first: dict[str, tuple[str, str]] = {}
+    for source, target, ground in _mapping_rules(df.columns):
+        first.setdefault(source, (target, ground))
+    rows = [(c, target, *MAPPING_REASONS[ground]) for c, (target, ground) in first.items()]
     mapping = df.sparkSession.createDataFrame(rows, "source string, target string, confidence string, reason string")
     types = column_stats(df, ["non_null_count", "number_rate"]).select(F.col("column").alias("source"), _by_column(df, detected_type).alias("detected_type"))
     return types.join(F.broadcast(mapping), "source").select("source", "target", "detected_type", "confidence", "reason")
