@@ -67,6 +67,19 @@ def test_fingerprints_change_with_the_schema_not_the_order(spark):
     assert values(a) == values(a) != values(a.withColumn("b", F.lit("y")))
 
 
+def test_versions_of_a_path_are_paired_once(spark):
+    made = lambda *data: spark.createDataFrame(data, "path string, sha256 string")
+    before = made(("a", "1"), ("a", "2"), ("b", "1"), ("b", "2"), ("c", "1"), ("d", "1"), (None, "1"), ("e", None))
+    now = made(("a", "2"), ("a", "1"), ("b", "2"), ("b", "3"), ("c", "2"), ("c", "3"), ("n", "1"), (None, "1"), ("e", "1"))
+    found = fingerprints.changed_files(now, before)
+    assert rows(found.where("path <> 'n'")) == rows(spark.createDataFrame([
+        ("a", "unchanged"), ("a", "unchanged"), ("b", "unchanged"), ("b", "changed"), ("c", "changed"), ("c", "new"), ("d", "gone"),
+        ("e", "changed")], "path string, state string"))
+    assert rows(found.where("path is null or path = 'n'")) == sorted([(None, "unchanged"), ("n", "new")], key=repr)
+    many = fingerprints.changed_files(made(*[("p", str(i)) for i in range(9000)]), made(*[("p", str(i + 10)) for i in range(9010)]))
+    assert {r["state"]: r["count"] for r in many.groupBy("state").count().collect()} == {"unchanged": 8990, "changed": 10, "gone": 10}
+
+
 def test_roles(spark):
     df = spark.createDataFrame([(i, i % 2 == 0, f"2024-01-0{i % 9 + 1}", "ab"[i % 2], f"text {i}") for i in range(60)], "user_id int, ok boolean, created string, grade string, note string")
     found = semantics.with_role(semantics.with_guess(profile.profile_columns(df)))

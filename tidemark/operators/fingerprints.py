@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import ordered, profile
 
 PROFILER_VERSION = "1.0"
+#: Rows of one state of a path that are made at a time.
+PIECE = 4096
 
 
 def _digest_of(rows: DataFrame, parts: list[Column], order: str, name: str) -> DataFrame:
@@ -50,13 +52,25 @@ def profile_fingerprint(df: DataFrame, values: int = 3) -> DataFrame:
 
 
 def changed_files(now: DataFrame, before: DataFrame) -> DataFrame:
-    """Compare two inventories (``path, sha256``): ``unchanged``, ``changed``, ``new`` or ``gone``."""
-    a = now.select("path", F.col("sha256").alias("now"))
-    b = before.select("path", F.col("sha256").alias("before"))
-    state = (
-        F.when(F.col("before").isNull(), "new")
-        .when(F.col("now").isNull(), "gone")
-        .when(F.col("now") == F.col("before"), "unchanged")
-        .otherwise("changed")
+    """Compare two inventories (``path, sha256``): ``unchanged``, ``changed``, ``new`` or ``gone``.
+
+    A path may have several rows, one per version. Equal contents are paired first, each row once, and are unchanged;
+    what is left of a path on both sides is changed, and what only one side has is new or gone. So every row of an
+    inventory is in one row of the result, and the result never has more rows than both inventories. A path or
+    content that is null is a value like others.
+    """
+    sides = now.select("path", "sha256", F.lit(1).alias("now"), F.lit(0).alias("before")).unionByName(
+        before.select("path", "sha256", F.lit(0).alias("now"), F.lit(1).alias("before"))
+    )
+    contents = sides.groupBy("path", "sha256").agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    same = F.least("now", "before")
+    paths = contents.groupBy("path").agg(
+        F.sum(same).alias("unchanged"), F.sum(F.col("now") - same).alias("now"), F.sum(F.col("before") - same).alias("before")
     )
-    return a.join(b, "path", "full").select("path", state.alias("state"))
+    changed = F.least("now", "before")
+    counts = paths.select("path", "unchanged", changed.alias("changed"), (F.col("now") - changed).alias("new"), (F.col("before") - changed).alias("gone"))
+    states = F.array(*(F.struct(F.lit(s).alias("state"), F.col(s).alias("n")) for s in ("unchanged", "changed", "new", "gone")))
+    found = counts.select("path", F.inline(states)).where("n > 0")
+    # In pieces, so that no array grows with the versions of a path.
+    pieces = found.select("path", "state", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))).alias("at"))
+    return pieces.select("path", F.explode(F.array_repeat("state", F.least(F.col("n") - F.col("at"), F.lit(PIECE)).cast("int"))).alias("state"))
