@@ -1,7 +1,9 @@
 """Streams over several micro-batches and restarts."""
 
 import datetime as dt
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from conftest import column, rows
 from pyspark.sql import functions as F
@@ -79,6 +81,61 @@ def test_sessions_end_by_answer_or_timer(spark, tmp_path):
     assert rows(reasons) == [("quarantined", [keyed.EXPIRED]), ("resolved", [])]
 
 
+def test_packs_end_sessions_as_single_timers_do(spark, tmp_path):
+    """The same outcomes after every wave; a session has no name; an ended one is
+    ignored until it is forgotten."""
+    made = [
+        session_events(spark, ("a", "10:00:00", False), ("b", "10:00:00", None), ("c", "10:05:00", False), ("d", "08:00:00", False), (None, "10:06:00", True)),
+        session_events(spark, ("a", "10:20:00", True), ("x", "10:41:00", False), ("b", "09:59:00", False)),
+        session_events(spark, ("c", "10:50:00", True), ("b", "10:52:00", True), ("x", "10:53:00", True), ("a", "10:54:00", False)),
+        session_events(spark, ("d", "15:00:00", False), ("y", "18:00:00", False)),
+        session_events(spark, ("y", "18:01:00", True), ("z", "20:00:00", False)),
+    ]
+    seen = {packs: [] for packs in (None, 2)}
+    for stream in waves(spark, tmp_path, *made):
+        for packs, found in seen.items():
+            out, checkpoint = str(tmp_path / f"out-{packs}"), str(tmp_path / f"cp-{packs}")
+            table = ingest.to_table(keyed.session_timeouts(stream, packs=packs), "sessions", out, checkpoint)
+            found.append(rows(table))
+    assert seen[2] == seen[None]
+    assert [len(r) for r in seen[None]] == [1, 3, 5, 7, 8]
+    held = spark.read.format("statestore").option("stateVarName", "pack").load(str(tmp_path / "cp-2"))
+    assert held.count() == 1  # z: nothing is left of a pack without sessions
+
+
+def test_very_many_sessions_take_few_calls_of_the_state_store(spark):
+    """One state and one timer a pack, however many sessions it has."""
+
+    class Handle:
+        calls = 0
+        held = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+        def registerTimer(self, _):
+            self.calls += 1
+
+        deleteTimer = registerTimer
+
+    handle, pack = Handle(), keyed.TimeoutPack(30, 60)
+    pack.init(handle)
+    hour = 3_600_000_000
+    frame = pd.DataFrame({"session_id": [f"s{i}" for i in range(5000)], "us": [hour + i for i in range(5000)], "answer": [i % 2 == 0 for i in range(5000)]})
+    assert list(pack.handleInputRows((0,), iter([frame[:3000], frame[2000:]]), None)) == []
+    assert handle.calls == 3
+    time = SimpleNamespace(getCurrentWatermarkInMs=lambda: hour // 1000 + 30 * 60_000 + 10)
+    out = pd.concat(pack.handleExpiredTimer((0,), time, SimpleNamespace(getExpiryTimeInMs=lambda: hour // 1000 + 30 * 60_000)))
+    assert handle.calls == 6 and len(out) == 5000 and out["resolved"].sum() == 2500
+
+
 def test_stream_and_table_give_the_same_sessions(spark, tmp_path):
     data = session_events(spark, ("a", "10:00:00", False), ("a", "10:29:00", True), ("b", "10:01:00", False), ("b", "10:31:01", True), ("end", "20:00:00", False))
     for stream in waves(spark, tmp_path, data):

@@ -106,7 +106,7 @@ def _(t: Tables):
     f"WITH {SESSIONS} WHERE deadline <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)",
 )
 def _(t: Tables):
-    return ingest.to_table(keyed.session_timeouts(_session_events(_stream(t, "events"))), "sessions")
+    return ingest.to_table(keyed.session_timeouts(_session_events(_stream(t, "events")), packs=keyed.PACKS), "sessions")
 
 
 @query("str5_live_daily", TREND_SQL)

@@ -2,12 +2,18 @@
 
 State lives in the stream's checkpoint, a key with its state in one partition. Reading it touches the
 newest state version only, however many micro-batches there were; a restart goes on from it.
+
+A call into the state store costs far more than a row. Where a micro-batch changes very many keys, these are
+dealt by a hash to packs, whose keys are read, changed as columns, and written at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +36,26 @@ def _keep_state(stream: DataFrame, checkpoint: str) -> None:
     run(writer, settings={"spark.sql.streaming.noDataMicroBatches.enabled": "false"})
 
 
+#: Packs that keys are dealt to.
+PACKS = 2048
+
+
+def _pack_of(key: str, packs: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(packs)).alias("pack")
+
+
+def _packed(frame: pd.DataFrame) -> bytes:
+    """The keys of a pack as Arrow data."""
+    table, sink = pa.Table.from_pandas(frame, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas()
+
+
 # --- the newest row per key ---------------------------------------------------------------------
 
 
@@ -198,7 +224,73 @@ class Timeout(StatefulProcessor):
         pass
 
 
-def session_timeouts(events: DataFrame, minutes: int = 30, lateness: str = "10 minutes", forget_minutes: int = 60) -> DataFrame:
+#: The time of an answer that was not given.
+NEVER = np.iinfo(np.int64).max
+
+
+class TimeoutPack(StatefulProcessor):
+    """The sessions of a pack, which end as those of ``Timeout`` do. Its one timer is for the first that is due."""
+
+    def __init__(self, minutes: int, forget_minutes: int):
+        self.span, self.forget = minutes * 60_000_000, forget_minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pack = handle.getValueState("pack", "timer long, sessions binary")
+
+    def _due(self, sessions: pd.DataFrame) -> pd.Series:
+        """When a session ends or, ended, is forgotten: in milliseconds, never early."""
+        return -(-(sessions["opened"] + self.span) // 1000) + sessions["ended"] * self.forget
+
+    @staticmethod
+    def _merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        out = pd.concat(parts, ignore_index=True).groupby("session_id", dropna=False, sort=False, as_index=False)
+        out = out.agg(opened=("opened", "min"), answered=("answered", "min"))
+        return out.assign(session_id=out["session_id"].astype(object).where(out["session_id"].notna(), None))
+
+    def _keep(self, sessions: pd.DataFrame, timer: int | None, fired: bool) -> None:
+        if not len(sessions):
+            self.pack.clear()
+            return
+        first = int(self._due(sessions).min())
+        if first != timer or fired:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(first)
+        self.pack.update((first, _packed(sessions)))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.pack.get()
+        new = self._merged([self._merged([df.assign(opened=df["us"], answered=df["us"].where(df["answer"].astype(bool), NEVER))]) for df in rows])
+        if held is None:
+            self._keep(new.assign(ended=False), None, False)
+            return
+        sessions = _unpacked(held[1])
+        over, open_ = sessions[sessions["ended"]], sessions[~sessions["ended"]]
+        new = new[~new["session_id"].isin(over["session_id"])]
+        self._keep(pd.concat([over, self._merged([open_, new]).assign(ended=False)], ignore_index=True), held[0], False)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        timer, data = self.pack.get()
+        sessions, now = _unpacked(data), max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        ending = sessions[~sessions["ended"] & (self._due(sessions) <= now)]
+        sessions = sessions.assign(ended=sessions["ended"] | sessions.index.isin(ending.index))
+        self._keep(sessions[self._due(sessions) > now], timer, True)
+        if len(ending):
+            deadline = ending["opened"] + self.span
+            resolved = ending["answered"] <= deadline
+            yield pd.DataFrame({
+                "session_id": ending["session_id"], "opened": ending["opened"], "ended": ending["answered"].where(resolved, deadline), "resolved": resolved,
+            })
+
+    def close(self) -> None:
+        pass
+
+
+def session_timeouts(
+    events: DataFrame, minutes: int = 30, lateness: str = "10 minutes", forget_minutes: int = 60, packs: int | None = None,
+) -> DataFrame:
     """Sessions that end a fixed time after their first event, as a stream of outcomes.
 
     ``events``: ``session_id, at, answer`` (boolean). An answer within the time resolves a session; without one it
@@ -206,12 +298,19 @@ def session_timeouts(events: DataFrame, minutes: int = 30, lateness: str = "10 m
     ``lateness``) has passed the deadline, without a further event of that session, so an answer that comes late
     but was given in time still counts. Events of an ended session are ignored for ``forget_minutes`` of event
     time; then nothing of it is left. Events later than ``lateness`` are dropped; ``ingest.dropped_late`` counts them.
+    Events without a time are left out.
+
+    Without ``packs`` a session has a state and a timer of its own, for streams that touch few sessions at a time.
+    With it, sessions are dealt to so many packs with a state and a timer each, for very many sessions at a time.
     """
-    timed = events.select("session_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "answer")
-    out = timed.withWatermark("at", lateness).groupBy("session_id").transformWithState(
-        Timeout(minutes, forget_minutes), outputStructType="session_id string, opened long, ended long, resolved boolean",
-        outputMode="Append", timeMode="EventTime",
-    )
+    at = F.col("at").cast("timestamp")
+    timed = events.select("session_id", at.alias("at"), F.unix_micros(at).alias("us"), F.coalesce("answer", F.lit(False)).alias("answer"))
+    timed, fields = timed.where("at is not null").withWatermark("at", lateness), "session_id string, opened long, ended long, resolved boolean"
+    if packs is None:
+        out = timed.groupBy("session_id").transformWithState(Timeout(minutes, forget_minutes), fields, outputMode="Append", timeMode="EventTime")
+    else:
+        dealt = timed.select("*", _pack_of("session_id", packs)).groupBy("pack")
+        out = dealt.transformWithStateInPandas(TimeoutPack(minutes, forget_minutes), fields, outputMode="Append", timeMode="EventTime")
     moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
     return out.select(
         "session_id", moment("opened").alias("opened_at"), moment("ended").alias("ended_at"),
