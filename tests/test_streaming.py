@@ -209,6 +209,42 @@ def test_trend_follows_status_changes(spark, tmp_path):
     assert sorted(r["uploads"] for r in cells.current().collect()) == [1, 1]
 
 
+def test_jobs_of_a_pack_change_together(spark):
+    """One read and one write of the state for 5,000 jobs, whose changes come as sums of cells. A job without day
+    or status has a cell too; of equal events the first counts; names of jobs may be texts."""
+
+    class Handle:
+        calls = 0
+        held = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    handle, pack = Handle(), keyed.JobPack()
+    pack.init(handle)
+
+    def batch(*data):
+        frame = pd.DataFrame(list(data), columns=["id", "at", "seq", "day", "status", "is_job"])
+        half = len(frame) // 2
+        found = pd.concat([pd.DataFrame(columns=["day", "status", "uploads", "records"]), *pack.handleInputRows((0,), iter([frame[:half], frame[half:]]), None)])
+        return sorted((tuple(r) for r in found.itertuples(index=False)), key=repr)
+
+    record = lambda i: (i, 0, 0, 0, None, False)
+    assert batch(*[(f"j{i}", 5, 0, 100, "queued", True) for i in range(5000)], record("j1"), record("new"), record("new")) == [(100, "queued", 5000, 1)]
+    assert handle.calls == 2
+    assert batch(("j1", 5, 0, 100, "other", True), ("j1", 4, 9, 99, "late", True), record("j1")) == [(100, "queued", 0, 1)]
+    moved = batch(("new", 6, 0, keyed.NO_DAY, None, True), ("j1", 6, 0, 101, "done", True))
+    assert moved == sorted([(100, "queued", -1, -2), (101, "done", 1, 2), (keyed.NO_DAY, None, 1, 2)], key=repr)
+    assert batch(record("x")) == [] and handle.calls == 8
+
+
 def test_lateness_is_stated(spark, tmp_path):
     for stream in waves(spark, tmp_path, events(spark, ("a", "2024-01-01 10:00:00", "x"))):
         with pytest.raises(TypeError):

@@ -322,46 +322,70 @@ def session_timeouts(
 # --- cells that follow their jobs ---------------------------------------------------------------
 
 
-class JobCell(StatefulProcessor):
-    """The cell (day, status) a job is in and its number of records. A change takes the job out of the old
-    cell and puts it into the new one."""
+#: The day, in days since 1970, of a job without one.
+NO_DAY = -(1 << 31)
+
+
+class JobPack(StatefulProcessor):
+    """The jobs of a pack, each with its cell (day, status) and its number of records. A job that changes leaves
+    its old cell for the new one; a batch gives the changes of a pack's cells."""
+
+    JOB, COLUMNS = ["id", "at", "seq", "day", "status"], ["id", "at", "seq", "day", "status", "known", "records"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.job = handle.getValueState("job", "at long, seq long, day date, status string, known boolean, records long")
+        self.pack = handle.getValueState("pack", "jobs binary")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.job.get()
-        at, seq, day, status, known, records = held if held is not None else (None, None, None, None, False, 0)
-        old = (day, status, known, records)
-        for r in rows:
-            if r.is_job:
-                if not known or (r.at, r.seq) > (at, seq):
-                    at, seq, day, status, known = r.at, r.seq, r.day, r.status, True
-            else:
-                records += 1
-        new = (day, status, known, records)
-        if new == old:
-            return
-        self.job.update((at, seq, day, status, known, records))
-        if old[2]:
-            yield Row(day=old[0], status=old[1], uploads=-1, records=-old[3])
-        if known:
-            yield Row(day=day, status=status, uploads=1, records=records)
+    @staticmethod
+    def _newest(jobs: pd.DataFrame) -> pd.DataFrame:
+        """Of equal events of a job the first."""
+        return jobs.sort_values(["at", "seq"], ascending=False, kind="stable").drop_duplicates("id")
+
+    @staticmethod
+    def _cells(jobs: pd.DataFrame) -> pd.DataFrame:
+        return jobs[jobs["known"]].groupby(["day", "status"], dropna=False, sort=False).agg(uploads=("id", "size"), records=("records", "sum")).reset_index()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.pack.get()
+        old = _unpacked(held[0]) if held is not None else None
+        jobs, counts = ([], []) if old is None else ([old.loc[old["known"], self.JOB]], [old.set_index("id")["records"]])
+        for df in rows:
+            own = df["is_job"].astype(bool)
+            jobs.append(self._newest(df.loc[own, self.JOB]))
+            counts.append(df.loc[~own, "id"].value_counts())
+        jobs = self._newest(pd.concat(jobs, ignore_index=True)).set_index("id")
+        counts = pd.concat(counts).groupby(level=0).sum()
+        ids = jobs.index.union(counts.index)
+        now = pd.DataFrame({
+            **{c: jobs[c].reindex(ids, fill_value=0) for c in ("at", "seq", "day")}, "status": jobs["status"].reindex(ids),
+            "known": ids.isin(jobs.index), "records": counts.reindex(ids, fill_value=0).astype("int64"),
+        }, index=ids).rename_axis("id").reset_index()
+        self.pack.update((_packed(now[self.COLUMNS]),))
+        cells = [self._cells(now)]
+        if old is not None:
+            before = self._cells(old)
+            cells.append(before.assign(uploads=-before["uploads"], records=-before["records"]))
+        changes = pd.concat(cells, ignore_index=True).groupby(["day", "status"], dropna=False, sort=False, as_index=False)[["uploads", "records"]].sum()
+        changes = changes[(changes["uploads"] != 0) | (changes["records"] != 0)]
+        if len(changes):
+            yield changes.assign(status=changes["status"].astype(object).where(changes["status"].notna(), None))
 
     def close(self) -> None:
         pass
 
 
-def cell_changes(jobs: DataFrame, records: DataFrame) -> DataFrame:
+def cell_changes(jobs: DataFrame, records: DataFrame, packs: int = PACKS) -> DataFrame:
     """The change log (day, status, uploads, records) of the daily trend, retractions included.
 
     ``jobs``: ``id, at, seq, day, status``, one event per change of a job; ``records``: ``id``, one row per stored
-    record. Records of a job that is not known yet wait for it. State is one row per job, so nothing is late.
+    record. Records of a job that is not known yet wait for it. State is one row per job, dealt to ``packs``, so
+    nothing is late; a batch reads and writes the packs of the jobs that it names.
     """
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    changed = jobs.select("id", micros.alias("at"), F.col("seq").cast("long").alias("seq"), "day", "status", F.lit(True).alias("is_job"))
-    none = lambda kind: F.lit(None).cast(kind)
-    added = records.select("id", none("long").alias("at"), none("long").alias("seq"), none("date").alias("day"), none("string").alias("status"), F.lit(False).alias("is_job"))
-    return changed.where("at is not null and id is not null").unionByName(added.where("id is not null")).groupBy("id").transformWithState(
-        JobCell(), outputStructType="day date, status string, uploads long, records long", outputMode="Append", timeMode="None"
-    )
+    day, micros = F.coalesce(F.unix_date("day"), F.lit(NO_DAY)), F.unix_micros(F.col("at").cast("timestamp"))
+    changed = jobs.where("at is not null and id is not null").select(
+        "id", micros.alias("at"), F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("seq"), day.alias("day"), "status", F.lit(True).alias("is_job"))
+    zero = F.lit(0).cast("long")
+    added = records.where("id is not null").select(
+        "id", zero.alias("at"), zero.alias("seq"), F.lit(0).alias("day"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("is_job"))
+    dealt = changed.unionByName(added).select("*", _pack_of("id", packs)).groupBy("pack")
+    out = dealt.transformWithStateInPandas(JobPack(), "day int, status string, uploads long, records long", outputMode="Append", timeMode="None")
+    return out.withColumn("day", F.date_from_unix_date(F.nullif("day", F.lit(NO_DAY))))
