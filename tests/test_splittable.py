@@ -2,10 +2,12 @@
 
 import csv
 import json
+import pathlib
 import random
 
 import pytest
 from conftest import rows
+from pyspark.sql import DataFrameWriter
 
 from tidemark.sources import readers, splittable
 
@@ -44,6 +46,24 @@ def test_array_of_many_splits(spark, tmp_path, small_splits, split, indent):
         assert splittable._fragments(spark, path, "}").rdd.getNumPartitions() > 10
 
 
+def test_records_of_a_split_are_not_sorted(spark, tmp_path, small_splits):
+    """The memory of a task would grow with its split."""
+    made = [{"id": i, "text": "x" * 50, "inner": None} for i in range(20000)]
+    (tmp_path / "one.json").write_text(json.dumps(made))
+    small_splits(600_000)
+    folders, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **options):
+        write(self, path, *args, **options)
+        folders.extend(p.name for p in pathlib.Path(path.removeprefix("file:")).iterdir() if p.is_dir())
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(DataFrameWriter, "parquet", noted)
+        got = splittable.json_array(spark, str(tmp_path / "one.json"), SCHEMA)
+    assert got.count() == 20000 and got.select("id").distinct().count() == 20000
+    assert folders == []  # a folder per value is what the writer sorts for
+
+
 def test_inferred_schema(spark, tmp_path, small_splits):
     made = [{"a": i, "b": "x}" if i % 2 else None} for i in range(200)]
     (tmp_path / "one.json").write_text("[" + ",\r\n".join(map(json.dumps, made)) + "]\n")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 
 #: What a fragment does: the parity of its quotes, and its brackets opened less closed if it starts outside and
 #: if it starts inside a text.
@@ -122,12 +122,11 @@ def _records(spark: SparkSession, path, end: str, measure: Measure, finish: Call
 
     pieces = fragments.join(F.broadcast(starts), ["path", "block"]).select("path", "block", "value", "start", "depth")
     pieces = pieces.mapInArrow(run, "path string, block long, number long, kind int, record string")
-    path_ = scratch_path(spark, "records")
-    pieces.write.partitionBy("kind").parquet(path_)
-    stored = spark.read.schema("path string, block long, number long, record string, kind int").parquet(path_)
+    # Not partitioned by kind, which would sort all records of a split; the few that cross are found by statistics.
+    stored = materialize(pieces, "records")
     # At most two pieces a split: what runs out of it, and what ends in it.
     before = Window.partitionBy("path").orderBy("block", "number").rowsBetween(Window.unboundedPreceding, -1)
-    crossing = stored.where(F.col("kind") != DONE).withColumn("group", F.coalesce(F.sum(F.when(F.col("kind") == LAST, 1).otherwise(0)).over(before), F.lit(0)))
+    crossing = stored.where(F.col("kind") > DONE).withColumn("group", F.coalesce(F.sum(F.when(F.col("kind") == LAST, 1).otherwise(0)).over(before), F.lit(0)))
     joined = crossing.groupBy("path", "group").agg(
         F.array_sort(F.collect_list(F.struct("block", "number", "record"))).alias("parts"), F.max((F.col("kind") == LAST).cast("int")).alias("ends"))
     whole = joined.select("ends", F.array_join(F.transform("parts", lambda p: p["record"]), "").alias("record"))
