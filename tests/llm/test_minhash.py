@@ -3,11 +3,12 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from check import rows_of
 from text_helpers import SMALL, docs, found, lower, none, odd, texts  # noqa: F401 (fixtures)
 
-from tidemark.llm import minhash, queries
+from tidemark.llm import minhash, pairs, queries
 from tidemark.llm.simhash import shingle_hashes
 
 NAME = "op13_minhash_groups"
@@ -88,6 +89,45 @@ def test_families_around_the_limit(spark, shard_rows):
     assert plain(minhash.near_duplicates(table, shard_rows=shard_rows)) == want
 
 
+def test_pairs_just_below_the_limit_are_not_verified_one_by_one(spark, monkeypatch):
+    """Most pairs of 160 texts are at 0.76, which no signature tells from 0.8. Sets are compared for the pivots'
+    pairs and then for fewer pairs than there are texts, of 12,720."""
+    rng, verified, counts = random.Random(5), pairs.verified, []
+    base, rows = [f"w{k}" for k in range(600)], []
+    for n in range(160):
+        own = list(base)
+        for at in rng.sample(range(4, 596, 4), 10):
+            own[at] = f"x{n}y{at}"
+        rows.append((n, " ".join(own)))
+    monkeypatch.setattr(pairs, "verified", lambda found, *rest: (counts.append(found.count()), verified(found, *rest))[1])
+    assert plain(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == expected(rows)
+    assert len(counts) > 1 and sum(counts[1:]) < len(rows), counts
+
+
+def test_parities_bound_the_difference_of_two_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60, 500, 520, 9000):
+        for only in (0, 1, n // 10, n // 3):
+            both, one, two = (rng.integers(0, 1 << 64, k, dtype=np.uint64) for k in (n, only, 2 * only))
+            odd = pa.chunked_array([pa.array([pairs.parities(np.concatenate(x)) for x in ((both, one), (both, two), (both,))], pa.binary())])
+            a, b = np.array([0, 1, 2, 0]), np.array([1, 2, 0, 0])
+            least, real = pairs.apart(odd, a, b), np.array([3 * only, 2 * only, only, 0])
+            assert (least <= real).all() and (least >= 0.7 * real - 4).all()
+            size, label = np.array([n + only, n + 2 * only, n]), np.arange(3)
+            similar = 100 * (size[a] + size[b] - real) >= 80 * (size[a] + size[b] + real)
+            left = set(zip(*(x.tolist() for x in pairs.still_open(odd, size, label, a, b, 80, False))))
+            assert left >= {(int(x), int(y)) for x, y in zip(a[similar], b[similar])}
+
+
+def test_pairs_that_join_labels_once():
+    odd = pa.chunked_array([pa.array([pairs.parities(np.arange(100, 200 + k, dtype=np.uint64)) for k in range(4)], pa.binary())])
+    size, label = np.arange(100, 104), np.array([7, 8, 8, 9])
+    a, b = (np.array(x) for x in zip(*itertools.combinations(range(4), 2)))
+    one, two = pairs.still_open(odd, size, label, a, b, 80, True)
+    assert list(zip(one.tolist(), two.tolist())) == [(0, 1), (2, 3)] and len(set(label)) == 1
+    assert [len(x) for x in pairs.still_open(pa.chunked_array([odd.chunk(0)[:0]], pa.binary()), size[:0], label[:0], a[:0], b[:0], 80, True)] == [0, 0]
+
+
 def test_recall_of_pairs_at_the_limit(spark):
     """1,500 pairs between 0.80 and 0.85: every one is found."""
     rng, rows = random.Random(3), []

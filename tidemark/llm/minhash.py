@@ -108,7 +108,7 @@ def with_bands(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
 
 
 def with_signatures(sets: DataFrame) -> DataFrame:
-    """(node, n, sig): size and signature of sets (``node``, ``shingles``)."""
+    """(node, n, sig, odd): size, signature and parities of sets (``node``, ``shingles``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -116,11 +116,12 @@ def with_signatures(sets: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 500)
                 own = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s).tobytes() for s in own], pa.binary())],
-                    names=["node", "n", "sig"],
+                    [batch.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([signature(s).tobytes() for s in own], pa.binary()),
+                     pa.array([pairs.parities(s) for s in own], pa.binary())],
+                    names=["node", "n", "sig", "odd"],
                 )
 
-    return sets.mapInArrow(run, "node long, n long, sig binary")
+    return sets.mapInArrow(run, "node long, n long, sig binary, odd binary")
 
 
 def _sizes_allow(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -145,9 +146,10 @@ def star(found: DataFrame, sketches: DataFrame, percent: int, least: list[int])
     return both.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int]) -> DataFrame:
-    """(a, b): all pairs of different labels in a shard that survive all batches, each in the first band it
-    shares only. In a shard of two sides only pairs across them count; other shards have the rest."""
+def search(shards: DataFrame, once: bool, sketches: DataFrame, percent: int, least: list[int]) -> DataFrame:
+    """(a, b): all pairs of different labels in a shard that survive all batches and that the parities of the sets
+    allow, each in the first band it shares only; with ``once``, those that join labels not joined in the shard before.
+    In a shard of two sides only pairs across them count; other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -157,7 +159,8 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             for start, end in zip(starts, [*starts[1:], len(keys)]):
                 own = slice(start, end)
-                node, label, side, size, sig = (x[own] for x in (nodes, labels, sides, sizes, sigs))
+                node, side, size, sig = (x[own] for x in (nodes, sides, sizes, sigs))
+                label, odd = labels[own].copy(), table.column("odd").slice(start, end - start)
                 across = side.min() < side.max()
                 for at in range(0, end - start, 64):
                     ask = slice(at, at + 64)
@@ -171,11 +174,12 @@ def search(shards: DataFrame, sketches: DataFrame, percent: int, least: list[int
                     if len(a):
                         shared = (sig[a, : BANDS * ROWS] == sig[b, : BANDS * ROWS]).reshape(-1, BANDS, ROWS).all(axis=2)
                         mine = shared.any(axis=1) & (shared.argmax(axis=1) == bands[start])
-                        if mine.any():
-                            yield pairs.as_batch(node[a[mine]], node[b[mine]])
+                        a, b = pairs.still_open(odd, size, label, a[mine], b[mine], percent, once)
+                        if len(a):
+                            yield pairs.as_batch(node[a], node[b])
 
     dealt = shards.join(sketches, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
-    return dealt.select("key", "band", "node", "label", "side", "n", "sig").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "band", "node", "label", "side", "n", "sig", "odd").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(

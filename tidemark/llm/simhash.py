@@ -227,7 +227,7 @@ def with_sketches(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def with_wide_fingerprints(sets: DataFrame) -> DataFrame:
-    """(node, n, bits, sketch): size, fingerprint of LANES words and sketch of sets (``node``, ``shingles``)."""
+    """(node, n, bits, sketch, odd): size, fingerprint of LANES words, sketch and parities of sets (``node``, ``shingles``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -236,11 +236,12 @@ def with_wide_fingerprints(sets: DataFrame) -> DataFrame:
                 own = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in own], pa.int64()),
-                     pa.array([fingerprint(s, LANES).tobytes() for s in own], pa.binary()), pa.array([sketch(s).tobytes() for s in own], pa.binary())],
-                    names=["node", "n", "bits", "sketch"],
+                     pa.array([fingerprint(s, LANES).tobytes() for s in own], pa.binary()), pa.array([sketch(s).tobytes() for s in own], pa.binary()),
+                     pa.array([pairs.parities(s) for s in own], pa.binary())],
+                    names=["node", "n", "bits", "sketch", "odd"],
                 )
 
-    return sets.mapInArrow(run, "node long, n long, bits binary, sketch binary")
+    return sets.mapInArrow(run, "node long, n long, bits binary, sketch binary, odd binary")
 
 
 def _alike(n: np.ndarray, m: np.ndarray, distance: np.ndarray, percent: int) -> np.ndarray:
@@ -266,10 +267,10 @@ def near_pairs(found: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all near pairs of different labels in every shard, searched in the shard's BK-tree, each in the
-    first band that the two sketches share only. In a shard of two sides only pairs across them count, as other
-    shards have the rest."""
+def tree_pairs(shards: DataFrame, once: bool, prints: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all near pairs of different labels in every shard that the parities of the sets allow, searched in the
+    shard's BK-tree, each in the first band that the two sketches share only; with ``once``, those that join labels not
+    joined in the shard before. In a shard of two sides only pairs across them count, as other shards have the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in split_runs(batches, "key"):
@@ -280,7 +281,8 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
             for start, end in zip(starts, [*starts[1:], len(keys)]):
                 own = slice(start, end)
                 tree, across = BKTree(bits[own]), sides[own].min() < sides[own].max()
-                node, label, side, n, keyed = (x[own] for x in (nodes, labels, sides, sizes, sketches))
+                node, side, n, keyed = (x[own] for x in (nodes, sides, sizes, sketches))
+                label, odd = labels[own].copy(), table.column("odd").slice(start, end - start)
                 for at in range(0, end - start, 256):
                     for q, m in tree.search(tree.prints[at : at + 256], RADIUS_SMALL):
                         q = q + at
@@ -291,10 +293,11 @@ def tree_pairs(shards: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                         distance = np.bitwise_count(tree.prints[q] ^ tree.prints[m]).sum(axis=1, dtype=np.int64)
                         take = _alike(n[q], n[m], distance, percent) & ((keyed[q] == keyed[m]).argmax(axis=1) == bands[start])
                         if take.any():
-                            yield pairs.as_batch(node[q[take]], node[m[take]])
+                            q, m = pairs.still_open(odd, n, label, q[take], m[take], percent, once)
+                            yield pairs.as_batch(node[q], node[m])
 
     dealt = shards.join(prints, "node").repartition(pairs.tasks(shards), "key").sortWithinPartitions("key")
-    return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "band", "node", "label", "side", "n", "bits", "sketch", "odd").mapInArrow(run, "a long, b long")
 
 
 def deduplicated(
